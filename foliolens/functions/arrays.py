@@ -1,63 +1,62 @@
-"""Array helpers that keep per-document work inside one row."""
+"""Array helpers that keep per-document work inside one row.
+
+They return SQL text rather than columns: a nested array expression is one call to the
+parser instead of hundreds of calls across the Python bridge.
+"""
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK = 128
 
 
-def pin(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that the optimizer must compute once per row.
+def pin(df: DataFrame, columns: dict[str, str | Column], drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add columns that the optimizer must compute once per row, and drop others.
 
     A column used once inside a lambda would otherwise be inlined there and computed
     again for every array element. A one-row ``inline`` stops that, without a shuffle.
     """
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    fields = [(F.expr(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
+    kept = F.expr(f"* EXCEPT ({', '.join(drop)})") if drop else F.col("*")
+    return df.select(kept, F.inline(F.array(F.struct(*fields))))
+
 
+def sql_string(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def blocks(arr: Column, size: int = BLOCK) -> Column:
-    """Cut an array into consecutive arrays of at most ``size`` elements."""
-    def cut(a):
-        count = F.ceil(F.size(a) / size).cast("int")
-        starts = F.filter(F.sequence(F.lit(0), count), lambda k: k < count)
-        return F.transform(starts, lambda k: F.slice(a, k * size + 1, size))
 
-    return let(arr, cut)
+def blocks(arr: str, size: int = BLOCK) -> str:
+    """Cut an array (named by a column or lambda variable) into arrays of ``size`` elements."""
+    count = f"int((size({arr}) + {size - 1}) div {size})"
+    return (f"transform(filter(sequence(0, {count}), k -> k < {count}),"
+            f" k -> slice({arr}, k * {size} + 1, {size}))")
 
 
-def running_totals(arr: Column, kind: str = "int", size: int = BLOCK) -> Column:
+def running_totals(arr: str, kind: str = "int", size: int = BLOCK) -> str:
     """Running sums of a numeric array, the own element included.
 
     Growing one array element by element copies it each time, which is quadratic in
     its length. Here only arrays of ``size`` elements grow; each block starts from the
-    last total of the block before.
+    last total of the block before, and repeats that as its first element.
     """
-    def extend(done, x):
-        return F.concat(done, F.array(F.element_at(done, -1) + x.cast(kind)))
-
-    def next_block(done, block):
-        last = F.element_at(F.element_at(done, -1), -1)
-        return F.concat(done, F.array(F.aggregate(block, F.array(last), extend)))
+    grow = "(d, x) -> concat(d, array(element_at(d, -1) + x))"
+    start = "array(element_at(element_at(done, -1), -1))"
+    return (f"flatten(transform(aggregate({blocks(arr, size)}, array(array(cast(0 AS {kind}))),"
+            f" (done, part) -> concat(done, array(aggregate(part, {start}, {grow})))),"
+            f" p -> slice(p, 2, size(p) - 1)))")
 
-    seed = F.array(F.array(F.lit(0).cast(kind)))
-    parts = F.aggregate(blocks(arr, size), seed, next_block)
-    # every part repeats the total it started from as its first element
-    return F.flatten(F.transform(parts, lambda p: F.slice(p, F.lit(2), F.size(p) - 1)))
 
-
-def count_up_to(sorted_blocks: Column, heads: Column, value: Column) -> Column:
+def count_up_to(sorted_blocks: str, heads: str, value: str) -> str:
     """How many elements of an ascending array are at most ``value``.
 
     ``sorted_blocks`` = ``blocks(arr)`` and ``heads`` = the first element of each block:
     only the heads and one block are looked at.
     """
-    def with_block(full):
-        inside = F.size(F.filter(F.get(sorted_blocks, full), lambda x: x <= value))
-        return F.when(full < 0, 0).otherwise(full * BLOCK + inside)
-
-    return let(F.size(F.filter(heads, lambda h: h <= value)) - 1, with_block)
+    inside = f"size(filter(get({sorted_blocks}, last), x -> x <= {value}))"
+    return let("last", f"size(filter({heads}, h -> h <= {value})) - 1",
+               f"if(last < 0, 0, last * {BLOCK} + {inside})")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from foliolens.functions.arrays import let, running_totals
+from foliolens.functions.arrays import let, running_totals, sql_string
 from foliolens.functions.patterns import WORD, WS, escape_literal
 
 PREVIEW_CHARS = 500
@@ -31,17 +31,13 @@ def split_pages(text: Column, sep: str = "\f") -> Column:
     return F.split(text, escape_literal(sep), -1)
 
 
-def page_steps(pages: Column, sep: str = "\f") -> Column:
-    """Distance from each page start to the next."""
-    return F.transform(pages, lambda p: F.char_length(p) + len(sep))
-
-
-def page_offsets(text: Column, sep: str = "\f") -> Column:
-    """Start position of every page; the first is 0."""
-    steps = page_steps(split_pages(text, sep), sep)
+def page_offsets(text: str, sep: str = "\f") -> Column:
+    """Start position of every page of the column named ``text``; the first is 0."""
+    pages = f"split({text}, {sql_string(escape_literal(sep))}, -1)"
+    steps = f"transform({pages}, p -> char_length(p) + {len(sep)})"
     # the end of each page is the start of the next; the last page starts no other
-    before_last = let(steps, lambda s: F.slice(s, F.lit(1), F.size(s) - 1))
-    return F.concat(F.array(F.lit(0)), running_totals(before_last))
+    starts = let("ends", "slice(s, 1, size(s) - 1)", f"concat(array(0), {running_totals('ends')})")
+    return F.expr(let("s", steps, starts))
 
 
 def position_to_page(position: Column, offsets: Column) -> Column:

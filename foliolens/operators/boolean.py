@@ -60,12 +60,13 @@ def search_any(corpus: DataFrame, terms: list[str], key: str | list[str] = "file
         raise ValueError("at least one term is needed")
     if unique_key:
         docs = with_snippet_parts(corpus.filter(reduce(Column.__or__, [has_term(t) for t in terms])))
-        for i, term in enumerate(terms):
-            docs = with_spans(docs, term_pattern(term), f"_spans{i}")
-        count = reduce(Column.__add__, [F.size(f"_spans{i}") for i in range(len(terms))])
-        spans = F.concat(*[F.slice(f"_spans{i}", 1, max_contexts) for i in range(len(terms))])
-        return docs.select(*DOC_COLUMNS, count.alias("match_count"),
-                           contexts(spans, context_chars, max_contexts).alias("contexts"))
+        names = [f"_spans{i}" for i in range(len(terms))]
+        for name, term in zip(names, terms):
+            docs = with_spans(docs, term_pattern(term), name)
+        first = f"concat({', '.join(f'slice({n}, 1, {max_contexts})' for n in names)})"
+        return docs.select(*DOC_COLUMNS,
+                           F.expr(" + ".join(f"size({n})" for n in names)).alias("match_count"),
+                           contexts(first, context_chars, max_contexts).alias("contexts"))
     key = as_key(key)
     counts, found = [], []
     for i, term in enumerate(terms):

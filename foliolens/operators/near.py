@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from foliolens.functions.arrays import blocks, pin, running_totals
 from foliolens.functions.patterns import WORD, WS, term_pattern
-from foliolens.operators.spans import CONTEXT_CHARS, context, with_snippet_parts
+from foliolens.operators.spans import CONTEXT_CHARS, contexts, find, with_snippet_parts
 from foliolens.schema import DOC_COLUMNS
 
 PAIR_CAP = 50
@@ -22,63 +22,43 @@ def with_word_spans(df: DataFrame, term: str, case_sensitive: bool, out: str,
     Everything is counted on the pieces between matches, so the text is gone over a fixed
     number of times, however many matches or words there are.
     """
-    pattern = term_pattern(term, case_sensitive)
-    opens = not term[0].isspace()
-    closes = not term[-1].isspace()
-    words_in_term = len(term.split())
-
-    df = pin(
-        df,
-        _pieces=F.split(text, pattern, -1),
-        _found=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-    )
-    # a piece and the match after it, plus the piece after the last match
-    legs = F.zip_with("_pieces", "_found", lambda p, m: F.struct(
-        p.alias("piece"),
-        F.char_length(m).alias("match_chars"),
-        F.concat(p, F.coalesce(m, F.lit(""))).alias("leg"),
-    ))
-    df = pin(df, _legs=F.transform(legs, lambda g: F.struct(
-        g["match_chars"].alias("match_chars"),
-        F.char_length(g["leg"]).alias("chars"),
-        F.regexp_count(g["leg"], F.lit(WORD)).alias("words"),
-        F.left(g["leg"], F.lit(1)).rlike(f"[^{WS}]").alias("leg_opens"),
-        F.right(g["piece"], F.lit(1)).rlike(f"[^{WS}]").alias("piece_closes"),
-        (g["piece"] == "").alias("no_piece"),
-    )))
-
-    def joins_next(i):
-        """Does a word run on past the end of match i (0-based) into the next leg?"""
-        return F.lit(closes) & F.coalesce(F.get(F.col("_legs"), i + 1)["leg_opens"], F.lit(False))
-
-    def one(cond: Column) -> Column:
-        return F.when(cond, 1).otherwise(0)
-
-    matched = F.slice("_legs", F.lit(1), F.size("_found"))
+    closes = "false" if term[-1].isspace() else "true"
+    opens = "false" if term[0].isspace() else "true"
+    has_ink = f"rlike(%s, r'[^{WS}]')"
+
+    df = pin(df, find(text, term_pattern(term, case_sensitive)))
+    # a leg is a piece and the match after it; the last leg is the piece after the last match
+    df = pin(df, {"_legs": f"""transform(
+        zip_with(_pieces, _found, (piece, m) -> named_struct(
+            'piece', piece, 'match_chars', char_length(m), 'leg', concat(piece, coalesce(m, '')))),
+        g -> named_struct(
+            'match_chars', g.match_chars,
+            'chars', char_length(g.leg),
+            'words', regexp_count(g.leg, r'{WORD}'),
+            'leg_opens', {has_ink % "left(g.leg, 1)"},
+            'piece_closes', {has_ink % "right(g.piece, 1)"},
+            'no_piece', g.piece = ''))"""}, drop=("_pieces",))
+
+    # does a word run on past the end of match i (counted from 0) into the next leg?
+    runs_on = f"({closes} AND coalesce(get(_legs, %s).leg_opens, false))"
     # both running totals in one pass: characters above bit 32, words below
-    steps = F.transform(matched, lambda g, i: F.shiftleft(g["chars"].cast("bigint"), 32)
-                        + g["words"] - one((i > 0) & joins_next(i - 1)))
-    df = pin(df, _totals=running_totals(steps, "bigint"))
-
-    def span(total, i):
-        leg = F.get(F.col("_legs"), i)
-        end = F.shiftright(total, 32).cast("int")
-        words = total.bitwiseAND(F.lit(_LOW)).cast("int")
-        touches = leg["piece_closes"] | (leg["no_piece"] & (i > 0) & F.lit(closes))
-        in_match = F.lit(words_in_term) - one(F.lit(opens) & touches)
-        return F.struct(
-            (end - leg["match_chars"]).alias("start"),
-            end.alias("end"),
-            (words - in_match).alias("ws"),
-            (words - one(joins_next(i))).alias("we"),
-        )
-
-    df = pin(df, **{out: F.transform("_totals", span)})
-    return df.drop("_pieces", "_found", "_legs", "_totals")
+    df = pin(df, {"_steps": f"""transform(slice(_legs, 1, size(_found)), (g, i) ->
+        shiftleft(cast(g.chars AS bigint), 32) + g.words - int(i > 0 AND {runs_on % "i"}))"""}, drop=("_found",))
+    df = pin(df, {"_totals": running_totals("_steps", "bigint")}, drop=("_steps",))
+    touches = f"(_legs[i].piece_closes OR (_legs[i].no_piece AND i > 0 AND {closes}))"
+    df = pin(df, {out: f"""transform(
+        transform(_totals, (t, i) -> named_struct(
+            'end', int(shiftright(t, 32)), 'words', int(t & {_LOW}L), 'chars', _legs[i].match_chars,
+            'runs_on', int({runs_on % "i + 1"}),
+            'own', {len(term.split())} - int({opens} AND {touches}))),
+        m -> named_struct('start', m.end - m.chars, 'end', m.end,
+                          'ws', m.words - m.own, 'we', m.words - m.runs_on))"""}, drop=("_legs", "_totals"))
+    return df
 
 
 def with_pairs(df: DataFrame, term1: str, term2: str, distance: int, out: str = "pairs",
-               case_sensitive: bool = False, cap: int = PAIR_CAP, text: str = "text") -> DataFrame:
+               case_sensitive: bool = False, cap: int = PAIR_CAP, text: str = "text",
+               drop: tuple[str, ...] = ()) -> DataFrame:
     """Add ``out``: struct(start, end) of every accepted pair, in order of the first term.
 
     For each match of the first term only those blocks of second-term matches are looked
@@ -90,26 +70,17 @@ def with_pairs(df: DataFrame, term1: str, term2: str, distance: int, out: str =
         raise ValueError("distance must be at least 0 and cap at least 1")
     df = with_word_spans(df, term1, case_sensitive, "_one", text)
     df = with_word_spans(df, term2, case_sensitive, "_two", text)
-    df = pin(df, _two_blocks=F.transform(blocks(F.col("_two"), 64), lambda b: F.struct(
-        F.element_at(b, 1)["ws"].alias("first"), F.element_at(b, -1)["we"].alias("last"), b.alias("items"),
-    )))
-
-    def partners(m):
-        reach = F.filter(F.col("_two_blocks"), lambda b: (b["first"] - m["we"] <= distance)
-                         & (m["ws"] - b["last"] <= distance))
-        return F.filter(F.flatten(F.transform(reach, lambda b: b["items"])), lambda o: (
-            ((o["start"] > m["end"]) & (o["ws"] - m["we"] <= distance))
-            | ((o["end"] < m["start"]) & (m["ws"] - o["we"] <= distance))
-        ))
-
-    def take(pairs, m):
-        more = F.transform(partners(m), lambda o: F.struct(
-            F.least(m["start"], o["start"]).alias("start"), F.greatest(m["end"], o["end"]).alias("end"),
-        ))
-        return F.when(F.size(pairs) < cap, F.concat(pairs, more)).otherwise(pairs)
-
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    return pin(df, **{out: F.aggregate("_one", empty, take)}).drop("_one", "_two", "_two_blocks")
+    df = pin(df, {"_two_blocks": f"""transform({blocks("_two", 64)}, b -> named_struct(
+        'first', b[0].ws, 'last', element_at(b, -1).we, 'items', b))"""}, drop=("_two",))
+    reached = f"b.first - m.we <= {distance} AND m.ws - b.last <= {distance}"
+    near = (f"(o.start > m.end AND o.ws - m.we <= {distance})"
+            f" OR (o.end < m.start AND m.ws - o.we <= {distance})")
+    more = f"""transform(
+        filter(flatten(transform(filter(_two_blocks, b -> {reached}), b -> b.items)), o -> {near}),
+        o -> named_struct('start', least(m.start, o.start), 'end', greatest(m.end, o.end)))"""
+    none = "cast(array() AS array<struct<start:int,end:int>>)"
+    pairs = f"aggregate(_one, {none}, (found, m) -> if(size(found) < {cap}, concat(found, {more}), found))"
+    return pin(df, {out: pairs}, drop=("_one", "_two_blocks", *drop))
 
 
 def has_both(term1: str, term2: str, case_sensitive: bool = False) -> Column:
@@ -121,12 +92,9 @@ def having_both(corpus: DataFrame, term1: str, term2: str, case_sensitive: bool
     return corpus.filter(has_both(term1, term2, case_sensitive))
 
 
-def pair_contexts(pairs: Column, term1: str, term2: str, context_chars: int = CONTEXT_CHARS,
-                  most: int | None = None) -> Column:
-    if most is not None:
-        pairs = F.slice(pairs, 1, most)
-    label = F.lit(f"{term1}...{term2}")
-    return F.transform(pairs, lambda p: context(p["start"], p["end"], label, context_chars))
+def pair_label(term1: str, term2: str) -> str:
+    """What a pair shows as its matched text."""
+    return f"{term1}...{term2}"
 
 
 def search_near(corpus: DataFrame, term1: str, term2: str, distance: int,
@@ -138,7 +106,7 @@ def search_near(corpus: DataFrame, term1: str, term2: str, distance: int,
     hits = found.select(
         *DOC_COLUMNS,
         F.size("pairs").alias("match_count"),
-        pair_contexts(F.col("pairs"), term1, term2, context_chars, max_contexts).alias("contexts"),
+        contexts("pairs", context_chars, max_contexts, pair_label(term1, term2)).alias("contexts"),
     )
     return hits.filter(F.col("match_count") > 0)
 

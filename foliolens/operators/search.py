@@ -1,10 +1,10 @@
 """Search for one term: documents, match counts, positions, snippets and pages."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from foliolens.functions.patterns import regex_pattern, term_pattern
 from foliolens.operators.spans import (
-    CONTEXT_CHARS, context, contexts, drop_snippet_parts, with_snippet_parts, with_spans,
+    CONTEXT_CHARS, context_sql, contexts, with_snippet_parts, with_spans,
 )
 from foliolens.schema import DOC_COLUMNS
 
@@ -26,15 +26,15 @@ def _hits(corpus: DataFrame, pattern: str, context_chars: int, literal: str | No
     return found.select(
         *DOC_COLUMNS,
         F.size("spans").alias("match_count"),
-        contexts(F.col("spans"), context_chars, max_contexts).alias("contexts"),
+        contexts("spans", context_chars, max_contexts).alias("contexts"),
     )
 
 
 def _matches(corpus: DataFrame, pattern: str, context_chars: int, literal: str | None) -> DataFrame:
     found = with_snippet_parts(with_spans(having(corpus, pattern, literal), pattern))
-    one = found.withColumn("s", F.explode("spans"))
-    one = one.withColumn("c", context(F.col("s.start"), F.col("s.end"), F.col("s.match"), context_chars))
-    return drop_snippet_parts(one).select(*DOC_COLUMNS, "c.*")
+    one = found.select("*", F.explode("spans").alias("s"))
+    one = one.select(*DOC_COLUMNS, F.expr(context_sql("s.start", "s.end", "s.match", context_chars)).alias("c"))
+    return one.select(*DOC_COLUMNS, "c.*")
 
 
 def search(corpus: DataFrame, term: str, case_sensitive: bool = False, whole_word: bool = False,

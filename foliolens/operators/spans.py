@@ -2,87 +2,77 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliolens.functions.arrays import blocks, count_up_to, pin, running_totals
+from foliolens.functions.arrays import blocks, count_up_to, pin, running_totals, sql_string
 
 CHUNK_BITS = 10
 CHUNK = 1 << CHUNK_BITS
 CONTEXT_CHARS = 300
 
 
+def find(text: str, pattern: str) -> dict[str, Column]:
+    """The matches of a pattern and the pieces of text between them."""
+    return {"_pieces": F.split(text, pattern, -1),
+            "_found": F.regexp_extract_all(text, F.lit(pattern), F.lit(0))}
+
+
 def with_spans(df: DataFrame, pattern: str, out: str = "spans", text: str = "text") -> DataFrame:
     """Add ``out``: every non-overlapping match as struct(start, end, match), in order.
 
     Spark returns the matched strings but not where they are; the pieces between the
     matches give their distances, and running totals of those the positions.
     """
-    df = pin(
-        df,
-        _pieces=F.split(text, pattern, -1),
-        _found=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-    )
-    steps = F.zip_with(
-        F.slice("_pieces", F.lit(1), F.size("_found")), "_found",
-        lambda piece, found: F.char_length(piece) + F.char_length(found),
-    )
-    spans = F.zip_with(running_totals(steps), "_found", lambda end, found: F.struct(
-        (end - F.char_length(found)).alias("start"), end.alias("end"), found.alias("match"),
-    ))
-    return pin(df, **{out: spans}).drop("_pieces", "_found")
+    df = pin(df, find(text, pattern))
+    df = pin(df, {"_steps": "zip_with(slice(_pieces, 1, size(_found)), _found,"
+                            " (piece, m) -> char_length(piece) + char_length(m))"}, drop=("_pieces",))
+    spans = (f"zip_with({running_totals('_steps')}, _found, (e, m) ->"
+             " named_struct('start', e - char_length(m), 'end', e, 'match', m))")
+    return pin(df, {out: spans}, drop=("_steps", "_found"))
 
 
 def with_snippet_parts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add what ``snippet`` and ``page_of`` look things up in.
+    """Add what ``context`` looks things up in.
 
     Taking a substring counts characters from the start of the text, so doing it once per
     match is quadratic; cutting the text into chunks first makes each snippet cost the
     same wherever it lies. Page offsets are cut into blocks for the same reason.
     """
-    offsets = F.col("page_offsets") if "page_offsets" in df.columns else F.lit(None).cast("array<int>")
-    df = pin(
-        df,
-        _chunks=F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)),
-        _length=F.char_length(text),
-        _page_blocks=F.when(F.size(offsets) > 0, blocks(offsets)),
-    )
-    return pin(df, _page_heads=F.transform("_page_blocks", lambda b: F.element_at(b, 1)))
+    offsets = "page_offsets" if "page_offsets" in df.columns else "cast(null AS array<int>)"
+    df = pin(df, {
+        "_chunks": F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)),
+        "_length": F.char_length(text),
+        "_page_blocks": f"if(size({offsets}) > 0, {blocks(offsets)}, null)",
+    })
+    return pin(df, {"_page_heads": "transform(_page_blocks, b -> b[0])"})
 
 
-def drop_snippet_parts(df: DataFrame) -> DataFrame:
-    return df.drop("_chunks", "_length", "_page_blocks", "_page_heads")
+def _snippet(start: str, end: str, context_chars: int) -> str:
+    """Text around a match, with dots on a side where text was left out."""
+    a = f"greatest({start} - {context_chars}, 0)"
+    b = f"least({end} + {context_chars}, _length)"
+    first, last = f"shiftright({a}, {CHUNK_BITS})", f"shiftright({b} - 1, {CHUNK_BITS})"
+    around = f"array_join(slice(_chunks, {first} + 1, {last} - {first} + 1), '')"
+    return (f"concat(if({start} > {context_chars}, '...', ''),"
+            f" substring({around}, {a} % {CHUNK} + 1, {b} - {a}),"
+            f" if({end} + {context_chars} < _length, '...', ''))")
 
 
-def snippet(start: Column, end: Column, context_chars: int = CONTEXT_CHARS) -> Column:
-    """Text around a match, with dots on a side where text was left out."""
-    length = F.col("_length")
-    a = F.greatest(start - context_chars, F.lit(0))
-    b = F.least(end + context_chars, length)
-    first = F.shiftright(a, CHUNK_BITS)
-    last = F.shiftright(b - 1, CHUNK_BITS)
-    around = F.array_join(F.slice(F.col("_chunks"), first + 1, last - first + 1), "")
-    return F.concat(
-        F.when(a > 0, "...").otherwise(""),
-        F.substring(around, a - first * CHUNK + 1, b - a),
-        F.when(b < length, "...").otherwise(""),
-    )
-
-
-def page_of(position: Column) -> Column:
-    """1-based page of a position; null for a document without page offsets."""
-    n = count_up_to(F.col("_page_blocks"), F.col("_page_heads"), position)
-    return F.when(F.col("_page_heads").isNotNull(), F.greatest(F.lit(1), n))
-
-
-def context(start: Column, end: Column, match: Column, context_chars: int = CONTEXT_CHARS) -> Column:
-    return F.struct(
-        start.alias("position"),
-        snippet(start, end, context_chars).alias("context"),
-        match.alias("match"),
-        page_of(start).alias("page"),
-    )
-
-
-def contexts(spans: Column, context_chars: int = CONTEXT_CHARS, most: int | None = None) -> Column:
-    """Contexts of all spans, or of the first ``most`` of them."""
+def context_sql(start: str, end: str, match: str, context_chars: int = CONTEXT_CHARS) -> str:
+    """struct(position, context, match, page) of one match.
+
+    The page counts from 1 and is null for a document without page offsets.
+    """
+    page = f"greatest(1, {count_up_to('_page_blocks', '_page_heads', start)})"
+    return (f"named_struct('position', {start}, 'context', {_snippet(start, end, context_chars)},"
+            f" 'match', {match}, 'page', if(_page_heads IS NULL, null, {page}))")
+
+
+def contexts(spans: str, context_chars: int = CONTEXT_CHARS, most: int | None = None,
+             label: str | None = None) -> Column:
+    """Contexts of all spans of a column, or of the first ``most`` of them.
+
+    ``label`` stands in for the matched text where the spans have none.
+    """
     if most is not None:
-        spans = F.slice(spans, 1, most)
-    return F.transform(spans, lambda s: context(s["start"], s["end"], s["match"], context_chars))
+        spans = f"slice({spans}, 1, {most})"
+    match = "s.match" if label is None else sql_string(label)
+    return F.expr(f"transform({spans}, s -> {context_sql('s.start', 's.end', match, context_chars)})")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from foliolens.functions.arrays import pin
 from foliolens.functions.patterns import term_pattern
 from foliolens.operators.boolean import MAX_CONTEXTS, as_key, has_term
-from foliolens.operators.near import PAIR_CAP, has_both, pair_contexts, with_pairs
+from foliolens.operators.near import has_both, pair_label, with_pairs
 from foliolens.operators.ranking import bounds, filter_hits, hit_totals, page_hits, rank_page
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, with_snippet_parts, with_spans
 from foliolens.plans.merge import DOC_ORDER, first_contexts
@@ -71,8 +71,8 @@ def _scores(corpus: DataFrame, specs: dict[str, _Spec], by_key: bool) -> DataFra
     docs = corpus.filter(reduce(Column.__or__, [s.relevant(by_key) for s in specs.values()]))
     clauses = list(dict.fromkeys(clause for s in specs.values() for clause in s.near))
     for i, (one, two, distance) in enumerate(clauses):
-        docs = pin(docs, _both=F.when(has_both(one, two), F.col("text")))
-        docs = with_pairs(docs, one, two, distance, f"_pairs{i}", text="_both").drop("_both")
+        docs = pin(docs, {"_both": F.when(has_both(one, two), F.col("text"))})
+        docs = with_pairs(docs, one, two, distance, f"_pairs{i}", text="_both", drop=("_both",))
 
     def row(name: str, spec: _Spec) -> Column:
         near = [F.coalesce(F.size(f"_pairs{clauses.index(c)}"), F.lit(0)) for c in spec.near]
@@ -90,17 +90,17 @@ def _scores(corpus: DataFrame, specs: dict[str, _Spec], by_key: bool) -> DataFra
 
 
 def _total(counts: str) -> Column:
-    return F.aggregate(counts, F.lit(0), lambda s, x: s + x)
+    return F.expr(f"aggregate({counts}, 0, (s, x) -> s + x)")
 
 
 def _first_part(counts: str) -> Column:
     """Number of the first clause with a count; null where none has."""
-    return F.nullif(F.array_position(F.transform(counts, lambda c: c > 0), True), F.lit(0))
+    return F.expr(f"nullif(array_position(transform({counts}, c -> c > 0), true), 0)")
 
 
 def _hits_unique(scores: DataFrame) -> DataFrame:
     """With unique keys a document decides alone."""
-    base = (_total("counts") > 0) & F.forall("has", lambda h: h) & ~F.col("excluded")
+    base = (_total("counts") > 0) & F.expr("forall(has, h -> h)") & ~F.col("excluded")
     scored = scores.withColumn("base", base)
     count = F.when(F.col("base"), _total("counts")).otherwise(0) + _total("near")
     return (scored.withColumn("match_count", count).filter("match_count > 0")
@@ -156,12 +156,11 @@ def _clause_contexts(docs: DataFrame, spec: _Spec, context_chars: int, most: int
     lists = []
     for i, term in enumerate(spec.counted):
         docs = with_spans(docs, term_pattern(term), f"_c{i}")
-        lists.append(F.when(F.col("_use_base"), contexts(F.col(f"_c{i}"), context_chars, most)))
+        lists.append(F.when(F.col("_use_base"), contexts(f"_c{i}", context_chars, most)))
     for i, (one, two, distance) in enumerate(spec.near):
-        docs = pin(docs, _both=F.when(has_both(one, two), F.col("text")))
-        docs = with_pairs(docs, one, two, distance, f"_n{i}", text="_both")
-        docs = docs.drop("_both")
-        lists.append(pair_contexts(F.col(f"_n{i}"), one, two, context_chars, most))
+        docs = pin(docs, {"_both": F.when(has_both(one, two), F.col("text"))})
+        docs = with_pairs(docs, one, two, distance, f"_n{i}", text="_both", drop=("_both",))
+        lists.append(contexts(f"_n{i}", context_chars, most, pair_label(one, two)))
     none = F.array().cast("array<struct<position:int,context:string,match:string,page:int>>")
     return docs.withColumn("_lists", F.array(*[F.coalesce(one, none) for one in lists]))
 

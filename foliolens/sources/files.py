@@ -96,7 +96,7 @@ def build_index(files: DataFrame, sep: str = "\f") -> DataFrame:
         "dataset", "filename", "filepath",
         F.coalesce("pages", F.lit(0)).alias("pages"),
         F.col("full_text").alias("text"),
-        page_offsets(F.col("full_text"), sep).alias("page_offsets"),
+        page_offsets("full_text", sep).alias("page_offsets"),
     )
 
 

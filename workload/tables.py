@@ -31,7 +31,7 @@ def _corpus(spark: SparkSession, sf_dir: str, filename: Column, folder: Column)
         F.concat(F.lit("/data-set-"), F.col("dataset").cast("string"), folder, F.col("filename")).alias("filepath"),
         F.size(split_pages(F.col("text"), SEP)).alias("pages"),
         "text",
-        page_offsets(F.col("text"), SEP).alias("page_offsets"),
+        page_offsets("text", SEP).alias("page_offsets"),
         "lang",
     )
 
