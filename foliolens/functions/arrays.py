@@ -4,24 +4,26 @@ They return SQL text rather than columns: a nested array expression is one call
 parser instead of hundreds of calls across the Python bridge.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 BLOCK = 128
 
 
-def pin(df: DataFrame, columns: dict[str, str | Column], drop: tuple[str, ...] = ()) -> DataFrame:
+def pin(df: DataFrame, columns: dict[str, str], drop: tuple[str, ...] = ()) -> DataFrame:
     """Add columns that the optimizer must compute once per row, and drop others.
 
     A column used once inside a lambda would otherwise be inlined there and computed
     again for every array element. A one-row ``inline`` stops that, without a shuffle.
     """
-    fields = [(F.expr(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
-    kept = F.expr(f"* EXCEPT ({', '.join(drop)})") if drop else F.col("*")
-    return df.select(kept, F.inline(F.array(F.struct(*fields))))
+    fields = ", ".join(f"'{name}', {value}" for name, value in columns.items())
+    kept = f"* EXCEPT ({', '.join(drop)})" if drop else "*"
+    return df.selectExpr(kept, f"inline(array(named_struct({fields})))")
 
 
 def sql_string(text: str) -> str:
-    """A SQL string literal."""
+    """A SQL string literal; raw where it can be, so that patterns stay readable in plans."""
+    if "'" not in text:
+        return f"r'{text}'"
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from foliolens.functions.patterns import term_pattern
-from foliolens.operators.search import count_matches, search, search_matches
+from foliolens.operators.search import search, search_matches
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, with_snippet_parts, with_spans
 from foliolens.plans.merge import DOC_ORDER, first_contexts, merge_counts
 from foliolens.plans.skew import drop_by_key, keep_by_key
@@ -68,14 +68,16 @@ def search_any(corpus: DataFrame, terms: list[str], key: str | list[str] = "file
                            F.expr(" + ".join(f"size({n})" for n in names)).alias("match_count"),
                            contexts(first, context_chars, max_contexts).alias("contexts"))
     key = as_key(key)
-    counts, found = [], []
+    docs = corpus.filter(reduce(Column.__or__, [has_term(t) for t in terms]))
+    counted = F.array(*[F.regexp_count("text", F.lit(term_pattern(t))) for t in terms])
+    parts = docs.select(*DOC_COLUMNS, F.posexplode(counted).alias("part", "match_count"))
+    merged = merge_counts(parts.filter("match_count > 0"), key)
+    docs = with_snippet_parts(docs)
     for i, term in enumerate(terms):
-        counts.append(count_matches(corpus, term).withColumn("part", F.lit(i)))
-        hits = search(corpus, term, context_chars=context_chars, max_contexts=max_contexts)
-        found.append(hits.withColumn("part", F.lit(i)))
-    merged = merge_counts(reduce(DataFrame.unionByName, counts), key)
-    lists = first_contexts(reduce(DataFrame.unionByName, found), key, max_contexts)
-    return merged.join(lists, key)
+        docs = with_spans(docs, term_pattern(term), f"_spans{i}")
+    lists = F.array(*[contexts(f"_spans{i}", context_chars, max_contexts) for i in range(len(terms))])
+    found = docs.select(*DOC_COLUMNS, F.posexplode(lists).alias("part", "contexts"))
+    return merged.join(first_contexts(found, key, max_contexts), key)
 
 
 def search_any_matches(corpus: DataFrame, terms: list[str],

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliolens.functions.content import PDF_MAGIC, content_kind, content_preview, has_magic
+from foliolens.session import shared_table
 
 NUM_DATASETS = 12
 _BUCKETS = 1024
@@ -52,14 +53,14 @@ def corpus_stats(corpus: DataFrame) -> DataFrame:
 def describe_corpus(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles (interpolated) and max of numeric columns, exactly.
 
-    The values are counted first, so repeated ones travel once. Quartiles are found in two
+    The values are counted first, so repeated ones travel once, and the counts are kept. Quartiles are found in two
     steps: running counts over 1,024 equal value ranges per column say which range holds a
     wanted rank, and only the values of those ranges are ranked one by one.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns
     ])).alias("x")).select("x.*").filter("v IS NOT NULL")
-    counted = long.groupBy("column", "v").agg(F.count("*").alias("n"))
+    counted = shared_table(long.groupBy("column", "v").agg(F.count("*").alias("n")))
 
     basic = counted.groupBy("column").agg(
         F.sum("n").alias("count"),

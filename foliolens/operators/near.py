@@ -1,8 +1,8 @@
 """Two terms within N words of each other, computed inside each document row."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from foliolens.functions.arrays import blocks, pin, running_totals
+from foliolens.functions.arrays import blocks, pin, running_totals, sql_string
 from foliolens.functions.patterns import WORD, WS, term_pattern
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, find, with_snippet_parts
 from foliolens.schema import DOC_COLUMNS
@@ -83,9 +83,9 @@ def with_pairs(df: DataFrame, term1: str, term2: str, distance: int, out: str =
     return pin(df, {out: pairs}, drop=("_one", "_two_blocks", *drop))
 
 
-def has_both(term1: str, term2: str, case_sensitive: bool = False) -> Column:
-    one, two = (F.col("text").rlike(term_pattern(t, case_sensitive)) for t in (term1, term2))
-    return one & two
+def has_both(term1: str, term2: str, case_sensitive: bool = False) -> str:
+    """Condition, as SQL text: the text has both terms."""
+    return " AND ".join(f"rlike(text, {sql_string(term_pattern(t, case_sensitive))})" for t in (term1, term2))
 
 
 def having_both(corpus: DataFrame, term1: str, term2: str, case_sensitive: bool = False) -> DataFrame:

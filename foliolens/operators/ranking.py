@@ -46,10 +46,14 @@ def sort_hits(hits: DataFrame, sort: str = "relevance") -> DataFrame:
     return hits.orderBy(*order_columns(sort))
 
 
-def page_hits(hits: DataFrame, page: int = 1, per_page: int = 20, sort: str = "relevance") -> DataFrame:
-    """One page; order, offset and limit together run as a top-k, not a full sort."""
+def check_page(page: int, per_page: int) -> None:
     if page < 1 or not 1 <= per_page <= MAX_PER_PAGE:
         raise ValueError(f"page must be at least 1 and per_page 1..{MAX_PER_PAGE}")
+
+
+def page_hits(hits: DataFrame, page: int = 1, per_page: int = 20, sort: str = "relevance") -> DataFrame:
+    """One page; order, offset and limit together run as a top-k, not a full sort."""
+    check_page(page, per_page)
     return sort_hits(hits, sort).offset((page - 1) * per_page).limit(per_page)
 
 

@@ -9,10 +9,10 @@ CHUNK = 1 << CHUNK_BITS
 CONTEXT_CHARS = 300
 
 
-def find(text: str, pattern: str) -> dict[str, Column]:
+def find(text: str, pattern: str) -> dict[str, str]:
     """The matches of a pattern and the pieces of text between them."""
-    return {"_pieces": F.split(text, pattern, -1),
-            "_found": F.regexp_extract_all(text, F.lit(pattern), F.lit(0))}
+    return {"_pieces": f"split({text}, {sql_string(pattern)}, -1)",
+            "_found": f"regexp_extract_all({text}, {sql_string(pattern)}, 0)"}
 
 
 def with_spans(df: DataFrame, pattern: str, out: str = "spans", text: str = "text") -> DataFrame:
@@ -38,8 +38,8 @@ def with_snippet_parts(df: DataFrame, text: str = "text") -> DataFrame:
     """
     offsets = "page_offsets" if "page_offsets" in df.columns else "cast(null AS array<int>)"
     df = pin(df, {
-        "_chunks": F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)),
-        "_length": F.char_length(text),
+        "_chunks": f"regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0)",
+        "_length": f"char_length({text})",
         "_page_blocks": f"if(size({offsets}) > 0, {blocks(offsets)}, null)",
     })
     return pin(df, {"_page_heads": "transform(_page_blocks, b -> b[0])"})

@@ -5,8 +5,9 @@ scores are combined per key, filtered and ordered. Page: snippets are made only
 documents of the page asked for.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,7 +15,7 @@ from foliolens.functions.arrays import pin
 from foliolens.functions.patterns import term_pattern
 from foliolens.operators.boolean import MAX_CONTEXTS, as_key, has_term
 from foliolens.operators.near import has_both, pair_label, with_pairs
-from foliolens.operators.ranking import bounds, filter_hits, hit_totals, page_hits, rank_page
+from foliolens.operators.ranking import bounds, check_page, filter_hits, hit_totals, page_hits, rank_page
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, with_snippet_parts, with_spans
 from foliolens.plans.merge import DOC_ORDER, first_contexts
 from foliolens.plans.skew import keep_by_key
@@ -23,18 +24,27 @@ from foliolens.session import shared_table
 
 Near = tuple[str, str, int]
 
+MAX_BROADCAST_ROWS = 100_000
+
 
 @dataclass(frozen=True)
 class SearchResult:
-    """``hits`` without contexts, ``totals`` over all of them, and one ``page`` with contexts.
+    """``hits`` without contexts; ``totals`` over all of them; ``page`` with contexts.
 
-    The three share the scores. ``hits.persist()`` before using more than one of them saves
-    the scan where the scores were not written to the shared folder.
+    All share the scores. ``hits.persist()`` before using more than one of them saves a
+    scan where the scores were not written to the shared folder.
     """
 
     hits: DataFrame
-    totals: DataFrame
-    page: DataFrame
+    _build_page: Callable[[], DataFrame]
+
+    @property
+    def totals(self) -> DataFrame:
+        return hit_totals(self.hits)
+
+    @cached_property
+    def page(self) -> DataFrame:
+        return self._build_page()
 
 
 @dataclass(frozen=True)
@@ -48,7 +58,7 @@ class _Spec:
     def relevant(self, by_key: bool) -> Column:
         """Documents that can matter; by key also those that only carry another term."""
         tests = [has_term(t) for t in self.counted]
-        tests += [has_both(a, b) for a, b, _ in self.near]
+        tests += [F.expr(has_both(a, b)) for a, b, _ in self.near]
         if by_key and self.counted:
             tests += [has_term(t) for t in self.required + self.none]
         return reduce(Column.__or__, tests)
@@ -71,7 +81,7 @@ def _scores(corpus: DataFrame, specs: dict[str, _Spec], by_key: bool) -> DataFra
     docs = corpus.filter(reduce(Column.__or__, [s.relevant(by_key) for s in specs.values()]))
     clauses = list(dict.fromkeys(clause for s in specs.values() for clause in s.near))
     for i, (one, two, distance) in enumerate(clauses):
-        docs = pin(docs, {"_both": F.when(has_both(one, two), F.col("text"))})
+        docs = pin(docs, {"_both": f"if({has_both(one, two)}, text, null)"})
         docs = with_pairs(docs, one, two, distance, f"_pairs{i}", text="_both", drop=("_both",))
 
     def row(name: str, spec: _Spec) -> Column:
@@ -158,7 +168,7 @@ def _clause_contexts(docs: DataFrame, spec: _Spec, context_chars: int, most: int
         docs = with_spans(docs, term_pattern(term), f"_c{i}")
         lists.append(F.when(F.col("_use_base"), contexts(f"_c{i}", context_chars, most)))
     for i, (one, two, distance) in enumerate(spec.near):
-        docs = pin(docs, {"_both": F.when(has_both(one, two), F.col("text"))})
+        docs = pin(docs, {"_both": f"if({has_both(one, two)}, text, null)"})
         docs = with_pairs(docs, one, two, distance, f"_n{i}", text="_both", drop=("_both",))
         lists.append(contexts(f"_n{i}", context_chars, most, pair_label(one, two)))
     none = F.array().cast("array<struct<position:int,context:string,match:string,page:int>>")
@@ -177,9 +187,9 @@ def _page_by_document(page: DataFrame, corpus: DataFrame, spec: _Spec, context_c
     return found.select(*DOC_COLUMNS, "match_count", F.slice(F.flatten("_lists"), 1, most).alias("contexts"))
 
 
-def _page_by_key(page: DataFrame, scores: DataFrame, corpus: DataFrame, spec: _Spec,
+def _page_by_key(page: DataFrame, rows: int, scores: DataFrame, corpus: DataFrame, spec: _Spec,
                  key: list[str], context_chars: int, most: int) -> DataFrame:
-    """Contexts of a page whose rows are keys, each gathered from several documents.
+    """Contexts of a page whose ``rows`` are keys, each gathered from several documents.
 
     A document with a hit gives at least one context, so the first ``most`` documents per
     key and clause are enough; the row limit is applied before the shuffle.
@@ -190,18 +200,20 @@ def _page_by_key(page: DataFrame, scores: DataFrame, corpus: DataFrame, spec: _S
     base_ok = F.col("_use_base") if spec.either else (
         F.col("_use_base") & (F.col("filepath") == F.col("_shown")))
     of_page = of_page.withColumn("_use_base", base_ok)
-    counts = F.concat(F.transform("counts", lambda c: F.when(F.col("_use_base"), c).otherwise(0)), F.col("near"))
-    rows = of_page.select(*DOC_COLUMNS, "_use_base", F.posexplode(counts).alias("part", "n")).filter("n > 0")
+    counts = F.expr("concat(transform(counts, c -> if(_use_base, c, 0)), near)")
+    found = of_page.select(*DOC_COLUMNS, "_use_base", F.posexplode(counts).alias("part", "n")).filter("n > 0")
     w = Window.partitionBy(*key, "part").orderBy(*DOC_ORDER)
-    needed = rows.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most)
-    parts = needed.groupBy("dataset", "filepath").agg(
+    needed = found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most)
+    wanted = needed.groupBy("dataset", "filepath").agg(
         F.max("_use_base").alias("_use_base"), F.collect_set("part").alias("_parts"))
-    docs = corpus.join(parts, ["dataset", "filepath"])
-    found = _clause_contexts(docs, spec, context_chars, most)
-    lists = found.select(*DOC_COLUMNS, "_parts", F.posexplode("_lists").alias("part", "contexts"))
+    # known bound on the documents wanted; beyond it Spark chooses the join from their size
+    if rows * (len(spec.counted) + len(spec.near)) * most <= MAX_BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    docs = corpus.join(wanted, ["dataset", "filepath"])
+    lists = _clause_contexts(docs, spec, context_chars, most).select(
+        *DOC_COLUMNS, "_parts", F.posexplode("_lists").alias("part", "contexts"))
     lists = lists.filter(F.array_contains("_parts", F.col("part")))
-    gathered = first_contexts(lists, key, most)
-    return page.drop("base").join(gathered, key)
+    return F.broadcast(page.drop("base")).join(first_contexts(lists, key, most), key)
 
 
 def _hits(scores: DataFrame, spec: _Spec, key: list[str]) -> DataFrame:
@@ -236,12 +248,17 @@ def query(corpus: DataFrame, all: list[str] | None = None, any: list[str] | None
         if spec.either or spec.near or spec.required or spec.none:
             scores = shared_table(scores)
         hits = filter_hits(_hits(scores, spec, key), **filters)
-    rows = page_hits(hits, page, per_page, sort)
-    if not unique_key and (spec.either or spec.near):
-        shown = _page_by_key(rows, scores, corpus, spec, key, context_chars, max_contexts)
-    else:
-        shown = _page_by_document(rows, corpus, spec, context_chars, max_contexts)
-    return SearchResult(hits=hits.drop("base"), totals=hit_totals(hits), page=rank_page(shown, sort))
+    check_page(page, per_page)
+
+    def build_page() -> DataFrame:
+        rows = page_hits(hits, page, per_page, sort)
+        if not unique_key and (spec.either or spec.near):
+            shown = _page_by_key(rows, per_page, scores, corpus, spec, key, context_chars, max_contexts)
+        else:
+            shown = _page_by_document(rows, corpus, spec, context_chars, max_contexts)
+        return rank_page(shown, sort)
+
+    return SearchResult(hits.drop("base"), build_page)
 
 
 def query_many(corpus: DataFrame, queries: dict[str, dict], key: str | list[str] = "filename",
