@@ -15,7 +15,7 @@ def has_magic(content: Column, magic: bytes = PDF_MAGIC) -> Column:
 
 def content_kind(content: Column, magic: bytes = PDF_MAGIC) -> Column:
     """'pdf', 'html', 'empty' or 'other', told from the leading bytes."""
-    head = F.lower(F.ltrim(F.decode(F.substring(content, 1, 64), "ISO-8859-1")))
+    head = F.lower(F.regexp_replace(content_preview(content, 64), r"^\s+", ""))
     html = F.lit(False)
     for start in HTML_STARTS:
         html = html | head.startswith(start)

@@ -19,22 +19,23 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str | None:
-    """The folder named by ``spark.checkpoint.dir``.
+    """A folder of this application below the one named by ``spark.checkpoint.dir``.
 
-    Where it is unset, a local master gets a temporary folder (one machine, so
-    it is shared); a cluster gets None rather than a folder executors cannot see.
+    Where that is unset, a local master gets a temporary folder (one machine, so it is
+    shared); a cluster gets None rather than a folder its executors cannot see.
     """
+    app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
+        return f"{named.rstrip('/')}/foliolens-{app}"
     if spark.sparkContext.master.startswith("local"):
-        path = tempfile.mkdtemp(prefix="foliolens-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        return path
+        if app not in _local_dirs:
+            _local_dirs[app] = tempfile.mkdtemp(prefix="foliolens-")
+        return _local_dirs[app]
     return None
 
 
@@ -48,7 +49,7 @@ def shared_table(df: DataFrame) -> DataFrame:
     folder = shared_dir(df.sparkSession)
     if folder is None:
         return df
-    path = f"{folder.rstrip('/')}/foliolens-{uuid.uuid4().hex}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -15,7 +15,7 @@ from workload.registry import query
 
 
 def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/foliolens-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query("text_preview", f"""WITH {t.CORPUS} SELECT filename,
@@ -278,7 +278,7 @@ def _(spark, sf):
 
 
 @query("sniff_content", f"""WITH {t.STORED} SELECT dataset, filename,
-    CASE WHEN starts_with(lower(ltrim(body)), '<!doctype html') OR starts_with(lower(ltrim(body)), '<html')
+    CASE WHEN starts_with(lower(regexp_replace(body, '^\\s+', '')), '<!doctype html') OR starts_with(lower(regexp_replace(body, '^\\s+', '')), '<html')
       THEN 'html' ELSE 'other' END AS kind FROM stored""")
 def _(spark, sf):
     return inventory.sniff_content(t.stored(spark, sf)).select("dataset", "filename", "kind")
