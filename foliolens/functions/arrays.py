@@ -21,10 +21,14 @@ def pin(df: DataFrame, columns: dict[str, str], drop: tuple[str, ...] = ()) -> D
 
 
 def sql_string(text: str) -> str:
-    """A SQL string literal; raw where it can be, so that patterns stay readable in plans."""
-    if "'" not in text:
+    """A SQL string literal; raw where it can be, so that patterns stay readable in plans.
+
+    ``${...}`` is masked because the parser would take it for a variable.
+    """
+    if "'" not in text and "${" not in text:
         return f"r'{text}'"
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    masked = text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024")
+    return f"'{masked}'"
 
 
 def let(name: str, value: str, body: str) -> str:

@@ -6,14 +6,26 @@ WS = r"\s\x1c-\x1f\x85\p{Z}"
 WORD = f"[^{WS}]+"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 
-_BOUNDARY = f"(?:(?<!{WORD_CHAR})(?={WORD_CHAR})|(?<={WORD_CHAR})(?!{WORD_CHAR}))"
-
 
 def escape_literal(term: str) -> str:
     r"""Quote a term for a Java pattern; a ``\E`` inside it closes and reopens the quote."""
     return r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
+def _whole_word(term: str, body: str) -> str:
+    """Ask for a boundary on both sides, looking only where the term itself was found.
+
+    Next to a word character of the term a boundary means no word character, next to any
+    other character it means one.
+    """
+    def is_word(ch: str) -> bool:
+        return ch.isalnum() or ch == "_"
+
+    before = "(?<!" if is_word(term[0]) else "(?<="
+    after = "(?!" if is_word(term[-1]) else "(?="
+    return f"{body}{before}{WORD_CHAR}{body}){after}{WORD_CHAR})"
+
+
 def term_pattern(term: str, case_sensitive: bool = False, whole_word: bool = False) -> str:
     """Pattern of a literal term, Unicode case folding unless ``case_sensitive``.
 
@@ -24,7 +36,7 @@ def term_pattern(term: str, case_sensitive: bool = False, whole_word: bool = Fal
         raise ValueError("a search term must not be empty")
     body = escape_literal(term)
     if whole_word:
-        body = _BOUNDARY + body + _BOUNDARY
+        body = _whole_word(term, body)
     return body if case_sensitive else "(?iu)" + body
 
 

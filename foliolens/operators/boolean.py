@@ -89,13 +89,18 @@ def search_any_matches(corpus: DataFrame, terms: list[str],
 
 
 def exclude_terms(hits: DataFrame, corpus: DataFrame, terms: list[str],
-                  key: str | list[str] = "filename") -> DataFrame:
+                  key: str | list[str] = "filename", unique_key: bool = False) -> DataFrame:
     """Drop hits whose key has any of the terms in any document."""
     if not terms:
         return hits
     key = as_key(key)
     any_term = reduce(Column.__or__, [has_term(t) for t in terms])
-    return drop_by_key(hits, corpus.filter(any_term).select(*key).distinct(), key, DOC_ORDER)
+    gone = corpus.filter(any_term).select(*key)
+    if unique_key:
+        return hits.join(gone, key, "left_anti")
+    # a key has at most as many hits as documents, and counting those reads no text
+    counts = corpus.groupBy(*key).agg(F.count("*").alias("n"))
+    return drop_by_key(hits, shared_table(gone.distinct()), key, DOC_ORDER, counts)
 
 
 def merge_near(hits: DataFrame, near_hits: list[DataFrame], key: str | list[str] = "filename",

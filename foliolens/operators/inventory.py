@@ -9,12 +9,18 @@ NUM_DATASETS = 12
 _BUCKETS = 1024
 
 
+def _sum_mb() -> Column:
+    """Sum of rounded megabytes, exact and the same in any order."""
+    total = F.sum(F.col("size_mb").cast("decimal(18,2)")).cast("double")
+    return F.coalesce(total, F.lit(0.0)).alias("total_size_mb")
+
+
 def dataset_rollup(files: DataFrame) -> DataFrame:
     """Per data set: files (error records included), pages and megabytes."""
     return files.groupBy("dataset").agg(
         F.count("*").alias("file_count"),
         F.sum(F.coalesce("pages", F.lit(0))).alias("total_pages"),
-        F.bround(F.sum(F.coalesce("size_mb", F.lit(0.0))), 2).alias("total_size_mb"),
+        _sum_mb(),
     )
 
 
@@ -23,7 +29,7 @@ def corpus_totals(files: DataFrame) -> DataFrame:
     return files.filter("error IS NULL").agg(
         F.count("*").alias("total_files"),
         F.coalesce(F.sum("pages"), F.lit(0)).alias("total_pages"),
-        F.bround(F.coalesce(F.sum("size_mb"), F.lit(0.0)), 2).alias("total_size_mb"),
+        _sum_mb(),
     )
 
 

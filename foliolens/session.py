@@ -13,9 +13,13 @@ SETTINGS = {
 }
 
 
-def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
+def configure(builder: SparkSession.Builder, shuffle_partitions: int | None = None) -> SparkSession.Builder:
+    """Apply ``SETTINGS``. ``shuffle_partitions`` is the number adaptive execution starts
+    from before it joins small partitions; on a large cluster give a few per core."""
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", shuffle_partitions)
     return builder
 
 

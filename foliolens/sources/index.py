@@ -21,14 +21,17 @@ def read_index(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return reader.option("multiLine", fmt == "json_array").json(path)
 
 
-def write_index(index: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+def write_index(index: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
+                partitions: int | None = None) -> None:
     """Partitioned by data set and in order of file name.
 
     The range partitioning splits a large data set over many tasks; the order gives narrow
     statistics per row group, so looking up the documents of a page skips most of the index.
+    There are as many partitions as the input has splits unless ``partitions`` says otherwise.
     """
-    ordered = (index.repartitionByRange("dataset", "filename", "filepath")
-               .sortWithinPartitions("dataset", "filename", "filepath"))
+    order = ["dataset", "filename", "filepath"]
+    count = partitions or index.rdd.getNumPartitions()
+    ordered = index.repartitionByRange(count, *order).sortWithinPartitions(*order)
     ordered.write.mode(mode).partitionBy("dataset").format(fmt).save(path)
 
 

@@ -22,15 +22,18 @@ def spans(text, term, flags=re.I):
     return [m.span() for m in re.finditer(re.escape(term), text, flags)]
 
 
+def words_between(text, a, b):
+    """Words between two matches; None where they touch or overlap."""
+    first, second = sorted((a, b))
+    return len(text[first[1]:second[0]].split()) if first[1] < second[0] else None
+
+
 def near_pairs(text, one, two, n, cap=50):
-    found = []
-    for s1, e1 in spans(text, one):
-        if len(found) >= cap:
-            break
-        for s2, e2 in spans(text, two):
-            gap = (min(e1, e2), max(s1, s2))
-            if gap[0] < gap[1] and len(text[gap[0]:gap[1]].split()) <= n:
-                found.append((min(s1, s2), max(e1, e2)))
+    found, others = [], spans(text, two)
+    for m in spans(text, one):
+        if len(found) < cap:
+            close = [o for o in others if (gap := words_between(text, m, o)) is not None and gap <= n]
+            found += [(min(m[0], o[0]), max(m[1], o[1])) for o in close]
     return found
 
 

@@ -40,6 +40,16 @@ def test_search_equals_the_rule(spark, term):
     assert counts == {d[2]: n for d, n, _ in want}
 
 
+@pytest.mark.parametrize("term", ["it's", "a\\", r"\E", "${env:HOME}", "$1", 'say "x"', "\n", "--", "'; '"])
+def test_any_text_can_be_a_term(spark, term):
+    docs = [document(1, "a.pdf", f"before {term} after {term}"), document(1, "b.pdf", "nothing here")]
+    corpus = spark.createDataFrame(docs, CORPUS)
+    same(plain(search.search(corpus, term)), term_hits(docs, term))
+    same(plain(near.search_near(corpus, "after", term, 0)), near_hits(docs, "after", term, 0))
+    same(plain(query(corpus, all=[term], none=["no"], near=[(term, "after", 1)]).page),
+         whole(docs, all=[term], none=["no"], near=[(term, "after", 1)]))
+
+
 def test_snippets_and_pages_in_long_texts(spark):
     text = "x" * 1020 + "needle" + "é" * 2000 + "\f" + "😀" * 700 + "needle" + "y" * 299 + "\f" * 400 + "needle"
     docs = [document(1, "long.pdf", text), document(1, "short.pdf", "needle")]
@@ -74,6 +84,18 @@ def test_page_is_null_without_offsets(spark):
     assert [c.page for r in search.search(bare, "x").collect() for c in r.contexts] == [None, None]
 
 
+@pytest.mark.parametrize("term", ["on", "é", "a b", ".a", "b.", "😀", "_", "2"])
+def test_whole_word_equals_the_rule(spark, term):
+    docs = random_docs(12, letters="abén.o_2 😀\n")
+    docs.append(document(1, "z.pdf", "on 2on on2 éon on_ on. .on on\n😀on a.a .a é"))
+    corpus = spark.createDataFrame(docs, CORPUS)
+    got = {r.filepath: [c.position for c in r.contexts]
+           for r in search.search(corpus, term, whole_word=True).collect()}
+    word = re.compile(rf"\b{re.escape(term)}\b", re.I)
+    want = {d[2]: [m.start() for m in word.finditer(d[4])] for d in docs}
+    assert got == {k: v for k, v in want.items() if v}
+
+
 NEAR_CASES = [("a", "b", 0, 50), ("a", "a", 1, 5), ("aa", "a", 2, 50), ("b a", "a", 1, 50),
               (" a", "b ", 0, 50), ("é", "a", 2, 3), ("b", "a", 9, 50), ("a b", "b a", 3, 50)]
 

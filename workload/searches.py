@@ -145,7 +145,7 @@ def _(spark, sf):
   FROM corpus WHERE {_has('the')} AND NOT {_has('license')} AND NOT {_has('ing the')}""")
 def _(spark, sf):
     docs = t.corpus(spark, sf)
-    return boolean.exclude_terms(search.count_matches(docs, "the"), docs, ["license", "ing the"])
+    return boolean.exclude_terms(search.count_matches(docs, "the"), docs, ["license", "ing the"], "filepath", True)
 
 
 @query("search_not_by_name", f"""WITH {t.BY_NAME} SELECT {DOC},
