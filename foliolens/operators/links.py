@@ -6,6 +6,7 @@ from foliolens.functions.urls import (
     decode_filename, hrefs, links_by_patterns, listing_url, page_number, resolve_url, url_filename,
 )
 from foliolens.plans.skew import drop_by_key
+from foliolens.session import shared_table
 
 BATCH_SIZE = 10
 STATUSES = ["downloaded", "skipped", "failed"]
@@ -73,7 +74,7 @@ def plan_fetch_totals(planned: DataFrame) -> DataFrame:
 
 def pending_links(links: DataFrame, have: DataFrame) -> DataFrame:
     """Distinct links whose file is not there with valid content."""
-    todo = links.select("dataset", "url", "filename").distinct()
+    todo = shared_table(links.select("dataset", "url", "filename").distinct())
     return drop_by_key(todo, have, ["dataset", "filename"], ["dataset", "url"])
 
 

@@ -28,16 +28,13 @@ def with_word_spans(df: DataFrame, term: str, case_sensitive: bool, out: str,
 
     df = pin(df, find(text, term_pattern(term, case_sensitive)))
     # a leg is a piece and the match after it; the last leg is the piece after the last match
-    df = pin(df, {"_legs": f"""transform(
-        zip_with(_pieces, _found, (piece, m) -> named_struct(
-            'piece', piece, 'match_chars', char_length(m), 'leg', concat(piece, coalesce(m, '')))),
-        g -> named_struct(
-            'match_chars', g.match_chars,
-            'chars', char_length(g.leg),
-            'words', regexp_count(g.leg, r'{WORD}'),
-            'leg_opens', {has_ink % "left(g.leg, 1)"},
-            'piece_closes', {has_ink % "right(g.piece, 1)"},
-            'no_piece', g.piece = ''))"""}, drop=("_pieces",))
+    df = pin(df, {"_legs": f"""zip_with(_pieces, _found, (piece, m) -> named_struct(
+            'match_chars', char_length(m),
+            'chars', char_length(piece) + char_length(m),
+            'words', regexp_count(concat(piece, coalesce(m, '')), r'{WORD}'),
+            'leg_opens', {has_ink % "left(if(piece = '', coalesce(m, ''), piece), 1)"},
+            'piece_closes', {has_ink % "right(piece, 1)"},
+            'no_piece', piece = ''))"""}, drop=("_pieces",))
 
     # does a word run on past the end of match i (counted from 0) into the next leg?
     runs_on = f"({closes} AND coalesce(get(_legs, %s).leg_opens, false))"

@@ -92,3 +92,10 @@ def icontains_filter(corpus: DataFrame, term: str) -> DataFrame:
     """Lower-cased substring test; not the same folding as ``search`` for a few letters."""
     return (corpus.filter(F.lower("text").contains(term.lower()))
             .select("filename", "dataset", "pages"))
+
+
+def filenames(corpus: DataFrame, dataset: int | None = None) -> DataFrame:
+    """File names of everything or of one data set."""
+    if dataset is not None:
+        corpus = corpus.filter(F.col("dataset") == dataset)
+    return corpus.select("filename")

@@ -76,6 +76,9 @@ def test_hot_keys_are_decided_by_broadcast(spark):
     want = {r.id for r in left.join(keys, "k").collect()}
     assert {r.id for r in keep_by_key(left, keys, ["k"], ["id"]).collect()} == want
     assert {r.id for r in drop_by_key(left, keys, ["k"], ["id"]).collect()} == set(range(20_000)) - want
+    no_key = left.withColumn("k", F.when(F.col("id") % 5 > 0, F.col("k")))
+    want = {r.id for r in no_key.join(keys, "k").collect()}
+    assert {r.id for r in keep_by_key(no_key, keys, ["k"], ["id"]).collect()} == want
     text = plan(keep_by_key(left, keys, ["k"], ["id"]))
     assert "TakeOrderedAndProject(limit=1000" in text and "BroadcastExchange" in text
 

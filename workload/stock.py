@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliolens.functions import text as fx
 from foliolens.functions.content import has_magic
 from foliolens.operators import inventory
-from foliolens.operators.search import count_matches
+from foliolens.operators.search import count_matches, filenames
 from foliolens.session import shared_dir
 from foliolens.sources import files as sources, index
 from workload import tables as t
@@ -184,12 +184,12 @@ def _(spark, sf):
 
 @query("filenames_in_dataset", f"WITH {t.CORPUS} SELECT filename FROM corpus WHERE dataset = 1")
 def _(spark, sf):
-    return t.corpus(spark, sf).filter("dataset = 1").select("filename")
+    return filenames(t.corpus(spark, sf), 1)
 
 
 @query("filenames_all", f"WITH {t.CORPUS} SELECT filename FROM corpus")
 def _(spark, sf):
-    return t.corpus(spark, sf).select("filename")
+    return filenames(t.corpus(spark, sf))
 
 
 _ROLLUP = """SELECT dataset, count(*) AS file_count, CAST(sum(coalesce(pages, 0)) AS BIGINT) AS total_pages,
