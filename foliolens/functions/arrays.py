@@ -4,6 +4,8 @@ They return SQL text rather than columns: a nested array expression is one call
 parser instead of hundreds of calls across the Python bridge.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 
 BLOCK = 128
@@ -57,12 +59,16 @@ def running_totals(arr: str, kind: str = "int", size: int = BLOCK) -> str:
             f" p -> slice(p, 2, size(p) - 1)))")
 
 
-def count_up_to(sorted_blocks: str, heads: str, value: str) -> str:
-    """How many elements of an ascending array are at most ``value``.
+def search_steps(arr: str) -> str:
+    """The jump lengths of a binary search in an array: powers of two, largest first."""
+    powers = ", ".join(str(1 << b) for b in reversed(range(31)))
+    return f"filter(array({powers}), p -> p <= size({arr}))"
+
+
+def count_while(steps: str, test: Callable[[str], str]) -> str:
+    """How many leading elements pass a test that fails for all after the first failure.
 
-    ``sorted_blocks`` = ``blocks(arr)`` and ``heads`` = the first element of each block:
-    only the heads and one block are looked at.
+    ``steps`` = ``search_steps(arr)``; ``test`` gets an index, as SQL text, that may lie past
+    the end, where ``get`` gives null and the test does not pass.
     """
-    inside = f"size(filter(get({sorted_blocks}, last), x -> x <= {value}))"
-    return let("last", f"size(filter({heads}, h -> h <= {value})) - 1",
-               f"if(last < 0, 0, last * {BLOCK} + {inside})")
+    return f"aggregate({steps}, 0, (n, step) -> if({test('n + step - 1')}, n + step, n))"

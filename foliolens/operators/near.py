@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from foliolens.functions.arrays import blocks, pin, running_totals, sql_string
+from foliolens.functions.arrays import count_while, let, pin, running_totals, search_steps, sql_string
 from foliolens.functions.patterns import WORD, WS, term_pattern
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, find, with_snippet_parts
 from foliolens.schema import DOC_COLUMNS
@@ -58,8 +58,8 @@ def with_pairs(df: DataFrame, term1: str, term2: str, distance: int, out: str =
                drop: tuple[str, ...] = ()) -> DataFrame:
     """Add ``out``: struct(start, end) of every accepted pair, in order of the first term.
 
-    For each match of the first term only those blocks of second-term matches are looked
-    into that reach its word window. No further first-term match is taken up once ``cap``
+    For each match of the first term, binary search finds the second-term matches that reach
+    its word window. No further first-term match is taken up once ``cap``
     pairs were found, so a list holds fewer than ``cap`` pairs plus those of one match.
     A null text gives a null list; keep out documents that lack a term beforehand.
     """
@@ -67,17 +67,18 @@ def with_pairs(df: DataFrame, term1: str, term2: str, distance: int, out: str =
         raise ValueError("distance must be at least 0 and cap at least 1")
     df = with_word_spans(df, term1, case_sensitive, "_one", text)
     df = with_word_spans(df, term2, case_sensitive, "_two", text)
-    df = pin(df, {"_two_blocks": f"""transform({blocks("_two", 64)}, b -> named_struct(
-        'first', b[0].ws, 'last', element_at(b, -1).we, 'items', b))"""}, drop=("_two",))
-    reached = f"b.first - m.we <= {distance} AND m.ws - b.last <= {distance}"
+    df = pin(df, {"_steps": search_steps("_two")})
+    # second-term matches whose word ordinals reach the window lie side by side
+    first = count_while("_steps", lambda i: f"get(_two, {i}).we < m.ws - {distance}")
+    upto = count_while("_steps", lambda i: f"get(_two, {i}).ws <= m.we + {distance}")
+    reached = let("first", first, f"slice(_two, first + 1, greatest({upto} - first, 0))")
     near = (f"(o.start > m.end AND o.ws - m.we <= {distance})"
             f" OR (o.end < m.start AND m.ws - o.we <= {distance})")
-    more = f"""transform(
-        filter(flatten(transform(filter(_two_blocks, b -> {reached}), b -> b.items)), o -> {near}),
+    more = f"""transform(filter({reached}, o -> {near}),
         o -> named_struct('start', least(m.start, o.start), 'end', greatest(m.end, o.end)))"""
     none = "cast(array() AS array<struct<start:int,end:int>>)"
     pairs = f"aggregate(_one, {none}, (found, m) -> if(size(found) < {cap}, concat(found, {more}), found))"
-    return pin(df, {out: pairs}, drop=("_one", "_two_blocks", *drop))
+    return pin(df, {out: pairs}, drop=("_one", "_two", "_steps", *drop))
 
 
 def has_both(term1: str, term2: str, case_sensitive: bool = False) -> str:

@@ -2,12 +2,15 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from foliolens.functions.arrays import blocks
 from foliolens.functions.patterns import regex_pattern, term_pattern
 from foliolens.operators.spans import (
-    CONTEXT_CHARS, context_sql, contexts, with_snippet_parts, with_spans,
+    CONTEXT_CHARS, contexts, with_snippet_parts, with_spans,
 )
 from foliolens.schema import DOC_COLUMNS
 
+MATCHES_AT_ONCE = 1024
+
 
 def having(corpus: DataFrame, pattern: str, literal: str | None = None) -> DataFrame:
     """Documents with at least one match.
@@ -32,9 +35,11 @@ def _hits(corpus: DataFrame, pattern: str, context_chars: int, literal: str | No
 
 def _matches(corpus: DataFrame, pattern: str, context_chars: int, literal: str | None) -> DataFrame:
     found = with_snippet_parts(with_spans(having(corpus, pattern, literal), pattern))
-    one = found.select("*", F.explode("spans").alias("s"))
-    one = one.select(*DOC_COLUMNS, F.expr(context_sql("s.start", "s.end", "s.match", context_chars)).alias("c"))
-    return one.select(*DOC_COLUMNS, "c.*")
+    # a block of matches at a time: one by one would copy the text per match, and all at
+    # once would hold every snippet of a document in memory
+    found = found.select("*", F.explode(F.expr(blocks("spans", MATCHES_AT_ONCE))).alias("some"))
+    found = found.select(*DOC_COLUMNS, contexts("some", context_chars).alias("contexts"))
+    return found.select(*DOC_COLUMNS, F.inline("contexts"))
 
 
 def search(corpus: DataFrame, term: str, case_sensitive: bool = False, whole_word: bool = False,

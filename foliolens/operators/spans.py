@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliolens.functions.arrays import blocks, count_up_to, pin, running_totals, sql_string
+from foliolens.functions.arrays import count_while, pin, running_totals, search_steps, sql_string
 
 CHUNK_BITS = 10
 CHUNK = 1 << CHUNK_BITS
@@ -30,19 +30,19 @@ def with_spans(df: DataFrame, pattern: str, out: str = "spans", text: str = "tex
 
 
 def with_snippet_parts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add what ``context`` looks things up in.
+    """Add what ``context_sql`` looks things up in.
 
     Taking a substring counts characters from the start of the text, so doing it once per
     match is quadratic; cutting the text into chunks first makes each snippet cost the
-    same wherever it lies. Page offsets are cut into blocks for the same reason.
+    same wherever it lies. The page of a match is found by binary search.
     """
     offsets = "page_offsets" if "page_offsets" in df.columns else "cast(null AS array<int>)"
-    df = pin(df, {
+    return pin(df, {
         "_chunks": f"regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0)",
         "_length": f"char_length({text})",
-        "_page_blocks": f"if(size({offsets}) > 0, {blocks(offsets)}, null)",
+        "_offsets": offsets,
+        "_offset_steps": search_steps(offsets),
     })
-    return pin(df, {"_page_heads": "transform(_page_blocks, b -> b[0])"})
 
 
 def _snippet(start: str, end: str, context_chars: int) -> str:
@@ -61,9 +61,9 @@ def context_sql(start: str, end: str, match: str, context_chars: int = CONTEXT_C
 
     The page counts from 1 and is null for a document without page offsets.
     """
-    page = f"greatest(1, {count_up_to('_page_blocks', '_page_heads', start)})"
+    before = count_while("_offset_steps", lambda i: f"get(_offsets, {i}) <= {start}")
     return (f"named_struct('position', {start}, 'context', {_snippet(start, end, context_chars)},"
-            f" 'match', {match}, 'page', if(_page_heads IS NULL, null, {page}))")
+            f" 'match', {match}, 'page', if(size(_offsets) > 0, greatest(1, {before}), null))")
 
 
 def contexts(spans: str, context_chars: int = CONTEXT_CHARS, most: int | None = None,

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolens.functions import text as fx, urls
-from foliolens.functions.arrays import blocks, count_up_to, running_totals
+from foliolens.functions.arrays import blocks, count_while, running_totals, search_steps
 from foliolens.functions.content import content_kind, content_preview, has_magic
 from foliolens.functions.patterns import regex_pattern, term_pattern
 from tests.rules import offsets
@@ -45,10 +45,13 @@ def test_running_totals_and_counts_over_blocks(spark):
     df = rows(spark, lists, "array<int>").select("v", F.expr(running_totals("v")).alias("t"))
     for v, t in df.collect():
         assert list(t) == [sum(v[:i + 1]) for i in range(len(v))]
-    sums = df.select("t", F.expr(blocks("t")).alias("b")).selectExpr("t", "b", "transform(b, x -> x[0]) AS h")
-    for probe in (-1, 0, 500, 2000, 10 ** 6):
-        got = sums.select("t", F.expr(count_up_to("b", "h", str(probe)))).collect()
-        assert [n for _, n in got] == [sum(x <= probe for x in t) for t, _ in got]
+    for probe in (-1, 0, 1, 5, 500, 2000, 10 ** 6):
+        count = count_while(search_steps("t"), lambda i: f"get(t, {i}) <= {probe}")
+        for t, n in df.select("t", F.expr(count)).collect():
+            assert n == sum(x <= probe for x in t)
+    cut = df.select("v", F.expr(blocks("v", 100))).collect()
+    assert [[len(b) for b in parts] for v, parts in cut] == [
+        [100] * (len(v) // 100) + [len(v) % 100] * (len(v) % 100 > 0) for v, _ in cut]
 
 
 def test_preview(spark):
