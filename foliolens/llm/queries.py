@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import language, packing, quality, secrets, simhash, toxicity
+from foliolens.llm import language, packing, quality, secrets, simhash, sketch, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,6 +45,11 @@ def op3_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.fingerprint_text("fp").alias("fingerprint"), "component_id", "n_same")
 
 
+@query
+def op4_fingerprints(spark, sf_dir):
+    return sketch.edited_pairs(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

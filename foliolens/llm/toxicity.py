@@ -1,7 +1,7 @@
 """Toxicity scores by FTRL-proximal logistic regression.
 
-Features are hashed words, word pairs and pairs with one word between them, each present or
-not. Every coordinate has its own learning rate, and the L1 term leaves most weights at zero:
+Features are hashed words and their beginnings (inflected forms share those), word pairs, and
+pairs with one word between them, each present or not. Every coordinate has its own learning rate, and the L1 term leaves most weights at zero:
 what remains goes to the tasks as one small array.
 
 Learning takes at most ``SAMPLE_ROWS`` labelled documents; scoring reads every whole text.
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from foliolens.llm.common import bounded_ids, map_texts
 
 DIMENSIONS = 1 << 18
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 10_000
+STEMS = (4, 5, 6, 7)
 
 
 class Featurer:
@@ -33,21 +34,22 @@ class Featurer:
 
     def __init__(self, dimensions: int = DIMENSIONS):
         self.mask = np.uint64(dimensions - 1)
-        self.known: dict[str, int] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def hashed(self, words: list[str]) -> np.ndarray:
         known = self.known
         if len(known) > 200_000:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = zlib.crc32(w.encode("utf-8", "replace"))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            known[w] = tuple(zlib.crc32(p.encode("utf-8", "replace")) for p in (w, *(w[:n] for n in STEMS)))
+        return np.array(list(map(known.__getitem__, words)), np.uint64).reshape(-1, 1 + len(STEMS))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        """Feature numbers with repeats."""
-        h = self.hashed(self.words_of((text or "").lower()))
+        """Feature numbers with repeats. A word shorter than a stem is its own stem."""
+        both = self.hashed(self.words_of((text or "").lower()))
+        h = both[:, 0]
         pair = lambda a, b, kind: (a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(kind)) >> np.uint64(29)
-        return (np.concatenate([pair(h, h, 1), pair(h[:-1], h[1:], 2), pair(h[:-2], h[2:], 3)]) & self.mask).astype(np.int64)
+        return (np.concatenate([pair(both, both, 1).ravel(), pair(h[:-1], h[1:], 2), pair(h[:-2], h[2:], 3)]) & self.mask).astype(np.int64)
 
 
 def sigmoid(x):
@@ -76,8 +78,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], dimensions: int, alpha: float, beta
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = SAMPLE_ROWS, id_col: str = "doc_id",
-          text_col: str = "text", alpha: float = 0.1, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0,
-          epochs: int = 4) -> np.ndarray:
+          text_col: str = "text", alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0,
+          epochs: int = 6) -> np.ndarray:
     """Weights and bias from at most ``bound`` labelled ids, in the order of a keyed hash."""
     known = labels.where(F.col(label).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
     chosen = known.join(bounded_ids(known, id_col, bound, "toxicity"), id_col, "left_semi")
