@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import language, packing, quality, secrets, simhash, sketch, toxicity
+from foliolens.llm import decontaminate, language, packing, passages, pii, quality, secrets, simhash, sketch, toxicity
+
+#: A key for the queries; a user passes a secret of their own.
+PII_KEY = "example key of the registered query"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,6 +42,11 @@ def op1_secrets(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op3_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -63,6 +71,12 @@ def op6_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), **tokenizer())
 
 
+@query
+def op7_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return pii.pseudonymise(docs, PII_KEY)
+
+
 @query
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -72,6 +86,11 @@ def op8_toxicity(spark, sf_dir):
         (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query
+def op9_passages(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -77,8 +77,17 @@ def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     bounds are quantiles, so no range holds much more than its share."""
     share = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
     bounds = docs.agg(F.percentile_approx("doc_id", share, 20 * ranges).alias("b")).first()["b"]
-    edges = "array(" + ", ".join(f"{b}L" for b in sorted(set(bounds or []))) + ")"
-    return docs.withColumn("range", F.expr(f"coalesce(size(filter({edges}, b -> b < doc_id)), 0)"))
+    edges = sorted(set(bounds or []))
+    # Two steps of about the square root each find the range among many.
+    step = max(1, round(len(edges) ** 0.5))
+    groups = [edges[i:i + step] for i in range(0, len(edges), step)]
+    listed = lambda numbers: "array(" + ", ".join(f"{n}L" for n in numbers) + ")"
+    if not edges:
+        return docs.withColumn("range", F.lit(0))
+    coarse = f"coalesce(size(filter({listed(g[0] for g in groups)}, b -> b < doc_id)), 0)"
+    return docs.withColumn("__g", F.expr(coarse)).withColumn("range", F.expr(
+        f"CASE WHEN __g = 0 THEN 0 ELSE (__g - 1) * {step} + size(filter(array({', '.join(map(listed, groups))})[__g - 1], b -> b < doc_id)) END"
+    )).drop("__g")
 
 
 def with_followers(docs: DataFrame, ranges: int) -> DataFrame:
