@@ -109,7 +109,8 @@ def made_up(hexes: str, syllables: int) -> str:
 def styled(word: str, new: str) -> str:
     """SQL: ``new`` in the script and case of ``word``."""
     for script, (latin, own) in SCRIPTS.items():
-        new = f"CASE WHEN {word} RLIKE '\\\\\\\\p{{Is{script}}}' THEN translate({new}, {quoted(latin)}, {quoted(own)}) ELSE {new} END"
+        script_of = quoted(rf"\p{{Is{script}}}")
+        new = f"CASE WHEN {word} RLIKE {script_of} THEN translate({new}, {quoted(latin)}, {quoted(own)}) ELSE {new} END"
     return f"CASE WHEN length({word}) > 1 AND upper({word}) = {word} THEN upper({new}) ELSE initcap({new}) END"
 
 
