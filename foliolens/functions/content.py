@@ -14,8 +14,8 @@ def has_magic(content: Column, magic: bytes = PDF_MAGIC) -> Column:
 
 
 def content_kind(content: Column, magic: bytes = PDF_MAGIC) -> Column:
-    """'pdf', 'html', 'empty' or 'other', told from the leading bytes."""
-    head = F.lower(F.regexp_replace(content_preview(content, 64), r"^\s+", ""))
+    """'pdf', 'html', 'empty' or 'other', told from the leading bytes; white space before HTML is passed over."""
+    head = F.lower(F.regexp_replace(F.decode(content, "ISO-8859-1"), r"^\s+", "").substr(1, 32))
     html = F.lit(False)
     for start in HTML_STARTS:
         html = html | head.startswith(start)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliolens.functions.patterns import term_pattern
 from foliolens.operators.search import search, search_matches
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, with_snippet_parts, with_spans
-from foliolens.plans.merge import DOC_ORDER, first_contexts, merge_counts
+from foliolens.plans.merge import DOC_ORDER, context_rows, first_contexts, join_on_key, merge_counts
 from foliolens.plans.skew import drop_by_key, keep_by_key
 from foliolens.schema import DOC_COLUMNS
 from foliolens.session import shared_table
@@ -50,11 +50,12 @@ def search_all(corpus: DataFrame, terms: list[str], key: str | list[str] = "file
 
 def search_any(corpus: DataFrame, terms: list[str], key: str | list[str] = "filename",
                unique_key: bool = False, context_chars: int = CONTEXT_CHARS,
-               max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+               max_contexts: int | None = None) -> DataFrame:
     """Documents with any term: counts summed over terms, contexts in order of the terms.
 
-    The list of contexts holds the first ``max_contexts``; ``search_any_matches`` gives all
-    of them as rows.
+    The list of contexts holds all of a document, or the first ``max_contexts``. Documents
+    that share a key have no bounded list in common: there ``max_contexts`` has to be given,
+    and ``search_any_rows`` gives all contexts as rows.
     """
     if not terms:
         raise ValueError("at least one term is needed")
@@ -63,21 +64,46 @@ def search_any(corpus: DataFrame, terms: list[str], key: str | list[str] = "file
         names = [f"_spans{i}" for i in range(len(terms))]
         for name, term in zip(names, terms):
             docs = with_spans(docs, term_pattern(term), name)
-        first = f"concat({', '.join(f'slice({n}, 1, {max_contexts})' for n in names)})"
+        first = f"concat({', '.join(n if max_contexts is None else f'slice({n}, 1, {max_contexts})' for n in names)})"
         return docs.select(*DOC_COLUMNS,
                            F.expr(" + ".join(f"size({n})" for n in names)).alias("match_count"),
                            contexts(first, context_chars, max_contexts).alias("contexts"))
+    _check_list(max_contexts)
     key = as_key(key)
     docs = corpus.filter(reduce(Column.__or__, [has_term(t) for t in terms]))
     counted = F.array(*[F.regexp_count("text", F.lit(term_pattern(t))) for t in terms])
     parts = docs.select(*DOC_COLUMNS, F.posexplode(counted).alias("part", "match_count"))
     merged = merge_counts(parts.filter("match_count > 0"), key)
+    found = _context_lists(docs, terms, context_chars, max_contexts)
+    return join_on_key(merged, first_contexts(found, key, max_contexts), key)
+
+
+def _check_list(max_contexts: int | None) -> None:
+    if max_contexts is None:
+        raise ValueError("a list of contexts over documents that share a key needs max_contexts; "
+                         "the forms that end in _rows give all contexts")
+
+
+def _context_lists(docs: DataFrame, terms: list[str], context_chars: int, most: int | None) -> DataFrame:
     docs = with_snippet_parts(docs)
     for i, term in enumerate(terms):
         docs = with_spans(docs, term_pattern(term), f"_spans{i}")
-    lists = F.array(*[contexts(f"_spans{i}", context_chars, max_contexts) for i in range(len(terms))])
-    found = docs.select(*DOC_COLUMNS, F.posexplode(lists).alias("part", "contexts"))
-    return merged.join(first_contexts(found, key, max_contexts), key)
+    counts = F.array(*[F.expr(f"size(_spans{i})") for i in range(len(terms))])
+    lists = F.array(*[contexts(f"_spans{i}", context_chars, most) for i in range(len(terms))])
+    both = F.arrays_zip(counts.alias("match_count"), lists.alias("contexts"))
+    found = docs.select(*DOC_COLUMNS, F.posexplode(both).alias("part", "_b"))
+    return found.select(*DOC_COLUMNS, "part", F.col("_b.match_count").alias("match_count"),
+                        F.col("_b.contexts").alias("contexts"))
+
+
+def search_any_rows(corpus: DataFrame, terms: list[str], key: str | list[str] = "filename",
+                    context_chars: int = CONTEXT_CHARS) -> DataFrame:
+    """``search_any`` over documents that share a key, every context as a row."""
+    if not terms:
+        raise ValueError("at least one term is needed")
+    docs = corpus.filter(reduce(Column.__or__, [has_term(t) for t in terms]))
+    found = _context_lists(docs, terms, context_chars, None).filter("match_count > 0")
+    return context_rows(found, as_key(key))
 
 
 def search_any_matches(corpus: DataFrame, terms: list[str],
@@ -104,17 +130,27 @@ def exclude_terms(hits: DataFrame, corpus: DataFrame, terms: list[str],
 
 
 def merge_near(hits: DataFrame, near_hits: list[DataFrame], key: str | list[str] = "filename",
-               max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+               max_contexts: int | None = None) -> DataFrame:
     """Add NEAR hits to a result: counts added, contexts appended, new documents joined in.
 
     Of result rows that share a key the last one stands, as when a result is put into a
     map by key; NEAR hits that share a key add up.
     """
+    _check_list(max_contexts)
+    key = as_key(key)
+    rows = _near_parts(hits, near_hits, key)
+    return join_on_key(merge_counts(rows, key), first_contexts(rows, key, max_contexts), key)
+
+
+def merge_near_rows(hits: DataFrame, near_hits: list[DataFrame], key: str | list[str] = "filename") -> DataFrame:
+    """``merge_near`` with every context as a row."""
     key = as_key(key)
+    return context_rows(_near_parts(hits, near_hits, key), key)
+
+
+def _near_parts(hits: DataFrame, near_hits: list[DataFrame], key: list[str]) -> DataFrame:
     last = hits.groupBy(*[F.col(k).alias(f"_key_{k}") for k in key]).agg(
         F.max_by(F.struct(*hits.columns), F.struct(*DOC_ORDER)).alias("hit")).select("hit.*")
     parts = [last.withColumn("part", F.lit(0))]
     parts += [n.withColumn("part", F.lit(i)) for i, n in enumerate(near_hits, 1)]
-    rows = reduce(DataFrame.unionByName, parts)
-    merged = merge_counts(rows, key)
-    return merged.join(first_contexts(rows, key, max_contexts), key)
+    return reduce(DataFrame.unionByName, parts)

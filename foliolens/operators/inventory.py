@@ -34,9 +34,11 @@ def corpus_totals(files: DataFrame) -> DataFrame:
 
 
 def extraction_summary(files: DataFrame, n: int = NUM_DATASETS, totals: bool = True) -> DataFrame:
-    """Every data set 1..n, zeros for empty ones; the totals row has a null data set."""
+    """Every data set 1..n and any other there is, zeros for empty ones; the totals row has a
+    null data set."""
     spark = files.sparkSession
     ids = spark.range(1, n + 1).select(F.col("id").cast("int").alias("dataset"))
+    ids = ids.unionByName(files.select("dataset").filter("dataset IS NOT NULL")).distinct()
     each = ids.join(dataset_rollup(files), "dataset", "left").select(
         "dataset",
         F.coalesce("file_count", F.lit(0)).alias("file_count"),

@@ -9,6 +9,7 @@ from foliolens.plans.skew import drop_by_key
 from foliolens.session import shared_table
 
 BATCH_SIZE = 10
+_URL_BLOCK = 10_000
 STATUSES = ["downloaded", "skipped", "failed"]
 
 # How the pagination of a listing page is marked up.
@@ -109,11 +110,17 @@ def pagination_links(listing: DataFrame) -> DataFrame:
         "dataset", "page_num", "pos", F.col("a.href").alias("href"), is_last.alias("is_last"))
 
 
-def last_page(pagination: DataFrame) -> DataFrame:
+def last_page(pagination: DataFrame, listing: DataFrame | None = None) -> DataFrame:
     """Per data set: the number on the first "Last" link, else the highest number, else 0.
 
-    ``pagination`` has (dataset, page_num, pos, href, is_last).
+    ``pagination`` has (dataset, page_num, pos, href, is_last). Data sets of ``listing`` that
+    have no pagination links get 0.
     """
+    if listing is not None:
+        sets = listing.select("dataset").distinct()
+        found = last_page(pagination).withColumnRenamed("dataset", "_set")
+        return (sets.join(found, sets["dataset"].eqNullSafe(found["_set"]), "left")
+                .select("dataset", F.coalesce("last_page", F.lit(0)).alias("last_page")))
     number = page_number(F.col("href"))
     first_last = F.when(F.col("is_last"), F.struct("page_num", "pos"))
     return pagination.groupBy("dataset").agg(F.coalesce(
@@ -122,6 +129,10 @@ def last_page(pagination: DataFrame) -> DataFrame:
 
 def listing_urls(last_pages: DataFrame, base: Column) -> DataFrame:
     """URLs of the listing pages 0..last of every data set."""
-    return last_pages.withColumn("base_url", base).select(
-        "dataset", "base_url", F.explode(F.sequence(F.lit(0), F.col("last_page"))).alias("page_num")
+    # In blocks, so that no row holds the numbers of all pages of a data set.
+    blocks = last_pages.withColumn("base_url", base).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.floor(F.col("last_page") / _URL_BLOCK).cast("int"))))
+    return blocks.select(
+        "dataset", "base_url", F.explode(F.expr(
+            f"sequence(block * {_URL_BLOCK}, least(last_page, block * {_URL_BLOCK} + {_URL_BLOCK - 1}))")).alias("page_num")
     ).withColumn("url", listing_url(F.col("base_url"), F.col("page_num")))

@@ -7,7 +7,6 @@ from foliolens.functions.patterns import WORD, WS, term_pattern
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, find, with_snippet_parts
 from foliolens.schema import DOC_COLUMNS
 
-PAIR_CAP = 50
 _LOW = (1 << 32) - 1
 
 
@@ -54,16 +53,16 @@ def with_word_spans(df: DataFrame, term: str, case_sensitive: bool, out: str,
 
 
 def with_pairs(df: DataFrame, term1: str, term2: str, distance: int, out: str = "pairs",
-               case_sensitive: bool = False, cap: int = PAIR_CAP, text: str = "text",
+               case_sensitive: bool = False, cap: int | None = None, text: str = "text",
                drop: tuple[str, ...] = ()) -> DataFrame:
     """Add ``out``: struct(start, end) of every accepted pair, in order of the first term.
 
     For each match of the first term, binary search finds the second-term matches that reach
-    its word window. No further first-term match is taken up once ``cap``
-    pairs were found, so a list holds fewer than ``cap`` pairs plus those of one match.
+    its word window. With ``cap``, no further first-term match is taken up once so many
+    pairs were found; without, the list has all of them.
     A null text gives a null list; keep out documents that lack a term beforehand.
     """
-    if distance < 0 or cap < 1:
+    if distance < 0 or (cap is not None and cap < 1):
         raise ValueError("distance must be at least 0 and cap at least 1")
     df = with_word_spans(df, term1, case_sensitive, "_one", text)
     df = with_word_spans(df, term2, case_sensitive, "_two", text)
@@ -77,7 +76,8 @@ def with_pairs(df: DataFrame, term1: str, term2: str, distance: int, out: str =
     more = f"""transform(filter({reached}, o -> {near}),
         o -> named_struct('start', least(m.start, o.start), 'end', greatest(m.end, o.end)))"""
     none = "cast(array() AS array<struct<start:int,end:int>>)"
-    pairs = f"aggregate(_one, {none}, (found, m) -> if(size(found) < {cap}, concat(found, {more}), found))"
+    pairs = (f"flatten(transform(_one, m -> {more}))" if cap is None else
+             f"aggregate(_one, {none}, (found, m) -> if(size(found) < {cap}, concat(found, {more}), found))")
     return pin(df, {out: pairs}, drop=("_one", "_two", "_steps", *drop))
 
 
@@ -97,7 +97,7 @@ def pair_label(term1: str, term2: str) -> str:
 
 def search_near(corpus: DataFrame, term1: str, term2: str, distance: int,
                 case_sensitive: bool = False, context_chars: int = CONTEXT_CHARS,
-                cap: int = PAIR_CAP, max_contexts: int | None = None) -> DataFrame:
+                cap: int | None = None, max_contexts: int | None = None) -> DataFrame:
     """Documents where both terms occur with at most ``distance`` words between, either order."""
     both = having_both(corpus, term1, term2, case_sensitive)
     found = with_snippet_parts(with_pairs(both, term1, term2, distance, "pairs", case_sensitive, cap))
@@ -110,7 +110,7 @@ def search_near(corpus: DataFrame, term1: str, term2: str, distance: int,
 
 
 def count_near(corpus: DataFrame, term1: str, term2: str, distance: int,
-               case_sensitive: bool = False, cap: int = PAIR_CAP) -> DataFrame:
+               case_sensitive: bool = False, cap: int | None = None) -> DataFrame:
     """``search_near`` without contexts."""
     both = having_both(corpus, term1, term2, case_sensitive)
     found = with_pairs(both, term1, term2, distance, "pairs", case_sensitive, cap)

@@ -49,6 +49,8 @@ def sort_hits(hits: DataFrame, sort: str = "relevance") -> DataFrame:
 def check_page(page: int, per_page: int) -> None:
     if page < 1 or not 1 <= per_page <= MAX_PER_PAGE:
         raise ValueError(f"page must be at least 1 and per_page 1..{MAX_PER_PAGE}")
+    if page * per_page >= 1 << 31:
+        raise ValueError("a page this deep is out of reach: page times per_page must stay below 2**31")
 
 
 def page_hits(hits: DataFrame, page: int = 1, per_page: int = 20, sort: str = "relevance") -> DataFrame:

@@ -63,13 +63,13 @@ def search_matches(corpus: DataFrame, term: str, case_sensitive: bool = False,
 def search_regex(corpus: DataFrame, pattern: str, case_sensitive: bool = False,
                  context_chars: int = CONTEXT_CHARS, max_contexts: int | None = None) -> DataFrame:
     """``search`` with a regular expression in Java syntax."""
-    return _hits(corpus, regex_pattern(corpus.sparkSession, pattern, case_sensitive),
+    return _hits(corpus, regex_pattern(pattern, case_sensitive),
                  context_chars, None, max_contexts)
 
 
 def search_regex_matches(corpus: DataFrame, pattern: str, case_sensitive: bool = False,
                          context_chars: int = CONTEXT_CHARS) -> DataFrame:
-    return _matches(corpus, regex_pattern(corpus.sparkSession, pattern, case_sensitive),
+    return _matches(corpus, regex_pattern(pattern, case_sensitive),
                     context_chars, None)
 
 

@@ -15,6 +15,10 @@ def find(text: str, pattern: str) -> dict[str, str]:
             "_found": f"regexp_extract_all({text}, {sql_string(pattern)}, 0)"}
 
 
+# Positions come from the pieces between matches, which a match of no length would upset.
+_REFUSED = "array(cast(raise_error('the pattern matched the empty string') AS string))"
+
+
 def with_spans(df: DataFrame, pattern: str, out: str = "spans", text: str = "text") -> DataFrame:
     """Add ``out``: every non-overlapping match as struct(start, end, match), in order.
 
@@ -22,11 +26,12 @@ def with_spans(df: DataFrame, pattern: str, out: str = "spans", text: str = "tex
     matches give their distances, and running totals of those the positions.
     """
     df = pin(df, find(text, pattern))
-    df = pin(df, {"_steps": "zip_with(slice(_pieces, 1, size(_found)), _found,"
+    df = pin(df, {"_kept": f"if(exists(_found, m -> m = ''), {_REFUSED}, _found)"}, drop=("_found",))
+    df = pin(df, {"_steps": "zip_with(slice(_pieces, 1, size(_kept)), _kept,"
                             " (piece, m) -> char_length(piece) + char_length(m))"}, drop=("_pieces",))
-    spans = (f"zip_with({running_totals('_steps')}, _found, (e, m) ->"
+    spans = (f"zip_with({running_totals('_steps')}, _kept, (e, m) ->"
              " named_struct('start', e - char_length(m), 'end', e, 'match', m))")
-    return pin(df, {out: spans}, drop=("_steps", "_found"))
+    return pin(df, {out: spans}, drop=("_steps", "_kept"))
 
 
 def with_snippet_parts(df: DataFrame, text: str = "text") -> DataFrame:

@@ -1,6 +1,8 @@
 """Hits of several clauses brought together under one document key."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliolens.schema import DOC_COLUMNS
 
@@ -21,6 +23,22 @@ def merge_counts(parts: DataFrame, key: list[str]) -> DataFrame:
     return merged.select("doc.*", "match_count")
 
 
+def join_on_key(heads: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """``heads`` (one row per key) with ``rows`` of the same key; null keys meet too."""
+    named = rows.select(*[F.col(k).alias(f"_key_{k}") for k in key], *[c for c in rows.columns if c not in key])
+    on = reduce(Column.__and__, [heads[k].eqNullSafe(named[f"_key_{k}"]) for k in key])
+    return heads.join(named, on).drop(*[f"_key_{k}" for k in key])
+
+
+def context_rows(parts: DataFrame, key: list[str]) -> DataFrame:
+    """Every context of every key as a row, with the columns and the count of the merged hit.
+
+    ``parts`` has the document columns, ``part``, ``match_count`` and ``contexts``.
+    """
+    merged = merge_counts(parts.select(*DOC_COLUMNS, "part", "match_count"), key)
+    return join_on_key(merged, parts.select(*key, F.inline("contexts")), key)
+
+
 def first_contexts(parts: DataFrame, key: list[str], most: int) -> DataFrame:
     """The first ``most`` contexts per key, in order of part, document and position.
 

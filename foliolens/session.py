@@ -1,6 +1,5 @@
 """Session settings and the shared folder for intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,49 +22,22 @@ def configure(builder: SparkSession.Builder, shuffle_partitions: int | None = No
     return builder
 
 
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str | None:
-    """A folder of this application below the one named by ``spark.checkpoint.dir``.
-
-    Where that is unset, a local master gets a temporary folder (one machine, so it is
-    shared); a cluster gets None rather than a folder its executors cannot see.
+def shared_dir(spark: SparkSession) -> str:
+    """A folder of this application below the one that ``spark.checkpoint.dir`` (or
+    ``setCheckpointDir``) names. Without one there is no place that all executors see: an error.
     """
-    app = spark.sparkContext.applicationId
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return f"{named.rstrip('/')}/foliolens-{app}"
-    if spark.sparkContext.master.startswith("local"):
-        if app not in _local_dirs:
-            _local_dirs[app] = tempfile.mkdtemp(prefix="foliolens-")
-        return _local_dirs[app]
-    return None
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+    return f"{named.rstrip('/')}/foliolens-{spark.sparkContext.applicationId}"
 
 
 def shared_table(df: DataFrame) -> DataFrame:
     """Write a narrow intermediate result once and read it back.
 
     Several later steps can then read it without scanning the texts again, and a
-    lost executor costs no recomputation. Without a shared folder the lazy plan is
-    returned: the same rows, at the price of another scan.
+    lost executor costs no recomputation.
     """
-    folder = shared_dir(df.sparkSession)
-    if folder is None:
-        return df
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition an input that has fewer splits than the session has cores.
-
-    A large input has far more splits than cores and passes through unchanged; a
-    small single-file input would otherwise run in one task. A few tasks per core even
-    out documents of unequal length.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(3 * cores, *keys)

@@ -109,9 +109,11 @@ def page_rows(corpus: DataFrame, sep: str = "\f", text: str = "text") -> DataFra
 
 def join_page_rows(doc_pages: DataFrame) -> DataFrame:
     """Page rows back to documents; a document is the largest group here."""
-    pages = doc_pages.groupBy("dataset", "filename").agg(
+    # two documents may have one name; where rows carry the path, that tells them apart
+    key = ["dataset", "filename", *(["filepath"] if "filepath" in doc_pages.columns else [])]
+    pages = doc_pages.groupBy(*key).agg(
         F.collect_list(F.struct("page_number", "text")).alias("page_list"))
     joined = join_pages(F.col("page_list"))
-    return pages.select("dataset", "filename", F.size("page_list").alias("page_count"),
+    return pages.select(*key, F.size("page_list").alias("page_count"),
                         joined["full_text"].alias("full_text"),
                         joined["text_length"].alias("text_length"))

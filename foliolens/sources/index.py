@@ -27,11 +27,11 @@ def write_index(index: DataFrame, path: str, fmt: str = "parquet", mode: str = "
 
     The range partitioning splits a large data set over many tasks; the order gives narrow
     statistics per row group, so looking up the documents of a page skips most of the index.
-    There are as many partitions as the input has splits unless ``partitions`` says otherwise.
+    The session's number of shuffle partitions holds unless ``partitions`` says otherwise.
     """
     order = ["dataset", "filename", "filepath"]
-    count = partitions or index.rdd.getNumPartitions()
-    ordered = index.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    ranged = index.repartitionByRange(partitions, *order) if partitions else index.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order)
     ordered.write.mode(mode).partitionBy("dataset").format(fmt).save(path)
 
 
@@ -107,8 +107,9 @@ def nest_archive(files: DataFrame, source: str = "", n: int = NUM_DATASETS,
 
 
 def _checked(per_dataset: DataFrame, n: int) -> DataFrame:
-    """Data sets outside 1..n are no part of an archive; this also bounds the rows to n."""
-    return per_dataset.filter(F.col("dataset").between(1, n))
+    """An archive has data sets 1..n, which bounds the rows to n; any other is an error."""
+    wrong = F.raise_error(F.concat(F.lit(f"the archive has data sets 1..{n}, not "), F.coalesce(F.col("dataset").cast("string"), F.lit("null"))))
+    return per_dataset.withColumn("dataset", F.when(F.col("dataset").between(1, n), F.col("dataset")).otherwise(wrong.cast("int")))
 
 
 def write_archive(files: DataFrame, path: str, source: str = "", tool: str = "", description: str = "",

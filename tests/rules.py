@@ -28,7 +28,7 @@ def words_between(text, a, b):
     return len(text[first[1]:second[0]].split()) if first[1] < second[0] else None
 
 
-def near_pairs(text, one, two, n, cap=50):
+def near_pairs(text, one, two, n, cap=10**9):
     found, others = [], spans(text, two)
     for m in spans(text, one):
         if len(found) < cap:
@@ -54,7 +54,7 @@ def term_hits(docs, term, chars=300):
     return out
 
 
-def near_hits(docs, one, two, n, chars=300, cap=50):
+def near_hits(docs, one, two, n, chars=300, cap=10**9):
     out = []
     for doc in sorted(docs, key=lambda d: d[:3]):
         found = [show(doc, s, e, f"{one}...{two}", chars) for s, e in near_pairs(doc[4], one, two, n, cap)]

@@ -20,7 +20,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query_equals_its_sql(spark, db, name):
     got = entry.queries()[name](spark, SF).toPandas()
     want = db.sql(entry.oracle_sql()[name]).df()

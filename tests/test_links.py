@@ -40,8 +40,8 @@ def test_last_page(spark):
     no_last = HTML.replace("Last", "Next")
     pages = listing(spark, [(1, 0, HTML), (2, 0, no_last), (3, 0, "<nav></nav>"),
                             (4, 0, no_last.replace("Next", "Last").replace("page=9", "p=9"))])
-    got = {r.dataset: r.last_page for r in links.last_page(links.pagination_links(pages)).collect()}
-    assert got == {1: 9, 2: 4, 4: 4}  # set 3 has no pagination links at all
+    got = {r.dataset: r.last_page for r in links.last_page(links.pagination_links(pages), pages).collect()}
+    assert got == {1: 9, 2: 4, 3: 0, 4: 4}  # set 3 has no pagination links at all
     urls = links.listing_urls(spark.createDataFrame([(3, 1)], "dataset int, last_page int"), F.lit("u"))
     assert sorted(r.url for r in urls.collect()) == ["u", "u?page=1"]
 

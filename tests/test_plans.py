@@ -88,7 +88,8 @@ class Settings:
 
     def __init__(self, folder, master):
         self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = type("Context", (), {"applicationId": f"app-{master}", "master": master})
+        self.sparkContext = type("Context", (), {
+            "applicationId": f"app-{master}", "master": master, "getCheckpointDir": lambda self: None})()
 
 
 def test_shared_folder(spark):
@@ -97,12 +98,6 @@ def test_shared_folder(spark):
     table = session.shared_table(spark.range(5))
     assert table.count() == 5 and os.listdir(folder)
     assert session.shared_dir(Settings("hdfs://x/", "yarn")) == "hdfs://x/foliolens-app-yarn"
-    assert session.shared_dir(Settings(None, "yarn")) is None
-    local = Settings(None, "local[2]")
-    assert os.path.isdir(session.shared_dir(local)) and session.shared_dir(local) == session.shared_dir(local)
-
-
-def test_small_inputs_are_spread_and_others_left_alone(spark):
-    assert session.spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() > 1
-    wide = spark.range(0, 100, 1, 64)
-    assert session.spread(wide, "id") is wide
+    for master in ("yarn", "local[2]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(Settings(None, master))

@@ -135,7 +135,7 @@ def test_and_or_not_unique(spark):
     corpus = spark.createDataFrame(docs, CORPUS)
     same(plain(boolean.search_all(corpus, ["a", "bc", "d"], unique_key=True)),
          whole(docs, all=["a", "bc", "d"], key=by_path))
-    same(plain(boolean.search_any(corpus, ["ab", "cd"], unique_key=True, max_contexts=500)),
+    same(plain(boolean.search_any(corpus, ["ab", "cd"], unique_key=True)),
          whole(docs, any=["ab", "cd"], key=by_path))
     same(plain(boolean.exclude_terms(search.search(corpus, "a"), corpus, ["bc", "dd"])),
          whole(docs, all=["a"], none=["bc", "dd"], key=by_path))
@@ -152,6 +152,12 @@ def test_and_or_not_near_by_name(spark, seed):
     got = boolean.merge_near(search.search(corpus, "ab"), [near.search_near(corpus, "a", "d", 1),
                                                            near.search_near(corpus, "e", "c", 0)], max_contexts=3)
     same(plain(got), whole(docs, all=["ab"], near=[("a", "d", 1), ("e", "c", 0)]), 3)
+    with pytest.raises(ValueError, match="max_contexts"):
+        boolean.search_any(corpus, ["ab", "cd"])
+    rows = boolean.search_any_rows(corpus, ["ab", "cd"])
+    assert rows.count() == sum(n for _, n, _ in whole(docs, any=["ab", "cd"]))
+    nameless = boolean.search_any_rows(spark.createDataFrame([(1, None, "p", 1, "ab ab", [0])], CORPUS), ["ab"])
+    assert [r.match_count for r in nameless.collect()] == [2, 2]
     key = ["dataset", "filename"]
     same(plain(boolean.search_all(corpus, ["a", "bc"], key=key)),
          whole(docs, all=["a", "bc"], key=lambda d: d[:2]))

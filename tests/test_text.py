@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from foliolens.functions import text as fx, urls
 from foliolens.functions.arrays import blocks, count_while, running_totals, search_steps
 from foliolens.functions.content import content_kind, content_preview, has_magic
+from foliolens.functions.content import content_kind
 from foliolens.functions.patterns import regex_pattern, term_pattern
+from foliolens.operators.spans import with_spans
 from tests.rules import offsets
 
 SPACES = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0      　"
@@ -110,11 +112,25 @@ def test_terms_are_literal(spark, term):
 
 
 def test_empty_patterns_are_refused(spark):
-    for pattern in ("x*", "", r"\b", "(?=a)"):
+    for build in (regex_pattern, term_pattern):
         with pytest.raises(ValueError):
-            regex_pattern(spark, pattern)
-    with pytest.raises(ValueError):
-        term_pattern("")
+            build("")
+    texts = rows(spark, ["the cat the dog the"])
+    for pattern in ("x*", r"\b", "(?=the)"):
+        with pytest.raises(Exception, match="matched the empty string"):
+            with_spans(texts, regex_pattern(pattern), text="v").collect()
+
+
+def test_anchor_targets(spark):
+    html = ("<a href='x.pdf'>1</a><a class=k href=y.pdf>2</a><a data-href=\"z.pdf\" href=\"w.pdf\">3</a><A HREF = \"v.pdf\">4</A>"
+            "<a title='href=t.pdf' rel href=\"u.pdf?a=1&amp;b=2\">5</a><area href=\"no.pdf\"><a name=\"n.pdf\">6</a>")
+    got = rows(spark, [html, None]).select(urls.hrefs(F.col("v"))).collect()
+    assert list(got[0][0]) == ["x.pdf", "y.pdf", "w.pdf", "v.pdf", "u.pdf?a=1&b=2"] and got[1][0] is None
+
+
+def test_html_behind_blanks(spark):
+    df = rows(spark, [" " * 500 + "<!DOCTYPE html><p>", " " * 500, "x <html>"])
+    assert [r[0] for r in df.select(content_kind(F.col("v").cast("binary"))).collect()] == ["html", "other", "other"]
 
 
 def test_join_pages(spark):

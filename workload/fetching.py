@@ -112,6 +112,21 @@ def _(spark, sf):
     return links.pagination_links(t.listing_pages(spark, sf))
 
 
+_LABELLED = f"""{t.LISTING}, a AS (SELECT dataset, page_num,
+    regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h,
+    regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS l FROM listing),
+  e AS (SELECT dataset, page_num, unnest(range(0, len(h))) AS pos, unnest(h) AS href, unnest(l) AS label FROM a)"""
+
+
+@query("last_page_of_listing", f"""WITH {_LABELLED}, p AS (SELECT dataset, arg_min_null(
+    TRY_CAST(regexp_extract(href, '[?&]page=(\\d+)', 1) AS INTEGER), (page_num, pos)) AS n FROM e
+    WHERE contains(lower(regexp_replace(label, '<[^>]*>', '', 'g')), 'last') GROUP BY dataset)
+  SELECT dataset, coalesce(max(n), 0) AS last_page FROM listing LEFT JOIN p USING (dataset) GROUP BY dataset""")
+def _(spark, sf):
+    pages = t.listing_pages(spark, sf)
+    return links.last_page(links.pagination_links(pages), pages)
+
+
 @query("listing_urls", f"""WITH {_LAST} SELECT dataset, 'https://h/data-set-' || dataset || '-files' AS base_url,
     CAST(unnest(range(0, last_page + 1)) AS INTEGER) AS page_num,
     'https://h/data-set-' || dataset || '-files' || CASE WHEN unnest(range(0, last_page + 1)) > 0
@@ -137,10 +152,10 @@ def _(spark, sf):
     return t.web_pages(spark, sf, "url").select("page_id", urls.url_filename(F.col("url")).alias("filename"))
 
 
-@query("decode_filename", """SELECT doc_id, replace(substr(text, 1, 60), chr(10), ' ') || '(+%41)' AS filename
+@query("decode_filename", """SELECT doc_id, replace(text, chr(10), ' ') || '(+%41)' AS filename
   FROM documents""")
 def _(spark, sf):
-    coded = F.concat(F.substring("text", 1, 60), F.lit("(+%41)"))
+    coded = F.concat("text", F.lit("(+%41)"))
     for char, code in ((" ", "%20"), ("\n", "%20"), ("(", "%28"), (")", "%29")):
         coded = F.replace(coded, F.lit(char), F.lit(code))
     return t.documents(spark, sf, "doc_id", "text").select("doc_id", urls.decode_filename(coded).alias("filename"))

@@ -112,7 +112,7 @@ def _(spark, sf):
 
 
 def _any_sql(tables: str, key: str) -> str:
-    """OR of two terms: counts summed per key, the first 50 contexts."""
+    """OR of two terms: counts summed per key, all contexts."""
     return f"""WITH {tables}, {t.spans('über', 'a')}, {t.spans('license', 'b')},
     m AS (SELECT *, 0 AS part FROM a UNION ALL SELECT *, 1 AS part FROM b),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY {key}
@@ -120,7 +120,7 @@ def _any_sql(tables: str, key: str) -> str:
         count(*) OVER (PARTITION BY {key}) AS n FROM m),
     heads AS (SELECT {key} AS k, dataset, filename, filepath, pages FROM ranked WHERE rn = 1)
     SELECT h.dataset, h.filename, h.filepath, h.pages, CAST(n AS {{kind}}) AS match_count, {t.context(m='m')}
-    FROM ranked r JOIN heads h ON r.{key} = h.k WHERE rn <= 50"""
+    FROM ranked r JOIN heads h ON r.{key} = h.k"""
 
 
 @query("search_or", _any_sql(t.CORPUS, "filepath").format(kind="INTEGER"))
@@ -130,7 +130,7 @@ def _(spark, sf):
 
 @query("search_or_by_name", _any_sql(t.BY_NAME, "filename").format(kind="BIGINT"))
 def _(spark, sf):
-    return flat(boolean.search_any(t.corpus_by_name(spark, sf), ["über", "license"]))
+    return boolean.search_any_rows(t.corpus_by_name(spark, sf), ["über", "license"])
 
 
 @query("search_or_matches", f"""WITH {t.CORPUS}, {t.spans('über', 'a')}, {t.spans('license', 'b')},
@@ -164,10 +164,10 @@ def _(spark, sf):
     return flat(near.search_near(t.corpus(spark, sf), "the", "and", 3))
 
 
-@query("search_near_same_term", f"""WITH {t.CORPUS}, {t.pairs('on', 'on', 1, 'n', cap=5)}
+@query("search_near_same_term", f"""WITH {t.CORPUS}, {t.pairs('on', 'on', 1, 'n')}
   SELECT {DOC}, CAST(count(*) AS INTEGER) AS match_count FROM n GROUP BY ALL""")
 def _(spark, sf):
-    return near.count_near(t.corpus(spark, sf), "on", "on", 1, cap=5)
+    return near.count_near(t.corpus(spark, sf), "on", "on", 1)
 
 
 _NEAR_MERGE = f"""WITH {t.BY_NAME}, {t.spans('license', 'b')}, {t.pairs('of', 'license', 12, 'n')},
@@ -179,14 +179,13 @@ _NEAR_MERGE = f"""WITH {t.BY_NAME}, {t.spans('license', 'b')}, {t.pairs('of', 'l
       count(*) OVER (PARTITION BY filename) AS total FROM m),
   heads AS (SELECT filename AS k, dataset, filepath, pages FROM ranked WHERE rn = 1)
   SELECT h.dataset, filename, h.filepath, h.pages, CAST(total AS BIGINT) AS match_count, {t.context()}
-  FROM ranked r JOIN heads h ON r.filename = h.k WHERE rn <= 50"""
+  FROM ranked r JOIN heads h ON r.filename = h.k"""
 
 
 @query("search_near_merge", _NEAR_MERGE)
 def _(spark, sf):
     docs = t.corpus_by_name(spark, sf)
-    return flat(boolean.merge_near(search.search(docs, "license"),
-                                   [near.search_near(docs, "of", "license", 12)]))
+    return boolean.merge_near_rows(search.search(docs, "license"), [near.search_near(docs, "of", "license", 12)])
 
 
 # --- whole searches ------------------------------------------------------------------------

@@ -58,9 +58,9 @@ def _(spark, sf):
     return sources.page_rows(t.corpus(spark, sf), t.SEP)
 
 
-@query("join_pages", f"""WITH {t.CORPUS}, j AS (SELECT dataset, filename, pages,
+@query("join_pages", f"""WITH {t.CORPUS}, j AS (SELECT dataset, filename, filepath, pages,
     array_to_string(list_transform(string_split(text, chr(10)), lambda p: p || chr(10) || chr(10)), '') AS joined FROM corpus)
-  SELECT dataset, filename, pages AS page_count, regexp_replace(joined, '^\\s+|\\s+$', '', 'g') AS full_text,
+  SELECT dataset, filename, filepath, pages AS page_count, regexp_replace(joined, '^\\s+|\\s+$', '', 'g') AS full_text,
     CAST(length(joined) AS INTEGER) AS text_length FROM j""")
 def _(spark, sf):
     return sources.join_page_rows(sources.page_rows(t.corpus(spark, sf), t.SEP))

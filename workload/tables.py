@@ -7,13 +7,19 @@ pages; events become fetch outcomes.
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliolens.functions.text import page_offsets, split_pages, text_length, word_count
-from foliolens.session import spread
 from foliolens.sources.files import size_mb
 
 SEP = "\n"
 MAGIC = b"<!DOC"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The test tables are single files of one row group, which is one task whatever the cores.
+    This is about those files, not a part of any operator; a real corpus has many splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores, key)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return spread(docs.select(*columns) if columns else docs, "doc_id")
@@ -95,11 +101,10 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def have_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names taken as already fetched: the first word of every English document."""
-    docs = documents(spark, sf_dir, "doc_id", "text", "lang").filter("lang = 'en'")
-    word = F.lower(F.regexp_extract("text", r"^([A-Za-z]+)", 1))
-    sets = F.explode(F.sequence(F.lit(1), F.lit(12))).alias("dataset")
-    return docs.select(word.alias("filename")).filter("filename <> ''").distinct().select(sets, "filename")
+    """Names taken as already fetched: every ASCII word of the documents, in the data set of each."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "source")
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return docs.select(_dataset().alias("dataset"), F.explode(F.array_distinct(words)).alias("filename")).distinct()
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,9 +155,8 @@ STORED = f"""stored AS (
     SELECT CAST(page_id % 12 + 1 AS INTEGER) AS dataset, 'page-' || page_id AS filename, html AS body FROM pages
     UNION ALL SELECT {_DATASET}, 'doc-' || doc_id, text FROM documents)"""
 
-HAVE = """have AS (SELECT CAST(d AS INTEGER) AS dataset, filename FROM (
-      SELECT DISTINCT lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS filename FROM documents WHERE lang = 'en')
-    , range(1, 13) r(d) WHERE filename <> '')"""
+HAVE = f"""have AS (SELECT DISTINCT {_DATASET} AS dataset,
+    unnest(regexp_extract_all(lower(text), '[a-z]+')) AS filename FROM documents)"""
 
 OUTCOMES = """outcomes AS (SELECT CAST(user_id % 12 + 1 AS INTEGER) AS dataset,
       CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'skipped' ELSE 'downloaded' END AS status
@@ -191,8 +195,8 @@ def context(s: str = "s", e: str = "e", m: str = "m", chars: int = 300) -> str:
       CAST(1 + length(substr(text, 1, {s})) - length(replace(substr(text, 1, {s}), chr(10), '')) AS INTEGER) AS page"""
 
 
-def pairs(one: str, two: str, n: int, name: str, cap: int = 50) -> str:
-    """Common table ``name``: accepted pairs (document columns, text, i, j, s, e), soft cap applied."""
+def pairs(one: str, two: str, n: int, name: str) -> str:
+    """Common table ``name``: all pairs (document columns, text, i, j, s, e)."""
 
     def edges(src: str) -> str:
         # words that begin before the start, and before the end less one that runs on past it
@@ -206,10 +210,7 @@ def pairs(one: str, two: str, n: int, name: str, cap: int = 50) -> str:
     return f"""{spans(one, name + '_a')}, {spans(two, name + '_b')},
     {spans('', name + '_w', both, regex='\\S+')},
     {name}_1 AS ({edges(name + '_a')}), {name}_2 AS ({edges(name + '_b')}),
-    {name}_all AS (SELECT a.dataset, a.filename, a.filepath, a.pages, a.text, a.i AS i, b.i AS j,
+    {name} AS (SELECT a.dataset, a.filename, a.filepath, a.pages, a.text, a.i AS i, b.i AS j,
         least(a.s, b.s) AS s, greatest(a.e, b.e) AS e
       FROM {name}_1 a JOIN {name}_2 b ON a.filepath = b.filepath
-      WHERE (a.e < b.s AND b.ws - a.we <= {n}) OR (b.e < a.s AND a.ws - b.we <= {n})),
-    {name}_n AS (SELECT filepath, i, sum(count(*)) OVER (PARTITION BY filepath ORDER BY i) - count(*) AS prior
-      FROM {name}_all GROUP BY filepath, i),
-    {name} AS (SELECT p.* FROM {name}_all p JOIN {name}_n USING (filepath, i) WHERE prior < {cap})"""
+      WHERE (a.e < b.s AND b.ws - a.we <= {n}) OR (b.e < a.s AND a.ws - b.we <= {n}))"""
