@@ -40,6 +40,15 @@ def term_pattern(term: str, case_sensitive: bool = False, whole_word: bool = Fal
     return body if case_sensitive else "(?iu)" + body
 
 
+def clause_pattern(term: str, case_sensitive: bool = False, whole_word: bool = False, regex: bool = False) -> str:
+    """Pattern of a term of a clause under the switches of a whole search."""
+    if not regex:
+        return term_pattern(term, case_sensitive, whole_word)
+    if whole_word:
+        raise ValueError("whole_word is for literal terms; write the boundaries into the pattern")
+    return regex_pattern(term, case_sensitive)
+
+
 def regex_pattern(pattern: str, case_sensitive: bool = False) -> str:
     """A user's own pattern (Java syntax). A text in which it matches the empty string is refused
     when its matches are located."""

@@ -9,7 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliolens.functions.patterns import term_pattern
+from foliolens.functions.patterns import clause_pattern
 from foliolens.operators.search import search, search_matches
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, with_snippet_parts, with_spans
 from foliolens.plans.merge import DOC_ORDER, context_rows, first_contexts, join_on_key, merge_counts
@@ -24,33 +24,47 @@ def as_key(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def has_term(term: str) -> Column:
-    return F.col("text").rlike(term_pattern(term))
+def has_term(term: str, **switches: bool) -> Column:
+    """The text has a match; ``switches`` are those of ``clause_pattern``."""
+    return F.col("text").rlike(clause_pattern(term, **switches))
+
+
+def has_any(terms: list[str], **switches: bool) -> Column:
+    return reduce(Column.__or__, [has_term(t, **switches) for t in terms], F.lit(False))
+
+
+def without_terms(corpus: DataFrame, terms: list[str], **switches: bool) -> DataFrame:
+    """Documents that have none of the terms: NOT where a document decides alone, as part of the
+    scan of the search that follows."""
+    return corpus.filter(~has_any(terms, **switches)) if terms else corpus
 
 
 def search_all(corpus: DataFrame, terms: list[str], key: str | list[str] = "filename",
                unique_key: bool = False, context_chars: int = CONTEXT_CHARS,
-               max_contexts: int | None = None) -> DataFrame:
+               max_contexts: int | None = None, case_sensitive: bool = False,
+               whole_word: bool = False) -> DataFrame:
     """Documents whose key has every term; counts and contexts are those of the first term."""
     if not terms:
         raise ValueError("at least one term is needed")
     first, rest = terms[0], terms[1:]
+    switches = {"case_sensitive": case_sensitive, "whole_word": whole_word}
     if unique_key or not rest:
         for term in rest:
-            corpus = corpus.filter(has_term(term))
-        return search(corpus, first, context_chars=context_chars, max_contexts=max_contexts)
+            corpus = corpus.filter(has_term(term, **switches))
+        return search(corpus, first, **switches, context_chars=context_chars, max_contexts=max_contexts)
     key = as_key(key)
-    flags = [F.max(has_term(t)).alias(f"t{i}") for i, t in enumerate(rest)]
+    flags = [F.max(has_term(t, **switches)).alias(f"t{i}") for i, t in enumerate(rest)]
     keys = shared_table(corpus.groupBy(*key).agg(
-        F.count_if(has_term(first)).alias("n"), *flags).filter("n > 0"))
+        F.count_if(has_term(first, **switches)).alias("n"), *flags).filter("n > 0"))
     every = reduce(Column.__and__, [F.col(f"t{i}") for i in range(len(rest))])
-    hits = search(corpus, first, context_chars=context_chars, max_contexts=max_contexts)
+    hits = search(corpus, first, **switches, context_chars=context_chars, max_contexts=max_contexts)
     return keep_by_key(hits, keys.filter(every), key, DOC_ORDER, keys.select(*key, "n"))
 
 
 def search_any(corpus: DataFrame, terms: list[str], key: str | list[str] = "filename",
                unique_key: bool = False, context_chars: int = CONTEXT_CHARS,
-               max_contexts: int | None = None) -> DataFrame:
+               max_contexts: int | None = None, case_sensitive: bool = False,
+               whole_word: bool = False) -> DataFrame:
     """Documents with any term: counts summed over terms, contexts in order of the terms.
 
     The list of contexts holds all of a document, or the first ``max_contexts``. Documents
@@ -59,22 +73,24 @@ def search_any(corpus: DataFrame, terms: list[str], key: str | list[str] = "file
     """
     if not terms:
         raise ValueError("at least one term is needed")
+    switches = {"case_sensitive": case_sensitive, "whole_word": whole_word}
+    patterns = [clause_pattern(t, **switches) for t in terms]
     if unique_key:
-        docs = with_snippet_parts(corpus.filter(reduce(Column.__or__, [has_term(t) for t in terms])))
+        docs = with_snippet_parts(corpus.filter(has_any(terms, **switches)))
         names = [f"_spans{i}" for i in range(len(terms))]
-        for name, term in zip(names, terms):
-            docs = with_spans(docs, term_pattern(term), name)
+        for name, pattern in zip(names, patterns):
+            docs = with_spans(docs, pattern, name)
         first = f"concat({', '.join(n if max_contexts is None else f'slice({n}, 1, {max_contexts})' for n in names)})"
         return docs.select(*DOC_COLUMNS,
                            F.expr(" + ".join(f"size({n})" for n in names)).alias("match_count"),
                            contexts(first, context_chars, max_contexts).alias("contexts"))
     _check_list(max_contexts)
     key = as_key(key)
-    docs = corpus.filter(reduce(Column.__or__, [has_term(t) for t in terms]))
-    counted = F.array(*[F.regexp_count("text", F.lit(term_pattern(t))) for t in terms])
+    docs = corpus.filter(has_any(terms, **switches))
+    counted = F.array(*[F.regexp_count("text", F.lit(p)) for p in patterns])
     parts = docs.select(*DOC_COLUMNS, F.posexplode(counted).alias("part", "match_count"))
     merged = merge_counts(parts.filter("match_count > 0"), key)
-    found = _context_lists(docs, terms, context_chars, max_contexts)
+    found = _context_lists(docs, patterns, context_chars, max_contexts)
     return join_on_key(merged, first_contexts(found, key, max_contexts), key)
 
 
@@ -84,12 +100,12 @@ def _check_list(max_contexts: int | None) -> None:
                          "the forms that end in _rows give all contexts")
 
 
-def _context_lists(docs: DataFrame, terms: list[str], context_chars: int, most: int | None) -> DataFrame:
+def _context_lists(docs: DataFrame, patterns: list[str], context_chars: int, most: int | None) -> DataFrame:
     docs = with_snippet_parts(docs)
-    for i, term in enumerate(terms):
-        docs = with_spans(docs, term_pattern(term), f"_spans{i}")
-    counts = F.array(*[F.expr(f"size(_spans{i})") for i in range(len(terms))])
-    lists = F.array(*[contexts(f"_spans{i}", context_chars, most) for i in range(len(terms))])
+    for i, pattern in enumerate(patterns):
+        docs = with_spans(docs, pattern, f"_spans{i}")
+    counts = F.array(*[F.expr(f"size(_spans{i})") for i in range(len(patterns))])
+    lists = F.array(*[contexts(f"_spans{i}", context_chars, most) for i in range(len(patterns))])
     both = F.arrays_zip(counts.alias("match_count"), lists.alias("contexts"))
     found = docs.select(*DOC_COLUMNS, F.posexplode(both).alias("part", "_b"))
     return found.select(*DOC_COLUMNS, "part", F.col("_b.match_count").alias("match_count"),
@@ -97,12 +113,14 @@ def _context_lists(docs: DataFrame, terms: list[str], context_chars: int, most:
 
 
 def search_any_rows(corpus: DataFrame, terms: list[str], key: str | list[str] = "filename",
-                    context_chars: int = CONTEXT_CHARS) -> DataFrame:
+                    context_chars: int = CONTEXT_CHARS, case_sensitive: bool = False,
+                    whole_word: bool = False) -> DataFrame:
     """``search_any`` over documents that share a key, every context as a row."""
     if not terms:
         raise ValueError("at least one term is needed")
-    docs = corpus.filter(reduce(Column.__or__, [has_term(t) for t in terms]))
-    found = _context_lists(docs, terms, context_chars, None).filter("match_count > 0")
+    switches = {"case_sensitive": case_sensitive, "whole_word": whole_word}
+    docs = corpus.filter(has_any(terms, **switches))
+    found = _context_lists(docs, [clause_pattern(t, **switches) for t in terms], context_chars, None).filter("match_count > 0")
     return context_rows(found, as_key(key))
 
 
@@ -116,12 +134,15 @@ def search_any_matches(corpus: DataFrame, terms: list[str],
 
 def exclude_terms(hits: DataFrame, corpus: DataFrame, terms: list[str],
                   key: str | list[str] = "filename", unique_key: bool = False) -> DataFrame:
-    """Drop hits whose key has any of the terms in any document."""
+    """Drop hits whose key has any of the terms in any document.
+
+    For hits that exist already. Where a search is still to be run, ``without_terms`` (unique
+    keys) and ``query`` (any key) need one pass over the texts.
+    """
     if not terms:
         return hits
     key = as_key(key)
-    any_term = reduce(Column.__or__, [has_term(t) for t in terms])
-    gone = corpus.filter(any_term).select(*key)
+    gone = corpus.filter(has_any(terms)).select(*key)
     if unique_key:
         return hits.join(gone, key, "left_anti")
     # a key has at most as many hits as documents, and counting those reads no text

@@ -2,11 +2,13 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foliolens.functions.arrays import count_while, search_steps
 from foliolens.functions.content import PDF_MAGIC, content_kind, content_preview, has_magic
 from foliolens.session import shared_table
 
 NUM_DATASETS = 12
 _BUCKETS = 1024
+_ACCURACY = 100_000
 
 
 def _sum_mb() -> Column:
@@ -61,9 +63,11 @@ def corpus_stats(corpus: DataFrame) -> DataFrame:
 def describe_corpus(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles (interpolated) and max of numeric columns, exactly.
 
-    The values are counted first, so repeated ones travel once, and the counts are kept. Quartiles are found in two
-    steps: running counts over 1,024 equal value ranges per column say which range holds a
-    wanted rank, and only the values of those ranges are ranked one by one.
+    The values are counted first, so repeated ones travel once, and the counts are kept. Quartiles
+    are found in two steps: running counts over 1,024 value ranges per column say which range holds
+    a wanted rank, and only the values of those ranges are ranked one by one. The ranges are bounded
+    by approximate quantiles of the distinct values, so each holds about a thousandth of them
+    wherever they lie.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns
@@ -73,17 +77,17 @@ def describe_corpus(df: DataFrame, columns: list[str]) -> DataFrame:
     basic = counted.groupBy("column").agg(
         F.sum("n").alias("count"),
         (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("v").alias("min"), F.max("v").alias("max"))
+        F.min("v").alias("min"), F.max("v").alias("max"),
+        F.percentile_approx("v", [i / _BUCKETS for i in range(1, _BUCKETS)], _ACCURACY).alias("bounds"))
+    basic = basic.withColumn("steps", F.expr(search_steps("bounds")))
     basic = F.broadcast(basic)  # one row per named column
     with_basic = counted.join(basic, "column")
     std = with_basic.groupBy("column").agg(F.sqrt(
         F.sum(F.col("n") * F.pow(F.col("v") - F.col("mean"), 2))
         / F.nullif(F.max("count") - 1, F.lit(0))).alias("std"))
 
-    width = F.nullif(F.col("max") - F.col("min"), F.lit(0.0))
-    bucket = F.coalesce(F.least(F.floor((F.col("v") - F.col("min")) / width * _BUCKETS),
-                                F.lit(_BUCKETS - 1)), F.lit(0))
-    bucketed = with_basic.withColumn("bucket", bucket)
+    bucket = F.expr(count_while("steps", lambda i: f"get(bounds, {i}) <= v"))
+    bucketed = with_basic.select("column", "v", "n", bucket.alias("bucket"))
     totals = bucketed.groupBy("column", "bucket").agg(F.sum("n").alias("in_bucket"))
     before = F.coalesce(F.sum("in_bucket").over(
         Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -121,7 +125,9 @@ def page_tables(doc_pages: DataFrame) -> DataFrame:
 
 
 def document_tables(doc_pages: DataFrame) -> DataFrame:
-    return page_tables(doc_pages).groupBy("dataset", "filename").agg(
+    # two documents may have one name; where rows carry the path, that tells them apart
+    path = ["filepath"] if "filepath" in doc_pages.columns else []
+    return page_tables(doc_pages).groupBy("dataset", "filename", *path).agg(
         F.sum("table_count").alias("table_count"),
         F.count_if("has_tables").alias("pages_with_tables"))
 

@@ -2,7 +2,12 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foliolens.session import shared_table
+
 MAX_PER_PAGE = 10_000
+# Pages that end above this rank are a top-k in one task; deeper ones come from ranks of all hits.
+TOP_ROWS = 1_000_000
+_ROW_BITS = 33
 
 # Each order ends in columns that make it total, so pages never overlap.
 ORDERS = {
@@ -49,16 +54,49 @@ def sort_hits(hits: DataFrame, sort: str = "relevance") -> DataFrame:
 def check_page(page: int, per_page: int) -> None:
     if page < 1 or not 1 <= per_page <= MAX_PER_PAGE:
         raise ValueError(f"page must be at least 1 and per_page 1..{MAX_PER_PAGE}")
-    if page * per_page >= 1 << 31:
-        raise ValueError("a page this deep is out of reach: page times per_page must stay below 2**31")
 
 
 def page_hits(hits: DataFrame, page: int = 1, per_page: int = 20, sort: str = "relevance") -> DataFrame:
-    """One page; order, offset and limit together run as a top-k, not a full sort."""
+    """One page, the same rows at any depth.
+
+    Order, offset and limit together run as a top-k, whose size is the end of the page; beyond
+    ``TOP_ROWS`` the hits are ranked instead. For many pages keep ``rank_hits`` and take them
+    with ``ranked_page``.
+    """
     check_page(page, per_page)
+    if page * per_page > TOP_ROWS:
+        return ranked_page(rank_hits(hits, sort), page, per_page).drop("rank")
     return sort_hits(hits, sort).offset((page - 1) * per_page).limit(per_page)
 
 
+def rank_hits(hits: DataFrame, sort: str = "relevance", partitions: int | None = None) -> DataFrame:
+    """All hits with their ``rank`` from 1, without a window over all of them.
+
+    Hits are split into ranges of the order and sorted inside each; the rank is the place inside
+    the range plus the rows of the ranges before. Only one row per range meets in one task. Hits
+    are written first, because finding the ranges reads them once more, and placed hits too, so
+    that all steps see the same ranges.
+    """
+    order = order_columns(sort)
+    spark = hits.sparkSession
+    ranges = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = shared_table(hits).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # the id holds the number of the partition above these bits and the row inside it below
+    placed = shared_table(ordered.withColumn("_id", F.monotonically_increasing_id())).withColumn(
+        "_range", F.shiftright("_id", _ROW_BITS))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").agg(F.count("*").alias("n")).select(
+        "_range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start"))
+    rank = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)) + 1
+    return placed.join(F.broadcast(starts), "_range").select(*hits.columns, rank.alias("rank"))
+
+
+def ranked_page(ranked: DataFrame, page: int = 1, per_page: int = 20) -> DataFrame:
+    """One page of ``rank_hits``, with the ranks over all hits."""
+    check_page(page, per_page)
+    return ranked.filter(F.col("rank").between((page - 1) * per_page + 1, page * per_page))
+
+
 def rank_page(page: DataFrame, sort: str = "relevance") -> DataFrame:
     """Number the rows of one page 1..n (a page is small, so one task is enough)."""
     return page.withColumn("rank", F.row_number().over(Window.orderBy(*order_columns(sort))))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from foliolens.schema import DOC_COLUMNS
 
 DOC_ORDER = ["dataset", "filename", "filepath"]
+_SALTS = 256
 
 
 def merge_counts(parts: DataFrame, key: list[str]) -> DataFrame:
@@ -39,17 +40,31 @@ def context_rows(parts: DataFrame, key: list[str]) -> DataFrame:
     return join_on_key(merged, parts.select(*key, F.inline("contexts")), key)
 
 
+def first_rows(rows: DataFrame, key: list[str], order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows per key, numbered in ``rn``.
+
+    Rows are ranked in salted shares of a key first, and each window limit drops rows before its
+    shuffle: whatever share of all rows a key has, a task of the second step gets at most ``most``
+    rows of each share.
+    """
+    salt = F.pmod(F.xxhash64(*order), F.lit(_SALTS)).cast("int")
+
+    def ranked(some: DataFrame, by: list[str]) -> DataFrame:
+        rn = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return some.withColumn("rn", rn).filter(F.col("rn") <= most)
+
+    shares = ranked(rows.withColumn("_salt", salt), [*key, "_salt"]).drop("rn", "_salt")
+    return ranked(shares, key)
+
+
 def first_contexts(parts: DataFrame, key: list[str], most: int) -> DataFrame:
     """The first ``most`` contexts per key, in order of part, document and position.
 
-    ``parts`` has the document columns, ``part`` and ``contexts``. A row count limit on the
-    window lets Spark drop all but ``most`` rows per key before the shuffle, so no task sees
-    a whole group; ``most`` bounds the list that is collected.
+    ``parts`` has the document columns, ``part`` and ``contexts``; ``most`` bounds the list
+    that is collected.
     """
     rows = parts.select(*key, "part", *[c for c in DOC_ORDER if c not in key],
                         F.posexplode(F.slice("contexts", 1, most)).alias("i", "c"))
-    order = ["part", *DOC_ORDER, "i"]
-    ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
-    kept = ranked.filter(F.col("rn") <= most)
+    kept = first_rows(rows, key, ["part", *DOC_ORDER, "i"], most)
     lists = kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rn", "c"))).alias("l"))
     return lists.select(*key, F.transform("l", lambda x: x["c"]).alias("contexts"))

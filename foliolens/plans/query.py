@@ -9,22 +9,24 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from foliolens.functions.arrays import pin
-from foliolens.functions.patterns import term_pattern
-from foliolens.operators.boolean import MAX_CONTEXTS, as_key, has_term
+from foliolens.functions.arrays import let, pin, sql_string
+from foliolens.functions.patterns import clause_pattern
+from foliolens.operators.boolean import MAX_CONTEXTS, as_key, has_any
 from foliolens.operators.near import has_both, pair_label, with_pairs
 from foliolens.operators.ranking import bounds, check_page, filter_hits, hit_totals, page_hits, rank_page
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, with_snippet_parts, with_spans
-from foliolens.plans.merge import DOC_ORDER, first_contexts
+from foliolens.plans.merge import DOC_ORDER, first_contexts, first_rows
 from foliolens.plans.skew import keep_by_key
 from foliolens.schema import DOC_COLUMNS
 from foliolens.session import shared_table
 
 Near = tuple[str, str, int]
 
-MAX_BROADCAST_ROWS = 100_000
+# Rows (document, flags, clause numbers) of a page that may be broadcast, some 100 bytes each.
+MAX_BROADCAST_ROWS = 2_000_000
+_SWITCHES = ("case_sensitive", "whole_word", "regex")
 
 
 @dataclass(frozen=True)
@@ -54,23 +56,46 @@ class _Spec:
     none: list[str]
     near: list[Near]
     either: bool
+    switches: dict[str, bool]
+
+    @property
+    def case_sensitive(self) -> bool:
+        return self.switches.get("case_sensitive", False)
+
+    def pattern(self, term: str) -> str:
+        return clause_pattern(term, **self.switches)
+
+    def has(self, term: str) -> Column:
+        return F.col("text").rlike(self.pattern(term))
+
+    def count(self, term: str) -> Column:
+        """Matches in the text. A user's own pattern is refused where it matches the empty string."""
+        pattern = sql_string(self.pattern(term))
+        if not self.switches.get("regex"):
+            return F.expr(f"regexp_count(text, {pattern})")
+        refused = "cast(raise_error('the pattern matched the empty string') AS int)"
+        return F.expr(let("found", f"regexp_extract_all(text, {pattern}, 0)",
+                          f"if(exists(found, m -> m = ''), {refused}, size(found))"))
+
+    def near_clauses(self) -> list[tuple[str, str, int, bool]]:
+        return [(*clause, self.case_sensitive) for clause in self.near]
 
     def relevant(self, by_key: bool) -> Column:
         """Documents that can matter; by key also those that only carry another term."""
-        tests = [has_term(t) for t in self.counted]
-        tests += [F.expr(has_both(a, b)) for a, b, _ in self.near]
+        tests = [self.has(t) for t in self.counted]
+        tests += [F.expr(has_both(a, b, self.case_sensitive)) for a, b, _ in self.near]
         if by_key and self.counted:
-            tests += [has_term(t) for t in self.required + self.none]
+            tests += [self.has(t) for t in self.required + self.none]
         return reduce(Column.__or__, tests)
 
 
-def _spec(all_, any_, none, near) -> _Spec:
+def _spec(all_, any_, none, near, **switches: bool) -> _Spec:
     all_, any_, none, near = list(all_ or []), list(any_ or []), list(none or []), list(near or [])
     if all_ and any_:
         raise ValueError("give either all or any, not both")
     if not (all_ or any_ or near):
         raise ValueError("give at least one term or NEAR clause")
-    return _Spec(any_ or all_[:1], all_[1:], none, near, bool(any_))
+    return _Spec(any_ or all_[:1], all_[1:], none, near, bool(any_), switches)
 
 
 def _scores(corpus: DataFrame, specs: dict[str, _Spec], by_key: bool) -> DataFrame:
@@ -79,20 +104,20 @@ def _scores(corpus: DataFrame, specs: dict[str, _Spec], by_key: bool) -> DataFra
     All queries are scored in the same pass over the texts.
     """
     docs = corpus.filter(reduce(Column.__or__, [s.relevant(by_key) for s in specs.values()]))
-    clauses = list(dict.fromkeys(clause for s in specs.values() for clause in s.near))
-    for i, (one, two, distance) in enumerate(clauses):
-        docs = pin(docs, {"_both": f"if({has_both(one, two)}, text, null)"})
-        docs = with_pairs(docs, one, two, distance, f"_pairs{i}", text="_both", drop=("_both",))
+    clauses = list(dict.fromkeys(clause for s in specs.values() for clause in s.near_clauses()))
+    for i, (one, two, distance, case) in enumerate(clauses):
+        docs = pin(docs, {"_both": f"if({has_both(one, two, case)}, text, null)"})
+        docs = with_pairs(docs, one, two, distance, f"_pairs{i}", case, text="_both", drop=("_both",))
 
     def row(name: str, spec: _Spec) -> Column:
-        near = [F.coalesce(F.size(f"_pairs{clauses.index(c)}"), F.lit(0)) for c in spec.near]
+        near = [F.coalesce(F.size(f"_pairs{clauses.index(c)}"), F.lit(0)) for c in spec.near_clauses()]
         return F.struct(
             F.lit(name).alias("query_name"),
-            F.array(*[F.regexp_count("text", F.lit(term_pattern(t))) for t in spec.counted])
+            F.array(*[spec.count(t) for t in spec.counted])
             .cast("array<int>").alias("counts"),
             F.array(*near).cast("array<int>").alias("near"),
-            F.array(*[has_term(t) for t in spec.required]).cast("array<boolean>").alias("has"),
-            reduce(Column.__or__, [has_term(t) for t in spec.none], F.lit(False)).alias("excluded"),
+            F.array(*[spec.has(t) for t in spec.required]).cast("array<boolean>").alias("has"),
+            has_any(spec.none, **spec.switches).alias("excluded"),
         )
 
     rows = F.array(*[row(name, spec) for name, spec in specs.items()])
@@ -165,11 +190,11 @@ def _clause_contexts(docs: DataFrame, spec: _Spec, context_chars: int, most: int
     docs = with_snippet_parts(docs)
     lists = []
     for i, term in enumerate(spec.counted):
-        docs = with_spans(docs, term_pattern(term), f"_c{i}")
+        docs = with_spans(docs, spec.pattern(term), f"_c{i}")
         lists.append(F.when(F.col("_use_base"), contexts(f"_c{i}", context_chars, most)))
-    for i, (one, two, distance) in enumerate(spec.near):
-        docs = pin(docs, {"_both": f"if({has_both(one, two)}, text, null)"})
-        docs = with_pairs(docs, one, two, distance, f"_n{i}", text="_both", drop=("_both",))
+    for i, (one, two, distance, case) in enumerate(spec.near_clauses()):
+        docs = pin(docs, {"_both": f"if({has_both(one, two, case)}, text, null)"})
+        docs = with_pairs(docs, one, two, distance, f"_n{i}", case, text="_both", drop=("_both",))
         lists.append(contexts(f"_n{i}", context_chars, most, pair_label(one, two)))
     none = F.array().cast("array<struct<position:int,context:string,match:string,page:int>>")
     return docs.withColumn("_lists", F.array(*[F.coalesce(one, none) for one in lists]))
@@ -194,6 +219,9 @@ def _page_by_key(page: DataFrame, rows: int, scores: DataFrame, corpus: DataFram
     A document with a hit gives at least one context, so the first ``most`` documents per
     key and clause are enough; the row limit is applied before the shuffle.
     """
+    most_wanted = rows * (len(spec.counted) + len(spec.near)) * most
+    if most_wanted > MAX_BROADCAST_ROWS:
+        raise ValueError(f"per_page times clauses times max_contexts is {most_wanted}, more than {MAX_BROADCAST_ROWS}")
     marks = page.select(*key, F.col("base").alias("_use_base"),
                         F.col("filepath").alias("_shown"))
     of_page = scores.join(F.broadcast(marks), key)
@@ -202,14 +230,10 @@ def _page_by_key(page: DataFrame, rows: int, scores: DataFrame, corpus: DataFram
     of_page = of_page.withColumn("_use_base", base_ok)
     counts = F.expr("concat(transform(counts, c -> if(_use_base, c, 0)), near)")
     found = of_page.select(*DOC_COLUMNS, "_use_base", F.posexplode(counts).alias("part", "n")).filter("n > 0")
-    w = Window.partitionBy(*key, "part").orderBy(*DOC_ORDER)
-    needed = found.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= most)
+    needed = first_rows(found, [*key, "part"], DOC_ORDER, most)
     wanted = needed.groupBy("dataset", "filepath").agg(
         F.max("_use_base").alias("_use_base"), F.collect_set("part").alias("_parts"))
-    # known bound on the documents wanted; beyond it Spark chooses the join from their size
-    if rows * (len(spec.counted) + len(spec.near)) * most <= MAX_BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    docs = corpus.join(wanted, ["dataset", "filepath"])
+    docs = corpus.join(F.broadcast(wanted), ["dataset", "filepath"])
     lists = _clause_contexts(docs, spec, context_chars, most).select(
         *DOC_COLUMNS, "_parts", F.posexplode("_lists").alias("part", "contexts"))
     lists = lists.filter(F.array_contains("_parts", F.col("part")))
@@ -230,14 +254,17 @@ def query(corpus: DataFrame, all: list[str] | None = None, any: list[str] | None
           dataset: int | None = None, min_pages: int = 0, max_pages: int | None = None,
           sort: str = "relevance", page: int = 1, per_page: int = 20,
           key: str | list[str] = "filename", unique_key: bool = False,
-          context_chars: int = CONTEXT_CHARS, max_contexts: int = MAX_CONTEXTS) -> SearchResult:
+          context_chars: int = CONTEXT_CHARS, max_contexts: int = MAX_CONTEXTS,
+          case_sensitive: bool = False, whole_word: bool = False, regex: bool = False) -> SearchResult:
     """Search: ``all`` or ``any`` terms, minus ``none``, plus documents of ``near`` clauses.
 
     NEAR documents are added after the exclusions and are not subject to them; the filters
     apply to everything. (dataset, filepath) must tell documents apart. With ``unique_key``
     the hits come from one scan without a shuffle and the filters reach the scan.
+    ``case_sensitive`` holds for all terms, ``whole_word`` and ``regex`` (Java syntax) for those
+    of ``all``, ``any`` and ``none``; NEAR terms are literal.
     """
-    spec = _spec(all, any, none, near)
+    spec = _spec(all, any, none, near, case_sensitive=case_sensitive, whole_word=whole_word, regex=regex)
     key = as_key(key)
     filters = {"dataset": dataset, "min_pages": min_pages, "max_pages": max_pages}
     if unique_key:
@@ -265,15 +292,16 @@ def query_many(corpus: DataFrame, queries: dict[str, dict], key: str | list[str]
                unique_key: bool = False) -> DataFrame:
     """Hits of several saved queries, found in one pass over the corpus.
 
-    Each entry has the clauses and filters of ``query``; every row carries its ``query_name``.
+    Each entry has the clauses, filters and switches of ``query``; every row carries its ``query_name``.
     """
     key = as_key(key)
     clauses = ("all", "any", "none", "near")
     limits = ("dataset", "min_pages", "max_pages")
-    unknown = {k for q in queries.values() for k in q} - {*clauses, *limits}
+    unknown = {k for q in queries.values() for k in q} - {*clauses, *limits, *_SWITCHES}
     if unknown:
-        raise ValueError(f"not a clause or filter: {sorted(unknown)}")
-    specs = {name: _spec(*[q.get(c) for c in clauses]) for name, q in queries.items()}
+        raise ValueError(f"not a clause, filter or switch: {sorted(unknown)}")
+    specs = {name: _spec(*[q.get(c) for c in clauses], **{s: q[s] for s in _SWITCHES if s in q})
+             for name, q in queries.items()}
     scores = _scores(corpus, specs, by_key=not unique_key)
 
     def within(name: str) -> Column:

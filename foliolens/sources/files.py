@@ -51,10 +51,22 @@ def file_stats(files: DataFrame, root: str) -> DataFrame:
 
 
 def file_records(stats: DataFrame, texts: DataFrame) -> DataFrame:
-    """Full records: statistics joined with extracted ``full_text``, ``info`` lines and ``error``.
+    """``records`` of statistics and texts that are kept apart.
 
-    ``texts`` has (dataset, filename, full_text, raw, error). A file without extracted text
-    counts as one with empty text, as when the extraction tool fails.
+    ``texts`` has (dataset, filename or filepath, full_text, raw, error). The path is what tells
+    files apart, so give it where names repeat; this form shuffles the texts.
+    """
+    on = ["dataset", "filepath" if "filepath" in texts.columns else "filename"]
+    texts = texts.select(*on, "full_text", "raw", "error")
+    return records(stats.join(texts, on, "left"))
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """Full records of rows that hold the statistics of a file, its extracted ``full_text``, the
+    ``raw`` info lines and ``error``: no join, no shuffle.
+
+    A file without extracted text counts as one with empty text, as when the extraction tool
+    fails. A record with an error keeps its name and path only.
     """
     info = F.col("info")
 
@@ -62,8 +74,7 @@ def file_records(stats: DataFrame, texts: DataFrame) -> DataFrame:
         return F.coalesce(F.element_at(info, key), F.lit(""))
 
     ok = F.col("error").isNull()
-    rows = (stats.join(texts, ["dataset", "filename"], "left")
-            .withColumn("info", parse_info(F.coalesce("raw", F.lit(""))))
+    rows = (rows.withColumn("info", parse_info(F.coalesce("raw", F.lit(""))))
             .withColumn("full_text", F.coalesce("full_text", F.lit(""))))
     values = {
         "pages": lenient_int(named("Pages")),

@@ -4,6 +4,7 @@ import re
 import pytest
 
 from foliolens.operators import boolean, near, ranking, search
+from foliolens.plans import merge
 from foliolens.plans.query import query, query_many
 from tests.rules import CORPUS, document, merged, near_hits, near_pairs, spans, term_hits, whole
 
@@ -204,6 +205,59 @@ def test_query_filters_order_and_pages(spark):
     assert query(corpus, all=["a"], max_pages=0).totals.first().total == 0
 
 
+def test_switches_hold_for_whole_searches(spark):
+    rows = [document(1, "a.pdf", "The cat sat. the cats"), document(1, "b.pdf", "the Cat, the dog"),
+            document(2, "a.pdf", "THE concat of dogs")]
+    corpus = spark.createDataFrame(rows, CORPUS)
+
+    def hits(unique=True, **clauses):
+        found = query(corpus, **clauses, key=["dataset", "filename"], unique_key=unique)
+        assert sorted(r.match_count for r in found.page.collect()) == sorted(r.match_count for r in found.hits.collect())
+        return sorted((r.dataset, r.filename, r.match_count) for r in found.hits.collect())
+
+    for unique in (True, False):
+        assert hits(unique, all=["the", "cat"], case_sensitive=True) == [(1, "a.pdf", 1)]
+        assert hits(unique, all=["the", "cat"], whole_word=True) == [(1, "a.pdf", 2), (1, "b.pdf", 2)]
+        assert hits(unique, any=["cats?"], none=["dog$"], regex=True) == [(1, "a.pdf", 2), (2, "a.pdf", 1)]
+        assert hits(unique, near=[("the", "dog", 0)], case_sensitive=True) == [(1, "b.pdf", 1)]
+    many = query_many(corpus, {"x": dict(all=["The"], case_sensitive=True), "y": dict(all=["dogs?"], regex=True)},
+                      unique_key=True)
+    assert sorted((r.query_name, r.filename) for r in many.collect()) == [("x", "a.pdf"), ("y", "a.pdf"), ("y", "b.pdf")]
+    got = boolean.search_all(corpus, ["cat", "the"], key=["dataset", "filename"], case_sensitive=True)
+    assert [r.filename for r in got.collect()] == ["a.pdf"]
+    got = boolean.search_any(corpus, ["Cat", "dog"], unique_key=True, case_sensitive=True, whole_word=True)
+    assert [(r.filename, r.match_count) for r in got.collect()] == [("b.pdf", 2)]
+    with pytest.raises(Exception, match="empty string"):
+        query(corpus, all=["(?=the)"], regex=True, unique_key=True).hits.collect()
+    with pytest.raises(ValueError, match="whole_word"):
+        query(corpus, all=["a"], regex=True, whole_word=True)
+
+
+def test_ranks_of_all_hits_and_deep_pages(spark, monkeypatch):
+    rows = [(i % 3, f"{i % 7}.pdf", f"/{i:03d}", 1, i % 5) for i in range(200)] + [(None, None, "/x", 1, 9)]
+    hits = spark.createDataFrame(rows, "dataset int, filename string, filepath string, pages int, match_count int").repartition(5)
+    for sort in ranking.ORDERS:
+        want = [r.filepath for r in ranking.sort_hits(hits, sort).collect()]
+        ranked = ranking.rank_hits(hits, sort, partitions=6)
+        got = sorted((r["rank"], r.filepath) for r in ranked.collect())
+        assert got == list(enumerate(want, 1))
+    page = sorted((r["rank"], r.filepath) for r in ranking.ranked_page(ranked, 5, 20).collect())
+    assert page == list(enumerate(want, 1))[80:100]
+    want = {r.filepath for r in ranking.page_hits(hits, 4, 30).collect()}
+    monkeypatch.setattr(ranking, "TOP_ROWS", 50)
+    assert {r.filepath for r in ranking.page_hits(hits, 4, 30).collect()} == want
+    assert ranking.page_hits(hits, 1 << 40, 20).collect() == []
+    assert ranking.rank_hits(hits.filter("false")).collect() == []
+
+
+def test_first_contexts_of_a_name_that_most_documents_share(spark):
+    rows = [(1, "hot" if i % 10 else f"{i}", f"/{i:04d}", 0, [(i, "c", "m", 1)] * 2) for i in range(600)]
+    parts = spark.createDataFrame(rows, "dataset int, filename string, filepath string, part int, "
+                                        "contexts array<struct<position:int,context:string,match:string,page:int>>")
+    got = {r.filename: [c.position for c in r.contexts] for r in merge.first_contexts(parts, ["filename"], 5).collect()}
+    assert got["hot"] == [1, 1, 2, 2, 3] and got["590"] == [590, 590] and len(got) == 61
+
+
 def test_query_many_equals_single_queries(spark):
     docs = random_docs(8, n=40, letters="abcde ", longest=20, names=12)
     corpus = spark.createDataFrame(docs, CORPUS)

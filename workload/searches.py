@@ -145,7 +145,7 @@ def _(spark, sf):
   FROM corpus WHERE {_has('the')} AND NOT {_has('license')} AND NOT {_has('ing the')}""")
 def _(spark, sf):
     docs = t.corpus(spark, sf)
-    return boolean.exclude_terms(search.count_matches(docs, "the"), docs, ["license", "ing the"], "filepath", True)
+    return search.count_matches(boolean.without_terms(docs, ["license", "ing the"]), "the")
 
 
 @query("search_not_by_name", f"""WITH {t.BY_NAME} SELECT {DOC},
@@ -226,6 +226,30 @@ def _(spark, sf):
     return run_query(t.corpus(spark, sf), **_FULL, unique_key=True).totals
 
 
+def _switched_sql(first: str, second: str, without: str, source: str = "corpus") -> str:
+    """Hits of a whole search for two patterns, less a third."""
+    return f"""WITH {t.CORPUS}, {_ASCII} SELECT {DOC},
+        CAST(len(regexp_extract_all(text, '{first}')) AS INTEGER) AS match_count FROM {source}
+      WHERE regexp_matches(text, '{first}') AND regexp_matches(text, '{second}')
+        AND NOT regexp_matches(text, '{without}')"""
+
+
+@query("search_full_case", _switched_sql("the", "The", "License"))
+def _(spark, sf):
+    return run_query(t.corpus(spark, sf), all=["the", "The"], none=["License"], unique_key=True, case_sensitive=True).hits
+
+
+@query("search_full_whole_word", _switched_sql(r"(?i)\bon\b", r"(?i)\bthe\b", r"(?i)\bor\b", "ascii"))
+def _(spark, sf):
+    return run_query(t.corpus(spark, sf), all=["on", "the"], none=["or"], unique_key=True, whole_word=True).hits
+
+
+@query("search_full_regex", _switched_sql("(?i)th[ae]t?[ ,.]", "(?i)w[aeiou]r", "(?i)lic[ei]n"))
+def _(spark, sf):
+    return run_query(t.corpus(spark, sf), all=["th[ae]t?[ ,.]", "w[aeiou]r"], none=["lic[ei]n"], unique_key=True,
+                     regex=True).hits
+
+
 _FULL_NAME_SQL = f"""WITH {t.BY_NAME}, {t.pairs('of', 'license', 12, 'n')},
   names AS (SELECT filename FROM corpus GROUP BY filename
     HAVING bool_or({_has('the')}) AND bool_or({_has('and')}) AND NOT bool_or({_has('license')})),
@@ -316,9 +340,9 @@ _ORDERS = {"relevance": "match_count DESC, dataset, filename", "filename": "file
            "dataset": "dataset, filename"}
 
 for _name, _order in _ORDERS.items():
-    @query(f"sort_{_name}", _page_sql(_order, 1, 100))
+    @query(f"sort_{_name}", f"{_HITS} SELECT *, row_number() OVER (ORDER BY {_order}) AS rank FROM hits")
     def _(spark, sf, sort=_name):
-        return ranking.rank_page(ranking.page_hits(_hits(spark, sf), 1, 100, sort), sort)
+        return ranking.rank_hits(_hits(spark, sf), sort)
 
 
 @query("page_hits", _page_sql(_ORDERS["relevance"], 3, 20))

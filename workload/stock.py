@@ -133,21 +133,23 @@ def _(spark, sf):
 
 
 @query("file_records", f"""WITH {t.CORPUS} SELECT dataset, filename, filepath,
-    CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes,
-    CASE WHEN lang = 'en' THEN pages ELSE 0 END AS pages, 'T ' || lang AS title, '' AS author,
-    CAST(length(text) AS INTEGER) AS text_length,
-    CAST({t.WORDS.format('text')} AS INTEGER) AS word_count FROM corpus""")
+    CASE WHEN ok THEN size_bytes END AS size_bytes, CASE WHEN ok THEN CASE WHEN lang = 'en' THEN pages ELSE 0 END END AS pages,
+    CASE WHEN ok THEN 'T ' || lang END AS title, CASE WHEN ok THEN '' END AS author,
+    CASE WHEN ok THEN CAST(length(text) AS INTEGER) END AS text_length,
+    CASE WHEN ok THEN CAST({t.WORDS.format('text')} AS INTEGER) END AS word_count,
+    CASE WHEN NOT ok THEN 'no text' END AS error
+  FROM (SELECT *, lang <> 'de' AS ok, CAST(octet_length(encode(text)) AS BIGINT) AS size_bytes FROM corpus)""")
 def _(spark, sf):
     docs = t.corpus(spark, sf)
     size = F.octet_length("text").cast("bigint")
-    stats = docs.select("dataset", "filename", "filepath", size.alias("size_bytes"),
-                        sources.size_mb(size).alias("size_mb"), F.lit(None).cast("timestamp").alias("modified_date"))
     pages = F.when(F.col("lang") == "en", F.col("pages").cast("string")).otherwise("unknown")
-    texts = docs.select("dataset", "filename", F.col("text").alias("full_text"),
-                        F.concat(F.lit("Title:  T "), "lang", F.lit("\nPages: "), pages).alias("raw"),
-                        F.lit(None).cast("string").alias("error"))
-    return sources.file_records(stats, texts).select(
-        "dataset", "filename", "filepath", "size_bytes", "pages", "title", "author", "text_length", "word_count")
+    rows = docs.select("dataset", "filename", "filepath", size.alias("size_bytes"),
+                       sources.size_mb(size).alias("size_mb"), F.lit(None).cast("timestamp").alias("modified_date"),
+                       F.col("text").alias("full_text"),
+                       F.concat(F.lit("Title:  T "), "lang", F.lit("\nPages: "), pages).alias("raw"),
+                       F.when(F.col("lang") == "de", "no text").alias("error"))
+    return sources.records(rows).select("dataset", "filename", "filepath", "size_bytes", "pages", "title", "author",
+                                        "text_length", "word_count", "error")
 
 
 @query("file_list", f"""WITH {t.FILES} SELECT dataset, filename, pages, size_mb, word_count
