@@ -153,6 +153,24 @@ def test_scan_files(spark, tmp_path):
     assert {r.dataset: r.n for r in counts} == {d: int(d in (1, 10)) for d in range(1, 13)}
 
 
+def test_quartiles_with_one_outlier(spark):
+    df = spark.range(5001).select((F.when(F.col("id") == 5000, 1e15).otherwise(F.col("id"))).alias("v"))
+    got = inventory.describe_corpus(df, ["v"]).first()
+    assert (got["count"], got.p25, got.p50, got.p75, got["max"]) == (5001, 1250.0, 2500.0, 3750.0, 1e15)
+
+
+def test_records_need_no_join_and_keep_error_rows(spark):
+    rows = spark.createDataFrame(
+        [(1, "a.pdf", "/1/a.pdf", 10, 0.0, None, "x y", "Title: T\nPages: 3", None),
+         (1, "a.pdf", "/2/a.pdf", 10, 0.0, None, "x", "Pages: 1", "broken")],
+        "dataset int, filename string, filepath string, size_bytes bigint, size_mb double, modified_date timestamp, "
+        "full_text string, raw string, error string")
+    found = sources.records(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.filepath: (r.pages, r.title, r.word_count, r.error) for r in found.collect()}
+    assert got == {"/1/a.pdf": (3, "T", 2, None), "/2/a.pdf": (None, None, None, "broken")}
+
+
 def test_file_records(spark):
     stats = spark.createDataFrame([(1, n, "/" + n, 2048, 0.0, None) for n in ("a", "b", "c")],
                                   "dataset int, filename string, filepath string, size_bytes bigint, "
