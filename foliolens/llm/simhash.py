@@ -8,9 +8,10 @@ breadth-first search emits a spanning forest of the links instead of all pairs;
 of those edges are components of all links.
 
 Null texts count as empty, and texts without words have fingerprint zero, which links like
-any other. Repeated rows link to each other. Empty tables give no rows. A null id takes no
-part in choosing the smallest id of a component unless all its ids are null. Other columns
-are ignored by ``near_duplicates`` and kept by ``keep_first``.
+any other. Repeated rows link to each other; rows that share an id but not their text are
+rows of their own. Empty tables give no rows. A null id takes no part in choosing the
+smallest id of a component unless all its ids are null. Other columns are ignored by
+``near_duplicates`` and kept by ``keep_first``.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ from foliolens.llm.components import components
 BITS, BLOCKS, DISTANCE, SHINGLE, SEED = 64, 6, 3, 3, 42
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                 row_col: str | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed 64-bit number; with ``row_col`` (doc_id, row, fp)."""
     def make(batches):
         import xxhash
 
@@ -53,9 +55,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     octets = raw[at:at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
                     ones += np.unpackbits(octets, axis=1).sum(axis=0, dtype=np.int64)
                 prints.append(int(np.packbits(2 * ones > n).view(">i8")[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(prints, pa.int64())],
-                                             ["doc_id", "fp"])
-    return map_texts(docs, [id_col, text_col], make, "doc_id long, fp long")
+            numbers = [batch.column(0), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*(c.cast(pa.int64()) for c in numbers), pa.array(prints, pa.int64())], names)
+    names = ["doc_id", *(["row"] if row_col else []), "fp"]
+    return map_texts(docs, [id_col, text_col, *([row_col] if row_col else [])], make, ", ".join(f"{c} long" for c in names))
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -144,15 +147,20 @@ def links(prints: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE, chu
             .mapInArrow(lambda batches: bucket_edges(batches, distance, chunk), "a long, b long").distinct())
 
 
+def grouped(prints: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
+    """``prints``, of distinct ``fp``, with the smallest fingerprint that links reach as ``component``."""
+    roots = components(links(prints.select("fp"), blocks, distance))
+    return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS,
                     distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id, n_same): the smallest id that links reach, and how many rows
     have the same fingerprint."""
     rows = stored(fingerprints(docs, id_col, text_col))
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_same")))
-    roots = components(links(prints.select("fp"), blocks, distance))
-    groups = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp"))
+    groups = grouped(prints, blocks, distance)
     least = groups.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = groups.join(least, "component").select("fp", "n_same", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "n_same")
@@ -163,8 +171,16 @@ def fingerprint_text(fp) -> "F.Column":
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id. Rows that repeat this id
-    all stay only if the id is null; else one of them does."""
-    found = near_duplicates(docs, id_col, text_col)
-    drop = stored(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(drop, id_col, "left_anti")
+    """One row of each component: the one with the smallest id, a null id last, and one of
+    those that repeat this id. Rows are numbered in a written table, so that it is rows that
+    go, not all that share an id."""
+    row = "row"
+    while row.lower() in {c.lower() for c in docs.columns}:
+        row += "_"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    rows = stored(fingerprints(numbered, id_col, text_col, row_col=row))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    groups = grouped(stored(rows.groupBy("fp").agg(F.min(order).alias("first"))))
+    firsts = groups.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
+    drop = stored(rows.select("row").join(firsts, "row", "left_anti").withColumnRenamed("row", row))
+    return numbered.join(drop, row, "left_anti").select(docs.columns)

@@ -81,6 +81,17 @@ def test_simhash(spark, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_first_goes_by_row(spark):
+    a, b, c = prose(5, 100), prose(6, 100), prose(7, 100)
+    rows = [(1, a, 0), (1, a, 1), (2, a, 2), (2, b, 3), (None, b, 4), (None, c, 5), (None, c, 6), (3, None, 7), (4, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `Row` long")
+    kept = simhash.keep_first(docs)
+    found = kept.collect()
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in found} == {(1, a), (2, b), (None, c), (3, None)} and len(found) == 4
+    assert simhash.keep_first(docs.where("false")).count() == 0
+
+
 def test_links_of_a_bucket_in_shares(spark):
     """Cut into shares, a bucket still connects what all pairs connect."""
     pick = random.Random(3)
