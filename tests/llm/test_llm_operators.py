@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from foliolens.llm import (decontaminate, language, packing, passages, pii, quality, queries, secrets, simhash,
+from foliolens.llm import (decontaminate, language, nearcopies, packing, passages, pii, quality, queries, secrets, simhash,
                            sketch, toxicity)
 from foliolens.llm.components import components
 
@@ -92,6 +92,59 @@ def test_keep_first_goes_by_row(spark):
     assert simhash.keep_first(docs.where("false")).count() == 0
 
 
+def resemblance(a, b, n=5):
+    grams = [(lambda w: {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())((t or "").lower().split()) for t in (a, b)]
+    return len(grams[0] & grams[1]) / len(grams[0] | grams[1]) if grams[0] | grams[1] else 1.0
+
+
+def edited(text, places):
+    words = text.split()
+    for p in places:
+        words[p] = f"changed{p}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("chunk", [4_000, 4])
+def test_near_copies(spark, empty, chunk):
+    """Row by row what all pairs of resemblance >= 0.8 connect, also where a group's first text
+    resembles none of the others; texts that merely link by few bits stay."""
+    base, lead = prose(5, 200), prose(6, 400)
+    texts = ODD + [base, edited(base, [50]), edited(base, [20, 90]), edited(base, [10, 60, 120]), base.upper(), edited(base, range(5, 200, 25)),
+                   edited(base, [30, 70, 110, 150]), edited(edited(base, [30, 70, 110, 150]), [5, 50, 90, 130]), prose(7, 200), "one two three", "one two four"]
+    for i in range(12):  # one long common part, own beginnings: in groups together without being copies
+        own = lead + " " + prose(800 + i, 300)
+        texts += [own, edited(own, [450, 600])]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(texts):
+            for k in range(i):
+                if root[i] != root[k] and resemblance(a, texts[k]) >= 0.8:
+                    root[i] = root[k] = min(root[i], root[k])
+    kept = nearcopies.keep_first(frame(spark, texts), chunk=chunk)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and len(set(root)) < len(texts) - 18
+    assert kept.columns == empty.columns and nearcopies.keep_first(empty).count() == 0
+
+
+def test_near_copies_go_by_row(spark):
+    a, b, c = prose(5, 100), prose(6, 100), prose(7, 100)
+    rows = [(1, a, 0), (1, a, 1), (2, edited(a, [50]), 2), (2, b, 3), (None, b, 4), (None, c, 5), (None, c, 6), (3, None, 7), (4, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `Row` long")
+    kept = nearcopies.keep_first(docs)
+    found = kept.collect()
+    assert kept.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in found} == {(1, a), (2, b), (None, c), (3, None)} and len(found) == 4
+
+
+def test_pipeline_drops_near_copies(spark):
+    import corpus_pipeline
+
+    base = prose(5, 200)
+    texts = [base, edited(base, [40, 80, 120, 160]), prose(6, 200)]
+    assert resemblance(*texts[:2]) >= 0.8 and (plain_fingerprint(texts[0]) ^ plain_fingerprint(texts[1])).bit_count() > 3
+    docs = corpus_pipeline.without_near_copies(spark, frame(spark, texts), "")
+    assert sorted(r["doc_id"] for r in docs.collect()) == [0, 2]
+
+
 def test_links_of_a_bucket_in_shares(spark):
     """Cut into shares, a bucket still connects what all pairs connect."""
     pick = random.Random(3)
