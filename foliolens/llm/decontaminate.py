@@ -9,7 +9,8 @@ the question and of the answer must be in the document.
 
 Items are indexed in parts of bounded size; each part makes one pass over the documents.
 Items without separate columns are cut before their last sentence: question, then answer; an
-item of one sentence is both. Long items are indexed in segments as long as half a passage.
+item of one sentence is both. Such an item also counts where ``OVERLAP`` of the shingles of its
+whole text are in the document. Long items are indexed in segments as long as half a passage.
 
 Null texts of documents and items match nothing, nor do items without words; repeated item
 rows count once; repeated documents match alike; empty tables give no matches; other columns
@@ -62,16 +63,16 @@ class Index:
     segment: np.ndarray
     impact: np.ndarray
     entry_of: list[int]
-    entries: list[tuple[int, set, set]]
+    entries: list[tuple[int, set, set, set | None]]
 
 
-def build(items: list[tuple[int, str, str]], frequency: dict[str, int], n_items: int, mean_length: float) -> Index:
+def build(items: list[tuple[int, str, str]], frequency: dict[str, int], n_items: int, mean_length: float, whole: bool = False) -> Index:
     segments, owners, entries = [], [], []
     for item, question, answer in items:
         words = words_of(question.lower()) + (words_of(answer.lower()) if answer != question else [])
         if not words:
             continue
-        entries.append((item, shingles(words_of(question.lower())), shingles(words_of(answer.lower()))))
+        entries.append((item, shingles(words_of(question.lower())), shingles(words_of(answer.lower())), shingles(words) if whole else None))
         for at in range(0, max(1, len(words) - CHUNK // 4), CHUNK):
             segments.append(Counter(words[at:at + CHUNK]))
             owners.append(len(entries) - 1)
@@ -143,17 +144,17 @@ def verified(index: Index, words: list[str], threshold: float, overlap: float) -
     text = None
     out = []
     for entry, score in sorted(best.items()):
-        item, *parts = index.entries[entry]
+        item, *parts, whole = index.entries[entry]
         shares = []
-        for part in parts:
+        for part in [*parts, whole] if whole else parts:
             if part and len(next(iter(part))) < SHINGLE:
                 # A part of fewer words than a shingle must stand in the text as a whole.
                 text = text or f" {' '.join(words)} "
                 shares.append(float(f" {' '.join(next(iter(part)))} " in text))
             else:
                 shares.append(len(part & own) / len(part) if part else 1.0)
-        if min(shares) >= overlap:
-            out.append((item, score, *shares))
+        if min(shares[:2]) >= overlap or max(shares[2:], default=0.0) >= overlap:
+            out.append((item, score, *shares[:2]))
     return out
 
 
@@ -181,7 +182,7 @@ def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "te
         own = sorted({w for r in rows for w in words_of(f"{r['q']} {r['a']}".lower())})
         if own:
             known = frequency.join(F.broadcast(items.sparkSession.createDataFrame([(w,) for w in own], "w string")), "w")
-            yield build(texts, {r["w"]: r["n"] for r in known.collect()}, size["n"], size["mean"])
+            yield build(texts, {r["w"]: r["n"] for r in known.collect()}, size["n"], size["mean"], not question_col)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP,

@@ -335,6 +335,17 @@ def test_decontaminate(spark, odd, empty):
     assert decontaminate.matches(odd, benchmark.limit(0)).count() == 0 and decontaminate.matches(empty, benchmark).count() == 0
 
 
+def test_decontaminate_whole_items(spark):
+    """One changed word in a short last sentence: by brute force on whole items."""
+    items = [prose(100 + i, 60) + ". " + prose(200 + i, 8) + "." for i in range(6)]
+    texts = [prose(300 + i, 50) + ". " + edited(item, [-4]) + " " + prose(400 + i, 50) for i, item in enumerate(items)] + [prose(500, 200)]
+    grams = lambda t: (lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)})(re.findall(r"\w+", t.lower()))
+    want = {(d, i) for d, t in enumerate(texts) for i, item in enumerate(items) if len(grams(item) & grams(t)) >= 0.8 * len(grams(item))}
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.matches(frame(spark, texts), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want == {(i, i) for i in range(6)}
+
+
 def test_block_maxima_lose_nothing():
     """Skipping blocks gives the same scores as scoring every item."""
     pick = random.Random(4)
