@@ -50,7 +50,7 @@ class Featurer:
         shape = w
         for run, name in self.runs:
             shape = run.sub(name, shape)
-        return zlib.crc32(w.lower().encode("utf-8", "replace")), zlib.crc32(shape[:12].encode("utf-8", "replace"))
+        return zlib.crc32(w.lower().encode("utf-8", "replace")), zlib.crc32(shape.encode("utf-8", "replace"))
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(feature numbers, values): each family has a half or less of the norm."""

@@ -311,6 +311,13 @@ def test_cumulative_link_gradient():
     assert np.allclose(1 / (1 + np.exp(-cut)), [0.2, 0.5], atol=0.02) and not w.any()
 
 
+def test_shapes_of_long_words():
+    """Long words that differ after twelve characters of their shape have shapes of their own."""
+    make = quality.Featurer()
+    assert make.word("a1b2c3d4e5f6g7-h")[1] != make.word("a1b2c3d4e5f6g7_h")[1]
+    assert make.word("a1b2c3d4e5f6g7-h")[1] == make.word("b2c3d4e5f6g7h8-i")[1]
+
+
 def test_decontaminate(spark, odd, empty):
     items = [prose(100 + i, 20 + 15 * i) + ". " + prose(200 + i, 8) + "." for i in range(12)] + [None, "", "Short one"]
     benchmark = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(0, items[0]), (None, "x y z")], "item_id long, text string")
