@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import decontaminate, language, packing, passages, pii, quality, secrets, simhash, sketch, toxicity
+from foliolens.llm import (centroids, decontaminate, language, packing, passages, pii, quality, secrets, simhash, sketch,
+                           sql, toxicity)
 
 #: A key for the queries; a user passes a secret of their own.
 PII_KEY = "example key of the registered query"
@@ -96,3 +97,11 @@ def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     return quality.rate(docs, model).select("doc_id", "expected_grade", "tail_probability", "keep")
+
+
+@query
+def op11_centroids(spark, sf_dir):
+    return centroids.digests(centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+SQL["op11_centroids"] = sql.centroid_sql()
