@@ -31,7 +31,8 @@ def plain(rows, clusters, rounds, dimensions, scale):
 
 
 def found(spark, rows, **parameters):
-    df = spark.createDataFrame([(i, v, 0, "v", "c", "h") for i, v in rows], SCHEMA)
+    rows = [(i, v and [x if x is None else float(x) for x in v], 0, "v", "c", "h") for i, v in rows]
+    df = spark.createDataFrame(rows, SCHEMA)
     return sorted([tuple(r) for r in centroids.digests(centroids.cluster(df, **parameters)).collect()], key=repr)
 
 
