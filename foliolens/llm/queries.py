@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliolens.llm import (centroids, decontaminate, language, packing, passages, pii, quality, secrets, simhash, sketch,
-                           sql, toxicity)
+from foliolens.llm import (centroids, decontaminate, language, packing, passages, pii, prefix_trie, quality, secrets,
+                           simhash, sketch, sql, toxicity)
 
 #: A key for the queries; a user passes a secret of their own.
 PII_KEY = "example key of the registered query"
@@ -105,3 +105,11 @@ def op11_centroids(spark, sf_dir):
 
 
 SQL["op11_centroids"] = sql.centroid_sql()
+
+
+@query
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(table(spark, sf_dir, "conversations")).drop("prefix")
+
+
+SQL["op12_prefix_trie"] = sql.trie_sql()

@@ -29,3 +29,45 @@ c{k + 1} AS (
 SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
        CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
 FROM a{rounds} JOIN (SELECT c, sha256(string_agg(CAST(b AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY c) USING (c)"""
+
+
+def trie_sql(family: int = 100, heads: int = 6) -> str:
+    """Prefixes as strings of their turns; a subtree is what conversations through a node also visit."""
+    return f"""WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS v FROM turns
+  UNION ALL
+  SELECT conv_id, s, i + 1, xor(w >> 1, (w & 1) * 3988292384)
+  FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(v, CAST(ascii(substr(s, i // 8 + 1, 1)) AS BIGINT)) ELSE v END AS w
+        FROM crc WHERE i < 8 * length(s))),
+convs AS (SELECT conv_id, xor(v, 4294967295) % {heads} AS own_from, conv_id - conv_id % {family} AS base FROM crc WHERE i = 8 * length(s)),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.own_from
+  UNION ALL
+  SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.own_from),
+path AS (
+  SELECT conv_id, row_number() OVER o AS depth, length(text) AS chars,
+         string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER o AS prefix
+  FROM rebuilt WINDOW o AS (PARTITION BY conv_id ORDER BY part, pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM convs),
+ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS is_end FROM path),
+nodes AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CASE WHEN is_end THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM ended GROUP BY depth, prefix),
+parents AS (
+  SELECT DISTINCT p.depth, p.prefix, q.prefix AS parent FROM path p JOIN path q ON p.conv_id = q.conv_id AND q.depth = p.depth - 1),
+children AS (SELECT depth - 1 AS depth, parent AS prefix, count(*) AS n_children FROM parents GROUP BY ALL),
+below AS (SELECT DISTINCT a.depth, a.prefix, b.depth AS d2, b.prefix AS p2 FROM path a JOIN path b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (
+  SELECT w.depth, w.prefix, CAST(sum((n.n_convs - 1) * n.chars) AS BIGINT) AS saved_tokens,
+         count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves
+  FROM below w JOIN nodes n ON n.depth = w.d2 AND n.prefix = w.p2 LEFT JOIN children k ON k.depth = w.d2 AND k.prefix = w.p2 GROUP BY ALL)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s USING (depth, prefix) LEFT JOIN children k USING (depth, prefix)
+LEFT JOIN parents p USING (depth, prefix) LEFT JOIN nodes q ON q.depth = p.depth - 1 AND q.prefix = p.parent"""
