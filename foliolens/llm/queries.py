@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolens.llm import (centroids, decontaminate, language, packing, passages, pii, prefix_trie, quality, secrets,
-                           simhash, sketch, sql, toxicity)
+                           simhash, sketch, sql, toxicity, vector_copies)
 
 #: A key for the queries; a user passes a secret of their own.
 PII_KEY = "example key of the registered query"
@@ -113,3 +113,8 @@ def op12_prefix_trie(spark, sf_dir):
 
 
 SQL["op12_prefix_trie"] = sql.trie_sql()
+
+
+@query
+def op13_vector_copies(spark, sf_dir):
+    return vector_copies.near_copies(table(spark, sf_dir, "embeddings"))
