@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +25,33 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a
-    lost executor costs no recomputation."""
+    lost executor costs no recomputation. Inside ``scratch`` the table goes at its end, unless ``keep``."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/foliolens-llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``stored`` writes in this block are removed when it ends: what is still needed
+    then has to be written with ``keep``."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The same rows in small pieces, so that Python objects of few texts exist at a time."""
     for batch in batches:
