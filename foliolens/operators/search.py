@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliolens.functions.arrays import blocks
 from foliolens.functions.patterns import regex_pattern, term_pattern
+from foliolens.functions.trigrams import required_literals
 from foliolens.operators.spans import (
     CONTEXT_CHARS, contexts, with_snippet_parts, with_spans,
 )
@@ -62,15 +63,25 @@ def search_matches(corpus: DataFrame, term: str, case_sensitive: bool = False,
 
 def search_regex(corpus: DataFrame, pattern: str, case_sensitive: bool = False,
                  context_chars: int = CONTEXT_CHARS, max_contexts: int | None = None) -> DataFrame:
-    """``search`` with a regular expression in Java syntax."""
+    """``search`` with a regular expression in Java syntax.
+
+    Of a case-sensitive pattern, the longest literal that every match holds goes to the scan.
+    """
     return _hits(corpus, regex_pattern(pattern, case_sensitive),
-                 context_chars, None, max_contexts)
+                 context_chars, _needed_literal(pattern, case_sensitive), max_contexts)
 
 
 def search_regex_matches(corpus: DataFrame, pattern: str, case_sensitive: bool = False,
                          context_chars: int = CONTEXT_CHARS) -> DataFrame:
+    """One row per match of a regular expression."""
     return _matches(corpus, regex_pattern(pattern, case_sensitive),
-                    context_chars, None)
+                    context_chars, _needed_literal(pattern, case_sensitive))
+
+
+def _needed_literal(pattern: str, case_sensitive: bool) -> str | None:
+    if not case_sensitive or "(?" in pattern:  # flags inside the pattern may fold case
+        return None
+    return max(required_literals(pattern), key=len, default=None)
 
 
 def count_matches(corpus: DataFrame, term: str, case_sensitive: bool = False,

@@ -21,18 +21,22 @@ def read_index(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return reader.option("multiLine", fmt == "json_array").json(path)
 
 
+def ordered(index: DataFrame, partitions: int | None = None) -> DataFrame:
+    """In order of data set, file name and path over all partitions, a large data set in many of them."""
+    order = ["dataset", "filename", "filepath"]
+    ranged = index.repartitionByRange(partitions, *order) if partitions else index.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order)
+
+
 def write_index(index: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists",
                 partitions: int | None = None) -> None:
     """Partitioned by data set and in order of file name.
 
     The range partitioning splits a large data set over many tasks; the order gives narrow
-    statistics per row group, so looking up the documents of a page skips most of the index.
+    statistics per row group, by which looking up the documents of a page skips most of the index.
     The session's number of shuffle partitions holds unless ``partitions`` says otherwise.
     """
-    order = ["dataset", "filename", "filepath"]
-    ranged = index.repartitionByRange(partitions, *order) if partitions else index.repartitionByRange(*order)
-    ordered = ranged.sortWithinPartitions(*order)
-    ordered.write.mode(mode).partitionBy("dataset").format(fmt).save(path)
+    ordered(index, partitions).write.mode(mode).partitionBy("dataset").format(fmt).save(path)
 
 
 def summary_rows(files: DataFrame, n: int = PREVIEW_CHARS, always_dots: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from foliolens.operators import boolean, near, ranking, search
 from foliolens.plans.query import query as run_query, query_many
 from foliolens.schema import DOC_COLUMNS
+from foliolens.sources import signatures
 from workload import tables as t
 from workload.registry import query
 
@@ -47,6 +48,29 @@ def _(spark, sf):
     return flat(search.search_regex(t.corpus(spark, sf), "th[ae]t?[ ,.]"))
 
 
+@query("search_regex_case", _flat_sql("", regex="L[a-z]+ under the", flags="").replace("match_count, ", ""))
+def _(spark, sf):
+    return search.search_regex_matches(t.corpus(spark, sf), "L[a-z]+ under the", case_sensitive=True)
+
+
+@query("search_indexed", _flat_sql("token").replace("match_count, ", ""))
+def _(spark, sf):
+    return search.search_matches(signatures.narrowed(spark, t.signed(spark, sf), all=["token"]), "token")
+
+
+@query("search_indexed_regex", _flat_sql("", regex="licen[cs]ed? (under|of)").replace("match_count, ", ""))
+def _(spark, sf):
+    pattern = "licen[cs]ed? (under|of)"
+    return search.search_regex_matches(signatures.narrowed_by_pattern(spark, t.signed(spark, sf), pattern), pattern)
+
+
+@query("search_indexed_or", f"""WITH {t.CORPUS} SELECT {DOC}, CAST(len(regexp_extract_all(text, '(?i)über')) + len(regexp_extract_all(text,
+    '(?i)license')) AS INTEGER) AS match_count FROM corpus WHERE regexp_matches(text, '(?i)über|license')""")
+def _(spark, sf):
+    docs = signatures.narrowed(spark, t.signed(spark, sf), any=["über", "license"])
+    return boolean.search_any(docs, ["über", "license"], unique_key=True, max_contexts=1).drop("contexts")
+
+
 @query("search_phrase", _flat_sql("ing the"))
 def _(spark, sf):
     return flat(search.search(t.corpus(spark, sf), "ing the"))

@@ -4,9 +4,13 @@ documents become a corpus in 12 data sets, with a line as a page; pages become l
 pages; events become fetch outcomes.
 """
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from foliolens.functions.text import page_offsets, split_pages, text_length, word_count
+from foliolens.session import shared_dir
+from foliolens.sources import signatures
 from foliolens.sources.files import size_mb
 
 SEP = "\n"
@@ -55,6 +59,19 @@ def corpus_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus(spark, sf_dir, name, folder)
 
 
+def signed(spark: SparkSession, sf_dir: str) -> str:
+    """Where the corpus lies as an index with trigram postings, written once in a session."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _SIGNED:
+        path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+        signatures.write_indexed(corpus(spark, sf_dir), path)
+        _SIGNED[at] = path
+    return _SIGNED[at]
+
+
+_SIGNED: dict[tuple[str, str], str] = {}
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File records; one in fifty is an error record."""
     failed = F.substring("filename", 5, 12).cast("bigint") % 50 == 7
