@@ -2,12 +2,13 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from foliolens.functions.arrays import count_while, let, pin, running_totals, search_steps, sql_string
+from foliolens.functions.arrays import count_while, pin, running_totals, search_steps, sql_string
 from foliolens.functions.patterns import WORD, WS, term_pattern
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, find, with_snippet_parts
 from foliolens.schema import DOC_COLUMNS
 
 _LOW = (1 << 32) - 1
+PAIRS_AT_ONCE = 1024
 
 
 def with_word_spans(df: DataFrame, term: str, case_sensitive: bool, out: str,
@@ -52,33 +53,89 @@ def with_word_spans(df: DataFrame, term: str, case_sensitive: bool, out: str,
     return df
 
 
-def with_pairs(df: DataFrame, term1: str, term2: str, distance: int, out: str = "pairs",
+def with_reach(df: DataFrame, term1: str, term2: str, distance: int, out: str = "reach",
                case_sensitive: bool = False, cap: int | None = None, text: str = "text",
                drop: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``out``: struct(start, end) of every accepted pair, in order of the first term.
-
-    For each match of the first term, binary search finds the second-term matches that reach
-    its word window. With ``cap``, no further first-term match is taken up once so many
-    pairs were found; without, the list has all of them.
-    A null text gives a null list; keep out documents that lack a term beforehand.
+    """Add which matches of the second term each match of the first one reaches, as places.
+
+    Three columns whose names begin with ``out``: ``ones`` (start, end, and as places in ``twos`` the ``before`` matches from ``first`` on
+    that lie in front of it and the ``after`` ones from ``next`` on behind it, and ``rank``, the pairs
+    of the matches before it), ``twos`` (start, end), and ``upto`` (running numbers of pairs). Both
+    stretches come from binary searches, so pairs are counted without being made: a
+    document of a million matches of each term takes no more memory than its matches.
+    With ``cap``, no further first-term match is taken up once so many pairs were found.
+    A null text gives null; keep out documents that lack a term beforehand.
     """
     if distance < 0 or (cap is not None and cap < 1):
         raise ValueError("distance must be at least 0 and cap at least 1")
     df = with_word_spans(df, term1, case_sensitive, "_one", text)
     df = with_word_spans(df, term2, case_sensitive, "_two", text)
     df = pin(df, {"_steps": search_steps("_two")})
-    # second-term matches whose word ordinals reach the window lie side by side
-    first = count_while("_steps", lambda i: f"get(_two, {i}).we < m.ws - {distance}")
-    upto = count_while("_steps", lambda i: f"get(_two, {i}).ws <= m.we + {distance}")
-    reached = let("first", first, f"slice(_two, first + 1, greatest({upto} - first, 0))")
-    near = (f"(o.start > m.end AND o.ws - m.we <= {distance})"
-            f" OR (o.end < m.start AND m.ws - o.we <= {distance})")
-    more = f"""transform(filter({reached}, o -> {near}),
-        o -> named_struct('start', least(m.start, o.start), 'end', greatest(m.end, o.end)))"""
-    none = "cast(array() AS array<struct<start:int,end:int>>)"
-    pairs = (f"flatten(transform(_one, m -> {more}))" if cap is None else
-             f"aggregate(_one, {none}, (found, m) -> if(size(found) < {cap}, concat(found, {more}), found))")
-    return pin(df, {out: pairs}, drop=("_one", "_two", "_steps", *drop))
+
+    def place(test: str) -> str:
+        return count_while("_steps", lambda i: f"get(_two, {i}).{test}")
+
+    # words and places of the second term's matches only grow, so each stretch has two ends
+    df = pin(df, {"_found": f"""transform(_one, m -> named_struct('start', m.start, 'end', m.end,
+        'first', {place(f"we < m.ws - {distance}")}, 'last', {place("end < m.start")},
+        'next', {place("start <= m.end")}, 'past', {place(f"ws <= m.we + {distance}")}))"""}, drop=("_one", "_steps"))
+    df = pin(df, {"_each": "transform(_found, m -> greatest(m.last - m.first, 0) + cast(greatest(m.past - m.next, 0) AS bigint))"})
+    df = pin(df, {"_upto": running_totals("_each", "bigint")}, drop=("_each",))
+    taken = "size(_found)"
+    if cap is not None:
+        df = pin(df, {"_steps": search_steps("_upto")})
+        taken = f"least(size(_found), 1 + {count_while('_steps', lambda i: f'get(_upto, {i}) < {cap}')})"
+        drop = ("_steps", *drop)
+    ones = f"""transform(slice(_found, 1, {taken}), (m, i) -> named_struct('start', m.start, 'end', m.end,
+        'first', m.first, 'before', greatest(m.last - m.first, 0), 'next', m.next, 'after', greatest(m.past - m.next, 0),
+        'rank', coalesce(get(_upto, i - 1), 0L)))"""
+    twos = "transform(_two, o -> named_struct('start', o.start, 'end', o.end))"
+    return pin(df, {f"{out}_ones": ones, f"{out}_twos": twos, f"{out}_upto": f"slice(_upto, 1, {taken})"},
+               drop=("_found", "_two", "_upto", *drop))
+
+
+def reach_columns(reach: str) -> tuple[str, ...]:
+    return tuple(f"{reach}_{part}" for part in ("ones", "twos", "upto"))
+
+
+def reach_count(reach: str) -> str:
+    """SQL text: the number of pairs, as a bigint; null for a null text."""
+    return f"if({reach}_upto IS NULL, null, coalesce(get({reach}_upto, size({reach}_upto) - 1), 0L))"
+
+
+_PAIR = "o -> named_struct('start', least(m.start, o.start), 'end', greatest(m.end, o.end))"
+
+
+def reach_pairs(reach: str, most: int | None = None) -> str:
+    """SQL text: struct(start, end) of all pairs, or the first ``most``, in order of the first term."""
+    if most is None:
+        reached = f"concat(slice({reach}_twos, m.first + 1, m.before), slice({reach}_twos, m.next + 1, m.after))"
+        return f"flatten(transform({reach}_ones, m -> transform({reached}, {_PAIR})))"
+    reached = (f"concat(slice({reach}_twos, m.first + 1, least(m.before, {most})),"
+               f" slice({reach}_twos, m.next + 1, least(m.after, {most})))")
+    needed = f"filter({reach}_ones, m -> m.rank < {most} AND m.before + m.after > 0)"
+    return f"slice(flatten(transform({needed}, m -> transform({reached}, {_PAIR}))), 1, {most})"
+
+
+def _block_pairs(reach: str, block: str, size: int) -> str:
+    """SQL text: the pairs numbered ``block * size`` and following, at most ``size``."""
+    low, high = f"{block} * {size}", f"({block} + 1) * {size}"
+    at = count_while("_steps", lambda i: f"get({reach}_upto, {i}) <= {low}")
+    end = count_while("_steps", lambda i: f"get({reach}_upto, {i}) < {high}")
+    skip = f"int(greatest({low} - m.rank, 0))"
+    upto = f"int(least({high} - m.rank, m.before + cast(m.after AS bigint)))"
+    reached = (f"concat(slice({reach}_twos, m.first + {skip} + 1, greatest(least({upto}, m.before) - {skip}, 0)),"
+               f" slice({reach}_twos, m.next + greatest({skip} - m.before, 0) + 1, greatest({upto} - greatest({skip}, m.before), 0)))")
+    return f"flatten(transform(slice({reach}_ones, {at} + 1, {end} - {at} + 1), m -> transform({reached}, {_PAIR})))"
+
+
+def with_pairs(df: DataFrame, term1: str, term2: str, distance: int, out: str = "pairs",
+               case_sensitive: bool = False, cap: int | None = None, text: str = "text",
+               drop: tuple[str, ...] = (), most: int | None = None) -> DataFrame:
+    """Add ``out``: struct(start, end) of every accepted pair or of the first ``most``, in order of
+    the first term."""
+    df = with_reach(df, term1, term2, distance, "_reach", case_sensitive, cap, text, drop)
+    return pin(df, {out: reach_pairs("_reach", most)}, drop=reach_columns("_reach"))
 
 
 def has_both(term1: str, term2: str, case_sensitive: bool = False) -> str:
@@ -95,24 +152,40 @@ def pair_label(term1: str, term2: str) -> str:
     return f"{term1}...{term2}"
 
 
+def _reached(corpus: DataFrame, term1: str, term2: str, distance: int, case_sensitive: bool, cap: int | None) -> DataFrame:
+    """Documents with pairs: the columns of ``_reach``, and ``match_count``."""
+    found = with_reach(having_both(corpus, term1, term2, case_sensitive), term1, term2, distance, "_reach", case_sensitive, cap)
+    return pin(found, {"match_count": reach_count("_reach")}).filter("match_count > 0")
+
+
 def search_near(corpus: DataFrame, term1: str, term2: str, distance: int,
                 case_sensitive: bool = False, context_chars: int = CONTEXT_CHARS,
                 cap: int | None = None, max_contexts: int | None = None) -> DataFrame:
-    """Documents where both terms occur with at most ``distance`` words between, either order."""
-    both = having_both(corpus, term1, term2, case_sensitive)
-    found = with_snippet_parts(with_pairs(both, term1, term2, distance, "pairs", case_sensitive, cap))
-    hits = found.select(
-        *DOC_COLUMNS,
-        F.size("pairs").alias("match_count"),
-        contexts("pairs", context_chars, max_contexts, pair_label(term1, term2)).alias("contexts"),
-    )
-    return hits.filter(F.col("match_count") > 0)
+    """Documents where both terms occur with at most ``distance`` words between, either order.
+
+    The list of contexts holds all pairs of a document or the first ``max_contexts``;
+    ``search_near_matches`` is the form for any number of pairs.
+    """
+    found = pin(_reached(corpus, term1, term2, distance, case_sensitive, cap),
+                {"pairs": reach_pairs("_reach", max_contexts)}, drop=reach_columns("_reach"))
+    return with_snippet_parts(found).select(
+        *DOC_COLUMNS, "match_count", contexts("pairs", context_chars, None, pair_label(term1, term2)).alias("contexts"))
+
+
+def search_near_matches(corpus: DataFrame, term1: str, term2: str, distance: int,
+                        case_sensitive: bool = False, context_chars: int = CONTEXT_CHARS,
+                        cap: int | None = None) -> DataFrame:
+    """One row per pair, with the ``match_count`` of its document: ``PAIRS_AT_ONCE`` pairs exist at a time."""
+    found = with_snippet_parts(_reached(corpus, term1, term2, distance, case_sensitive, cap))
+    found = pin(found, {"_steps": search_steps("_reach_upto")})
+    found = found.select("*", F.expr(f"explode(sequence(0L, (match_count - 1) div {PAIRS_AT_ONCE}))").alias("_block"))
+    found = pin(found, {"some": _block_pairs("_reach", "_block", PAIRS_AT_ONCE)}, drop=("_steps", "_block", *reach_columns("_reach")))
+    found = found.select(*DOC_COLUMNS, "match_count",
+                         contexts("some", context_chars, None, pair_label(term1, term2)).alias("contexts"))
+    return found.select(*DOC_COLUMNS, "match_count", F.inline("contexts"))
 
 
 def count_near(corpus: DataFrame, term1: str, term2: str, distance: int,
                case_sensitive: bool = False, cap: int | None = None) -> DataFrame:
-    """``search_near`` without contexts."""
-    both = having_both(corpus, term1, term2, case_sensitive)
-    found = with_pairs(both, term1, term2, distance, "pairs", case_sensitive, cap)
-    return (found.select(*DOC_COLUMNS, F.size("pairs").alias("match_count"))
-            .filter(F.col("match_count") > 0))
+    """``search_near`` without contexts: pairs are counted, not made."""
+    return _reached(corpus, term1, term2, distance, case_sensitive, cap).select(*DOC_COLUMNS, "match_count")

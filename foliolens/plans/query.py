@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from foliolens.functions.arrays import let, pin, sql_string
 from foliolens.functions.patterns import clause_pattern
 from foliolens.operators.boolean import MAX_CONTEXTS, as_key, has_any
-from foliolens.operators.near import has_both, pair_label, with_pairs
+from foliolens.operators.near import has_both, pair_label, reach_columns, reach_count, with_pairs, with_reach
 from foliolens.operators.ranking import bounds, check_page, filter_hits, hit_totals, page_hits, rank_page
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, with_snippet_parts, with_spans
 from foliolens.plans.merge import DOC_ORDER, first_contexts, first_rows
@@ -81,11 +81,14 @@ class _Spec:
         return [(*clause, self.case_sensitive) for clause in self.near]
 
     def relevant(self, by_key: bool) -> Column:
-        """Documents that can matter; by key also those that only carry another term."""
-        tests = [self.has(t) for t in self.counted]
-        tests += [F.expr(has_both(a, b, self.case_sensitive)) for a, b, _ in self.near]
+        """Documents that can matter: those that decide alone, or by key all that carry any term."""
+        tests = [F.expr(has_both(a, b, self.case_sensitive)) for a, b, _ in self.near]
         if by_key and self.counted:
-            tests += [self.has(t) for t in self.required + self.none]
+            tests += [self.has(t) for t in self.counted + self.required + self.none]
+        elif self.counted:
+            # cheapest first: a test stops at its first match, and one that fails spares the others
+            every = [reduce(Column.__or__, [self.has(t) for t in self.counted])] + [self.has(t) for t in self.required]
+            tests.insert(0, reduce(Column.__and__, every) & ~has_any(self.none, **self.switches))
         return reduce(Column.__or__, tests)
 
 
@@ -107,15 +110,16 @@ def _scores(corpus: DataFrame, specs: dict[str, _Spec], by_key: bool) -> DataFra
     clauses = list(dict.fromkeys(clause for s in specs.values() for clause in s.near_clauses()))
     for i, (one, two, distance, case) in enumerate(clauses):
         docs = pin(docs, {"_both": f"if({has_both(one, two, case)}, text, null)"})
-        docs = with_pairs(docs, one, two, distance, f"_pairs{i}", case, text="_both", drop=("_both",))
+        docs = with_reach(docs, one, two, distance, "_reach", case, text="_both", drop=("_both",))
+        docs = pin(docs, {f"_near{i}": f"coalesce({reach_count('_reach')}, 0L)"}, drop=reach_columns("_reach"))
 
     def row(name: str, spec: _Spec) -> Column:
-        near = [F.coalesce(F.size(f"_pairs{clauses.index(c)}"), F.lit(0)) for c in spec.near_clauses()]
+        near = [F.col(f"_near{clauses.index(c)}") for c in spec.near_clauses()]
         return F.struct(
             F.lit(name).alias("query_name"),
             F.array(*[spec.count(t) for t in spec.counted])
-            .cast("array<int>").alias("counts"),
-            F.array(*near).cast("array<int>").alias("near"),
+            .cast("array<bigint>").alias("counts"),
+            F.array(*near).cast("array<bigint>").alias("near"),
             F.array(*[spec.has(t) for t in spec.required]).cast("array<boolean>").alias("has"),
             has_any(spec.none, **spec.switches).alias("excluded"),
         )
@@ -125,7 +129,7 @@ def _scores(corpus: DataFrame, specs: dict[str, _Spec], by_key: bool) -> DataFra
 
 
 def _total(counts: str) -> Column:
-    return F.expr(f"aggregate({counts}, 0, (s, x) -> s + x)")
+    return F.expr(f"aggregate({counts}, 0L, (s, x) -> s + x)")
 
 
 def _first_part(counts: str) -> Column:
@@ -194,7 +198,7 @@ def _clause_contexts(docs: DataFrame, spec: _Spec, context_chars: int, most: int
         lists.append(F.when(F.col("_use_base"), contexts(f"_c{i}", context_chars, most)))
     for i, (one, two, distance, case) in enumerate(spec.near_clauses()):
         docs = pin(docs, {"_both": f"if({has_both(one, two, case)}, text, null)"})
-        docs = with_pairs(docs, one, two, distance, f"_n{i}", case, text="_both", drop=("_both",))
+        docs = with_pairs(docs, one, two, distance, f"_n{i}", case, text="_both", drop=("_both",), most=most)
         lists.append(contexts(f"_n{i}", context_chars, most, pair_label(one, two)))
     none = F.array().cast("array<struct<position:int,context:string,match:string,page:int>>")
     return docs.withColumn("_lists", F.array(*[F.coalesce(one, none) for one in lists]))
@@ -228,7 +232,7 @@ def _page_by_key(page: DataFrame, rows: int, scores: DataFrame, corpus: DataFram
     base_ok = F.col("_use_base") if spec.either else (
         F.col("_use_base") & (F.col("filepath") == F.col("_shown")))
     of_page = of_page.withColumn("_use_base", base_ok)
-    counts = F.expr("concat(transform(counts, c -> if(_use_base, c, 0)), near)")
+    counts = F.expr("concat(transform(counts, c -> if(_use_base, c, 0L)), near)")
     found = of_page.select(*DOC_COLUMNS, "_use_base", F.posexplode(counts).alias("part", "n")).filter("n > 0")
     needed = first_rows(found, [*key, "part"], DOC_ORDER, most)
     wanted = needed.groupBy("dataset", "filepath").agg(

@@ -121,6 +121,21 @@ def test_near_over_long_texts(spark):
         got = near.with_pairs(corpus, "one", "two", n, cap=cap).collect()
         for r in got:
             assert [tuple(p) for p in r.pairs] == near_pairs(r.text, "one", "two", n, cap)
+        found = near.search_near_matches(corpus, "one", "two", n, context_chars=3, cap=cap).collect()
+        for d in docs:
+            want = near_pairs(d[4], "one", "two", n, cap)
+            assert sorted(r.position for r in found if r.filepath == d[2]) == sorted(p[0] for p in want)
+            assert {r.match_count for r in found if r.filepath == d[2]} <= {len(want)}
+
+
+def test_pairs_are_counted_without_being_made(spark):
+    """400 million pairs of one document: a list of them would not fit the session."""
+    n = 20_000
+    corpus = spark.createDataFrame([document(1, "wide.pdf", "one " * n + "two " * n)], CORPUS)
+    assert [r.match_count for r in near.count_near(corpus, "one", "two", 10**6).collect()] == [n * n]
+    assert [r.match_count for r in near.count_near(corpus, "one", "two", 10**6, cap=n + 1).collect()] == [2 * n]
+    first = near.search_near(corpus, "one", "two", 10**6, context_chars=2, max_contexts=3).collect()[0]
+    assert first.match_count == n * n and len(first.contexts) == 3
 
 
 def by_path(doc):

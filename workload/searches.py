@@ -173,27 +173,34 @@ def _(spark, sf):
 
 
 @query("search_not_by_name", f"""WITH {t.BY_NAME} SELECT {DOC},
-    CAST(len(regexp_extract_all(text, '(?i)the')) AS INTEGER) AS match_count
+    CAST(len(regexp_extract_all(text, '(?i)the')) AS BIGINT) AS match_count
   FROM corpus WHERE {_has('the')}
     AND filename NOT IN (SELECT filename FROM corpus WHERE {_has('license')})""")
 def _(spark, sf):
-    docs = t.corpus_by_name(spark, sf)
-    return boolean.exclude_terms(search.count_matches(docs, "the"), docs, ["license"])
+    return run_query(t.corpus_by_name(spark, sf), all=["the"], none=["license"]).hits
 
 
 @query("search_near", f"""WITH {t.CORPUS}, {t.pairs('the', 'and', 3, 'n')}
-  SELECT {DOC}, CAST(count(*) OVER (PARTITION BY filepath) AS INTEGER) AS match_count,
+  SELECT {DOC}, CAST(count(*) OVER (PARTITION BY filepath) AS BIGINT) AS match_count,
     {t.context(m="'the...and'")} FROM n""")
 def _(spark, sf):
-    return flat(near.search_near(t.corpus(spark, sf), "the", "and", 3))
+    return near.search_near_matches(t.corpus(spark, sf), "the", "and", 3)
 
 
 @query("search_near_same_term", f"""WITH {t.CORPUS}, {t.pairs('on', 'on', 1, 'n')}
-  SELECT {DOC}, CAST(count(*) AS INTEGER) AS match_count FROM n GROUP BY ALL""")
+  SELECT {DOC}, CAST(count(*) AS BIGINT) AS match_count FROM n GROUP BY ALL""")
 def _(spark, sf):
     return near.count_near(t.corpus(spark, sf), "on", "on", 1)
 
 
+@query("search_near_cap", f"""WITH {t.CORPUS}, {t.pairs('the', 'and', 20, 'n')},
+  taken AS (SELECT *, sum(c) OVER (PARTITION BY filepath ORDER BY i) - c AS before
+    FROM (SELECT {DOC}, i, count(*) AS c FROM n GROUP BY ALL))
+  SELECT {DOC}, CAST(sum(c) AS BIGINT) AS match_count FROM taken WHERE before < 50 GROUP BY ALL""")
+def _(spark, sf):
+    return near.count_near(t.corpus(spark, sf), "the", "and", 20, cap=50)
+
+
 _NEAR_MERGE = f"""WITH {t.BY_NAME}, {t.spans('license', 'b')}, {t.pairs('of', 'license', 12, 'n')},
   base AS (SELECT b.* FROM b JOIN (SELECT filename, max((dataset, filename, filepath)) AS newest FROM b GROUP BY filename) x
     ON b.filename = x.filename AND (b.dataset, b.filename, b.filepath) = x.newest),
@@ -222,7 +229,7 @@ _FULL_SQL = f"""WITH {t.CORPUS}, {t.pairs('of', 'license', 12, 'n')},
   {t.spans('the', 'b', source='base')},
   m AS (SELECT dataset, filename, filepath, pages, text, 0 AS part, s, e, m, i, 0 AS j FROM b
     UNION ALL SELECT dataset, filename, filepath, pages, text, 1, s, e, 'of...license', i, j FROM n),
-  hits AS (SELECT {DOC}, CAST(count(*) AS INTEGER) AS match_count FROM m
+  hits AS (SELECT {DOC}, CAST(count(*) AS BIGINT) AS match_count FROM m
     WHERE pages BETWEEN 2 AND 60 GROUP BY ALL)"""
 
 _FULL_PAGE = """
@@ -253,7 +260,7 @@ def _(spark, sf):
 def _switched_sql(first: str, second: str, without: str, source: str = "corpus") -> str:
     """Hits of a whole search for two patterns, less a third."""
     return f"""WITH {t.CORPUS}, {_ASCII} SELECT {DOC},
-        CAST(len(regexp_extract_all(text, '{first}')) AS INTEGER) AS match_count FROM {source}
+        CAST(len(regexp_extract_all(text, '{first}')) AS BIGINT) AS match_count FROM {source}
       WHERE regexp_matches(text, '{first}') AND regexp_matches(text, '{second}')
         AND NOT regexp_matches(text, '{without}')"""
 
@@ -306,7 +313,7 @@ def _(spark, sf):
 @query("search_and_not_by_name", f"""WITH {t.BY_NAME},
   names AS (SELECT filename FROM corpus GROUP BY filename
     HAVING bool_or({_has('über')}) AND bool_or({_has('and')}) AND NOT bool_or({_has('license')}))
-  SELECT {DOC}, CAST(len(regexp_extract_all(text, '(?i)über')) AS INTEGER) AS match_count
+  SELECT {DOC}, CAST(len(regexp_extract_all(text, '(?i)über')) AS BIGINT) AS match_count
   FROM corpus WHERE {_has('über')} AND filename IN (SELECT filename FROM names)""")
 def _(spark, sf):
     return run_query(t.corpus_by_name(spark, sf), all=["über", "and"], none=["license"]).hits
@@ -320,12 +327,12 @@ _BATCH = {
 
 
 @query("search_batch", f"""WITH {t.CORPUS}, {t.pairs('the', 'license', 5, 'n')}
-  SELECT {DOC}, CAST(len(regexp_extract_all(text, '(?i)über')) + len(regexp_extract_all(text, '(?i)nicht')) AS INTEGER)
+  SELECT {DOC}, CAST(len(regexp_extract_all(text, '(?i)über')) + len(regexp_extract_all(text, '(?i)nicht')) AS BIGINT)
       AS match_count, 'either' AS query_name
     FROM corpus WHERE ({_has('über')} OR {_has('nicht')}) AND NOT {_has('license')}
-  UNION ALL SELECT {DOC}, CAST(len(regexp_extract_all(text, '(?i)of')) AS INTEGER), 'both'
+  UNION ALL SELECT {DOC}, CAST(len(regexp_extract_all(text, '(?i)of')) AS BIGINT), 'both'
     FROM corpus WHERE {_has('of')} AND {_has('license')} AND pages >= 3
-  UNION ALL SELECT {DOC}, CAST(count(*) AS INTEGER), 'close' FROM n GROUP BY ALL""")
+  UNION ALL SELECT {DOC}, CAST(count(*) AS BIGINT), 'close' FROM n GROUP BY ALL""")
 def _(spark, sf):
     return query_many(t.corpus(spark, sf), _BATCH, unique_key=True)
 
