@@ -4,6 +4,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foliolens.operators.spans import context_sql, with_snippet_parts
+from foliolens.plans.marks import with_marks
 from foliolens.schema import DOC_COLUMNS
 
 DOC_ORDER = ["dataset", "filename", "filepath"]
@@ -31,15 +33,6 @@ def join_on_key(heads: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
     return heads.join(named, on).drop(*[f"_key_{k}" for k in key])
 
 
-def context_rows(parts: DataFrame, key: list[str]) -> DataFrame:
-    """Every context of every key as a row, with the columns and the count of the merged hit.
-
-    ``parts`` has the document columns, ``part``, ``match_count`` and ``contexts``.
-    """
-    merged = merge_counts(parts.select(*DOC_COLUMNS, "part", "match_count"), key)
-    return join_on_key(merged, parts.select(*key, F.inline("contexts")), key)
-
-
 def first_rows(rows: DataFrame, key: list[str], order: list[str], most: int) -> DataFrame:
     """The first ``most`` rows per key, numbered in ``rn``.
 
@@ -68,3 +61,18 @@ def first_contexts(parts: DataFrame, key: list[str], most: int) -> DataFrame:
     kept = first_rows(rows, key, ["part", *DOC_ORDER, "i"], most)
     lists = kept.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("rn", "c"))).alias("l"))
     return lists.select(*key, F.transform("l", lambda x: x["c"]).alias("contexts"))
+
+
+def first_contexts_at(docs: DataFrame, places: DataFrame, key: list[str], most: int, context_chars: int) -> DataFrame:
+    """``first_contexts`` of spans: places are ranked without their snippets, which are cut in the rows of
+    the few documents that hold them. What is then gathered per key is at most ``most`` contexts.
+
+    ``places`` has the key, ``DOC_ORDER``, ``part``, ``i`` and ``s`` (start, end, match).
+    """
+    kept = first_rows(places, key, ["part", *DOC_ORDER, "i"], most)
+    wanted = kept.groupBy("dataset", "filepath").agg(F.collect_list(F.struct("rn", "s")).alias("_wanted"))
+    found = with_snippet_parts(with_marks(docs, wanted, ["dataset", "filepath"]))
+    cut = f"transform(_wanted, w -> named_struct('rn', w.rn, 'c', {context_sql('w.s.start', 'w.s.end', 'w.s.match', context_chars)}))"
+    rows = found.select(*key, F.explode(F.expr(cut)).alias("l"))
+    lists = rows.groupBy(*key).agg(F.array_sort(F.collect_list("l")).alias("l"))
+    return lists.select(*key, F.transform("l", lambda x: x["c"]).alias("contexts"))

@@ -17,6 +17,7 @@ from foliolens.operators.boolean import MAX_CONTEXTS, as_key, has_any
 from foliolens.operators.near import has_both, pair_label, reach_columns, reach_count, with_pairs, with_reach
 from foliolens.operators.ranking import bounds, check_page, filter_hits, hit_totals, page_hits, rank_page
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, with_snippet_parts, with_spans
+from foliolens.plans.marks import with_marks
 from foliolens.plans.merge import DOC_ORDER, first_contexts, first_rows
 from foliolens.plans.skew import keep_by_key
 from foliolens.schema import DOC_COLUMNS
@@ -24,8 +25,6 @@ from foliolens.session import shared_table
 
 Near = tuple[str, str, int]
 
-# Rows (document, flags, clause numbers) of a page that may be broadcast, some 100 bytes each.
-MAX_BROADCAST_ROWS = 2_000_000
 _SWITCHES = ("case_sensitive", "whole_word", "regex")
 
 
@@ -206,28 +205,24 @@ def _clause_contexts(docs: DataFrame, spec: _Spec, context_chars: int, most: int
 
 def _page_by_document(page: DataFrame, corpus: DataFrame, spec: _Spec, context_chars: int,
                       most: int) -> DataFrame:
-    """Contexts of a page whose rows are documents. A page is at most 10,000 narrow rows,
-    so it is broadcast and the texts stay where they are."""
-    marks = page.select(*[F.col(c).alias(f"_page_{c}") for c in ("dataset", "filepath")],
-                        "match_count", F.col("base").alias("_use_base"))
-    on = ((F.col("dataset") == F.col("_page_dataset")) & (F.col("filepath") == F.col("_page_filepath")))
-    docs = corpus.join(F.broadcast(marks), on).drop("_page_dataset", "_page_filepath")
+    """Contexts of a page whose rows are documents. A page is at most 10,000 narrow rows, which are
+    brought to their documents: only the row groups that may hold those are read."""
+    marks = page.select(*[F.col(c) for c in ("dataset", "filepath", "filename")],
+                        F.col("match_count").alias("_count"), F.col("base").alias("_use_base"))
+    docs = with_marks(corpus, marks, ["dataset", "filepath", "filename"])
     found = _clause_contexts(docs, spec, context_chars, most)
-    return found.select(*DOC_COLUMNS, "match_count", F.slice(F.flatten("_lists"), 1, most).alias("contexts"))
+    return found.select(*DOC_COLUMNS, F.col("_count").alias("match_count"), F.slice(F.flatten("_lists"), 1, most).alias("contexts"))
 
 
-def _page_by_key(page: DataFrame, rows: int, scores: DataFrame, corpus: DataFrame, spec: _Spec,
+def _page_by_key(page: DataFrame, scores: DataFrame, corpus: DataFrame, spec: _Spec,
                  key: list[str], context_chars: int, most: int) -> DataFrame:
-    """Contexts of a page whose ``rows`` are keys, each gathered from several documents.
+    """Contexts of a page whose rows are keys, each gathered from several documents.
 
     A document with a hit gives at least one context, so the first ``most`` documents per
     key and clause are enough; the row limit is applied before the shuffle.
     """
-    most_wanted = rows * (len(spec.counted) + len(spec.near)) * most
-    if most_wanted > MAX_BROADCAST_ROWS:
-        raise ValueError(f"per_page times clauses times max_contexts is {most_wanted}, more than {MAX_BROADCAST_ROWS}")
-    marks = page.select(*key, F.col("base").alias("_use_base"),
-                        F.col("filepath").alias("_shown"))
+    page = shared_table(page)
+    marks = page.select(*key, F.col("base").alias("_use_base"), F.col("filepath").alias("_shown"))
     of_page = scores.join(F.broadcast(marks), key)
     base_ok = F.col("_use_base") if spec.either else (
         F.col("_use_base") & (F.col("filepath") == F.col("_shown")))
@@ -235,9 +230,9 @@ def _page_by_key(page: DataFrame, rows: int, scores: DataFrame, corpus: DataFram
     counts = F.expr("concat(transform(counts, c -> if(_use_base, c, 0L)), near)")
     found = of_page.select(*DOC_COLUMNS, "_use_base", F.posexplode(counts).alias("part", "n")).filter("n > 0")
     needed = first_rows(found, [*key, "part"], DOC_ORDER, most)
-    wanted = needed.groupBy("dataset", "filepath").agg(
+    wanted = needed.groupBy("dataset", "filepath", "filename").agg(
         F.max("_use_base").alias("_use_base"), F.collect_set("part").alias("_parts"))
-    docs = corpus.join(F.broadcast(wanted), ["dataset", "filepath"])
+    docs = with_marks(corpus, wanted, ["dataset", "filepath", "filename"])
     lists = _clause_contexts(docs, spec, context_chars, most).select(
         *DOC_COLUMNS, "_parts", F.posexplode("_lists").alias("part", "contexts"))
     lists = lists.filter(F.array_contains("_parts", F.col("part")))
@@ -284,7 +279,7 @@ def query(corpus: DataFrame, all: list[str] | None = None, any: list[str] | None
     def build_page() -> DataFrame:
         rows = page_hits(hits, page, per_page, sort)
         if not unique_key and (spec.either or spec.near):
-            shown = _page_by_key(rows, per_page, scores, corpus, spec, key, context_chars, max_contexts)
+            shown = _page_by_key(rows, scores, corpus, spec, key, context_chars, max_contexts)
         else:
             shown = _page_by_document(rows, corpus, spec, context_chars, max_contexts)
         return rank_page(shown, sort)
