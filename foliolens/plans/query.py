@@ -17,8 +17,10 @@ from foliolens.operators.boolean import MAX_CONTEXTS, as_key, has_any
 from foliolens.operators.near import has_both, pair_label, reach_columns, reach_count, with_pairs, with_reach
 from foliolens.operators.ranking import bounds, check_page, filter_hits, hit_totals, page_hits, rank_page
 from foliolens.operators.spans import CONTEXT_CHARS, contexts, with_snippet_parts, with_spans
+from foliolens.plans import percolate
 from foliolens.plans.marks import with_marks
 from foliolens.plans.merge import DOC_ORDER, first_contexts, first_rows
+from foliolens.plans.percolate import Saved, probed
 from foliolens.plans.skew import keep_by_key
 from foliolens.schema import DOC_COLUMNS
 from foliolens.session import shared_table
@@ -26,6 +28,7 @@ from foliolens.session import shared_table
 Near = tuple[str, str, int]
 
 _SWITCHES = ("case_sensitive", "whole_word", "regex")
+FEW_QUERIES = 16
 
 
 @dataclass(frozen=True)
@@ -292,6 +295,8 @@ def query_many(corpus: DataFrame, queries: dict[str, dict], key: str | list[str]
     """Hits of several saved queries, found in one pass over the corpus.
 
     Each entry has the clauses, filters and switches of ``query``; every row carries its ``query_name``.
+    More than ``FEW_QUERIES`` go through ``percolate``, which tests a text only for queries whose
+    trigrams it has; those with NEAR clauses, expressions or terms too short for a trigram take the other pass.
     """
     key = as_key(key)
     clauses = ("all", "any", "none", "near")
@@ -301,14 +306,37 @@ def query_many(corpus: DataFrame, queries: dict[str, dict], key: str | list[str]
         raise ValueError(f"not a clause, filter or switch: {sorted(unknown)}")
     specs = {name: _spec(*[q.get(c) for c in clauses], **{s: q[s] for s in _SWITCHES if s in q})
              for name, q in queries.items()}
+    parts = []
+    if len(specs) > FEW_QUERIES:
+        rows = probed(corpus.sparkSession, [_saved(name, spec, queries[name], not unique_key)
+                                                     for name, spec in specs.items() if not spec.near and not spec.switches.get("regex")])
+        done = {r[0] for r in rows}
+        specs = {name: spec for name, spec in specs.items() if name not in done}
+        if rows:
+            found = percolate.scores(corpus, rows)
+            parts.append(percolate.hits_unique(found) if unique_key else percolate.hits_by_key(found, key))
+    if specs:
+        parts.append(_hits_of_each(corpus, specs, queries, key, unique_key))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _saved(name: str, spec: _Spec, given: dict, by_key: bool) -> Saved:
+    patterns = lambda terms: [spec.pattern(t) for t in terms]
+    # a text that decides alone has a counted term; by key others matter too
+    terms = spec.counted + (spec.required + spec.none if by_key else [])
+    return Saved(name, patterns(spec.counted), patterns(spec.required), patterns(spec.none), spec.either, terms,
+                 **{k: given[k] for k in ("dataset", "min_pages", "max_pages") if k in given})
+
+
+def _hits_of_each(corpus: DataFrame, specs: dict[str, _Spec], queries: dict[str, dict], key: list[str], unique_key: bool) -> DataFrame:
     scores = _scores(corpus, specs, by_key=not unique_key)
 
     def within(name: str) -> Column:
-        given = {k: queries[name][k] for k in limits if k in queries[name]}
+        given = {k: queries[name][k] for k in ("dataset", "min_pages", "max_pages") if k in queries[name]}
         return (F.col("query_name") == name) & bounds(**given)
 
     if unique_key:
-        wanted = reduce(Column.__or__, [within(name) for name in queries])
+        wanted = reduce(Column.__or__, [within(name) for name in specs])
         return _hits_unique(scores).filter(wanted).drop("base")
     scores = shared_table(scores)
     parts = []

@@ -337,6 +337,62 @@ def _(spark, sf):
     return query_many(t.corpus(spark, sf), _BATCH, unique_key=True)
 
 
+@query("search_batch_by_name", f"""WITH {t.BY_NAME}, {t.pairs('the', 'license', 5, 'n')},
+  flags AS (SELECT filename, bool_or({_has('license')}) AS lic, bool_or({_has('of')}) AS of_,
+    bool_or({_has('über')} OR {_has('nicht')}) AS either FROM corpus GROUP BY filename),
+  a AS (SELECT *, CAST(len(regexp_extract_all(text, '(?i)über')) AS BIGINT) AS c1,
+    CAST(len(regexp_extract_all(text, '(?i)nicht')) AS BIGINT) AS c2 FROM corpus),
+  e AS (SELECT *, sum(c1 + c2) OVER (PARTITION BY filename) AS total,
+    row_number() OVER (PARTITION BY filename ORDER BY c1 = 0, dataset, filepath) AS rn FROM a WHERE c1 + c2 > 0),
+  near_n AS (SELECT {DOC}, count(*) AS c FROM n GROUP BY ALL),
+  near_k AS (SELECT *, sum(c) OVER (PARTITION BY filename) AS total,
+    row_number() OVER (PARTITION BY filename ORDER BY dataset, filepath) AS rn FROM near_n)
+  SELECT {DOC}, CAST(total AS BIGINT) AS match_count, 'either' AS query_name FROM e JOIN flags USING (filename) WHERE rn = 1 AND NOT lic
+  UNION ALL SELECT {DOC}, CAST(len(regexp_extract_all(text, '(?i)of')) AS BIGINT), 'both'
+    FROM corpus JOIN flags USING (filename) WHERE {_has('of')} AND lic AND pages >= 3
+  UNION ALL SELECT {DOC}, CAST(total AS BIGINT), 'close' FROM near_k WHERE rn = 1""")
+def _(spark, sf):
+    return query_many(t.corpus_by_name(spark, sf), _BATCH)
+
+
+def saved_queries(n: int) -> dict[str, dict]:
+    """Saved queries by rule: three-letter terms, alone in a data set, with a second term and without a third, or either of two."""
+    terms = [a + b + c for c in "bdlmnrst" for b in "aeiou" for a in "bdlmnrst"]
+    kinds = [lambda i, a, b: dict(all=[a], dataset=i % 12 + 1), lambda i, a, b: dict(all=[a, b], none=["license"], min_pages=2),
+             lambda i, a, b: dict(any=[a, b], none=["the"])]
+    return {f"q{i}": kinds[i % 3](i, terms[i % 320], terms[(i * 7 + i // 320 + 5) % 320]) for i in range(n)}
+
+
+def _saved_sql(n: int, tables: str, key: str) -> str:
+    """The saved queries as rows (name, kind, a, b); counts by the length that taking a term out costs."""
+    rows = []
+    for name, q in saved_queries(n).items():
+        a, *b = q.get("all") or q["any"]
+        kind = "either" if "any" in q else "both" if b else "one"
+        rows.append(f"('{name}', '{kind}', '{a}', '{b[0] if b else a}', {q.get('dataset', 0)})")
+    times = lambda term: f"CAST((length(low) - length(replace(low, {term}, ''))) // 3 AS BIGINT)"
+    return f"""WITH {tables}, q(query_name, kind, a, b, wanted) AS (VALUES {', '.join(rows)}),
+  c AS (SELECT {DOC}, lower(text) AS low, {key} AS k, bool_or({_has('license')}) OVER (PARTITION BY {key}) AS lic,
+    bool_or({_has('the')}) OVER (PARTITION BY {key}) AS the FROM corpus),
+  s AS (SELECT q.*, c.* EXCLUDE (low), {times('a')} AS na, {times('b')} AS nb FROM c JOIN q ON contains(low, a) OR contains(low, b)),
+  f AS (SELECT *, max(nb) OVER (PARTITION BY query_name, k) > 0 AS has_b,
+      row_number() OVER (PARTITION BY query_name, k ORDER BY na = 0, dataset, filename, filepath) AS rn,
+      sum(na + nb) OVER (PARTITION BY query_name, k) AS total FROM s)
+  SELECT query_name, {DOC}, na AS match_count FROM f WHERE kind = 'one' AND dataset = wanted AND na > 0
+  UNION ALL SELECT query_name, {DOC}, na FROM f WHERE kind = 'both' AND na > 0 AND has_b AND NOT lic AND pages >= 2
+  UNION ALL SELECT query_name, {DOC}, CAST(total AS BIGINT) FROM f WHERE kind = 'either' AND NOT the AND rn = 1"""
+
+
+@query("search_saved", _saved_sql(300, t.CORPUS, "filepath"))
+def _(spark, sf):
+    return query_many(t.corpus(spark, sf), saved_queries(300), unique_key=True)
+
+
+@query("search_saved_by_name", _saved_sql(60, t.BY_NAME, "filename"))
+def _(spark, sf):
+    return query_many(t.corpus_by_name(spark, sf), saved_queries(60))
+
+
 # --- filters, orders, pages ------------------------------------------------------------------
 
 _HITS = f"""WITH {t.CORPUS}, hits AS (SELECT {DOC},
