@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, functions as F
 
+from foliolens.functions.html import hrefs as html_hrefs
+
 # Extensions that may be served.
 ALLOWED_EXTENSIONS = [".html", ".json", ".pdf", ".css", ".js", ".png", ".jpg", ".ico"]
 
@@ -14,12 +16,6 @@ LINK_PATTERNS = [
     r'(/sites/[^"\s]+\.pdf)',
 ]
 
-# An anchor up to the value of its own href attribute: attributes before it are passed over
-# whole, so a part of another name or of a value does not count.
-_VALUE = r'''(?:"[^"]*"|'[^']*'|[^\s"'>]+)'''
-ANCHOR_HREF = rf"(?i)<a(?:\s+(?!href[\s=])[^\s=>\"'/]+(?:\s*=\s*{_VALUE})?){{0,99}}\s+href\s*=\s*{_VALUE}"
-ENTITIES = {"&quot;": '"', "&#39;": "'", "&#34;": '"', "&lt;": "<", "&gt;": ">", "&#38;": "&", "&amp;": "&"}
-
 
 def drop_query(url: Column) -> Column:
     return F.substring_index(url, "?", 1)
@@ -35,18 +31,9 @@ def allowed_ext(path: Column, allowed: list[str] = ALLOWED_EXTENSIONS) -> Column
     return (ext == "") | ext.isin(list(allowed))
 
 
-def href_value(anchor: Column) -> Column:
-    """The href of the text that ``ANCHOR_HREF`` matched: without quotes, entities decoded."""
-    value = F.regexp_extract(anchor, rf"(?is)\s+href\s*=\s*({_VALUE})\z", 1)
-    value = F.when(value.rlike("^[\"']"), F.regexp_replace(value, "^[\"']|[\"']$", "")).otherwise(value)
-    for code, char in ENTITIES.items():
-        value = F.replace(value, F.lit(code), F.lit(char))
-    return value
-
-
-def hrefs(html: Column, contains: str = ".pdf", ignore_case: bool = False) -> Column:
-    """Targets of the anchors whose href contains a text."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR_HREF), F.lit(0)), href_value)
+def hrefs(html: str, contains: str = ".pdf", ignore_case: bool = False) -> Column:
+    """Targets of the anchors of a column of pages whose href contains a text."""
+    found = F.expr(html_hrefs(html))
     if ignore_case:
         return F.filter(found, lambda h: F.lower(h).contains(contains.lower()))
     return F.filter(found, lambda h: h.contains(contains))

@@ -2,6 +2,8 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from foliolens.functions.arrays import pin
+from foliolens.functions.html import anchors, bounds, regions, tokens
 from foliolens.functions.urls import (
     decode_filename, hrefs, links_by_patterns, listing_url, page_number, resolve_url, url_filename,
 )
@@ -13,14 +15,13 @@ _URL_BLOCK = 10_000
 STATUSES = ["downloaded", "skipped", "failed"]
 
 # How the pagination of a listing page is marked up.
-_NAV = r"(?is)<nav[^>]*aria-label=['\"]Pagination['\"][^>]*>.*?</nav>"
-_ANCHOR = r"(?is)<a\s[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>"
+_BAR = ("nav", "aria-label", "Pagination")
 _LAST_TEXT = "last"
 
 
 def extract_links(listing: DataFrame, contains: str = ".pdf", ignore_case: bool = False) -> DataFrame:
     """One row per link of every listing page (dataset, page_num, base_url, html)."""
-    return _as_links(listing, hrefs(F.col("html"), contains, ignore_case))
+    return _as_links(listing, hrefs("html", contains, ignore_case))
 
 
 def extract_links_fallback(listing: DataFrame, patterns: list[str] | None = None) -> DataFrame:
@@ -87,33 +88,34 @@ def name_clashes(links: DataFrame) -> DataFrame:
 
 
 def fetch_summary(outcomes: DataFrame, totals: bool = True) -> DataFrame:
-    """Outcomes counted by status per data set; the grand total has a null data set."""
+    """Outcomes counted by status per data set. The grand total has a null data set and is marked in
+    ``is_total``, which tells it from outcomes without a data set."""
     counts = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
     if not totals:
         return outcomes.groupBy("dataset").agg(*counts)
-    each = outcomes.rollup("dataset").agg(*counts, F.grouping("dataset").alias("_all"))
-    return each.drop("_all")
+    return outcomes.rollup("dataset").agg(*counts, (F.grouping("dataset") == 1).alias("is_total"))
 
 
 def pagination_links(listing: DataFrame) -> DataFrame:
-    """Links that can tell the last page: those labelled "Last", and those of the pagination bar."""
-    bar = F.regexp_extract("html", _NAV, 0)
-    parts = F.array(F.struct(F.col("html").alias("part"), F.lit(True).alias("labelled")),
-                    F.struct(bar.alias("part"), F.lit(False).alias("labelled")))
-    rows = listing.select("dataset", "page_num", F.inline(parts))
-    # hrefs and labels of the same anchors, in page order
-    rows = rows.select("dataset", "page_num", "labelled", F.posexplode(F.arrays_zip(
-        F.regexp_extract_all("part", F.lit(_ANCHOR), F.lit(1)).alias("href"),
-        F.regexp_extract_all("part", F.lit(_ANCHOR), F.lit(2)).alias("label"))).alias("pos", "a"))
-    is_last = F.lower(F.regexp_replace("a.label", r"<[^>]*>", "")).contains(_LAST_TEXT)
-    return rows.filter(F.col("labelled") == is_last).select(
-        "dataset", "page_num", "pos", F.col("a.href").alias("href"), is_last.alias("is_last"))
+    """Links that can tell the last page: those labelled "Last", and those of the pagination bar.
+
+    (dataset, page_num, pos, href, is_last, in_bar); ``pos`` counts the anchors of a page.
+    """
+    name, label, value = _BAR
+    rows = pin(listing.select("dataset", "page_num", "html"), {"_t": tokens("html")}, drop=("html",))
+    rows = pin(rows, {"_a": bounds("_t", "a"), "_n": bounds("_t", name)})
+    rows = pin(rows, {"_a": anchors("_t", "_a"), "_r": regions("_t", "_n", label, value)}, drop=("_a", "_n", "_t"))
+    rows = rows.select("dataset", "page_num", "_r", F.posexplode("_a").alias("pos", "a"))
+    is_last = F.lower("a.label").contains(_LAST_TEXT)
+    rows = rows.select("dataset", "page_num", "pos", F.col("a.href").alias("href"), is_last.alias("is_last"),
+                       F.expr("exists(_r, r -> a.at > r.start AND a.at < r.end)").alias("in_bar"))
+    return rows.filter("is_last OR in_bar")
 
 
 def last_page(pagination: DataFrame, listing: DataFrame | None = None) -> DataFrame:
-    """Per data set: the number on the first "Last" link, else the highest number, else 0.
+    """Per data set: the number on the first "Last" link, else the highest number of the bar, else 0.
 
-    ``pagination`` has (dataset, page_num, pos, href, is_last). Data sets of ``listing`` that
+    ``pagination`` has the columns of ``pagination_links``. Data sets of ``listing`` that
     have no pagination links get 0.
     """
     if listing is not None:
@@ -124,7 +126,7 @@ def last_page(pagination: DataFrame, listing: DataFrame | None = None) -> DataFr
     number = page_number(F.col("href"))
     first_last = F.when(F.col("is_last"), F.struct("page_num", "pos"))
     return pagination.groupBy("dataset").agg(F.coalesce(
-        F.min_by(number, first_last), F.max(F.when(~F.col("is_last"), number)), F.lit(0)).alias("last_page"))
+        F.min_by(number, first_last), F.max(F.when(F.col("in_bar"), number)), F.lit(0)).alias("last_page"))
 
 
 def listing_urls(last_pages: DataFrame, base: Column) -> DataFrame:

@@ -124,7 +124,7 @@ def test_empty_patterns_are_refused(spark):
 def test_anchor_targets(spark):
     html = ("<a href='x.pdf'>1</a><a class=k href=y.pdf>2</a><a data-href=\"z.pdf\" href=\"w.pdf\">3</a><A HREF = \"v.pdf\">4</A>"
             "<a title='href=t.pdf' rel href=\"u.pdf?a=1&amp;b=2\">5</a><area href=\"no.pdf\"><a name=\"n.pdf\">6</a>")
-    got = rows(spark, [html, None]).select(urls.hrefs(F.col("v"))).collect()
+    got = rows(spark, [html, None]).select(urls.hrefs("v")).collect()
     assert list(got[0][0]) == ["x.pdf", "y.pdf", "w.pdf", "v.pdf", "u.pdf?a=1&b=2"] and got[1][0] is None
 
 

@@ -78,7 +78,7 @@ def _(spark, sf):
 _COUNTS = ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in links.STATUSES)
 
 
-@query("fetch_summary", f"WITH {t.OUTCOMES} SELECT dataset, {_COUNTS} FROM outcomes GROUP BY ROLLUP (dataset)")
+@query("fetch_summary", f"WITH {t.OUTCOMES} SELECT dataset, {_COUNTS}, grouping(dataset) = 1 AS is_total FROM outcomes GROUP BY ROLLUP (dataset)")
 def _(spark, sf):
     return links.fetch_summary(t.outcomes(spark, sf))
 
@@ -88,7 +88,8 @@ def _pagination(spark, sf):
     pages = t.web_pages(spark, sf, "url")
     return pages.select(
         (F.col("page_id") % 40).cast("int").alias("dataset"), F.col("page_id").alias("page_num"),
-        F.lit(0).alias("pos"), F.col("url").alias("href"), (F.col("page_id") % 7 == 0).alias("is_last"))
+        F.lit(0).alias("pos"), F.col("url").alias("href"), (F.col("page_id") % 7 == 0).alias("is_last"),
+        (F.col("page_id") % 7 > 0).alias("in_bar"))
 
 
 _LAST = """p AS (SELECT CAST(page_id % 40 AS INTEGER) AS dataset, page_id, page_id % 7 = 0 AS is_last,
@@ -106,7 +107,7 @@ def _(spark, sf):
     regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1) AS h,
     regexp_extract_all(html, '(?is)<a\\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 2) AS l FROM listing),
   e AS (SELECT dataset, page_num, unnest(range(0, len(h))) AS pos, unnest(h) AS href, unnest(l) AS label FROM a)
-  SELECT dataset, page_num, CAST(pos AS INTEGER) AS pos, href, true AS is_last FROM e
+  SELECT dataset, page_num, CAST(pos AS INTEGER) AS pos, href, true AS is_last, false AS in_bar FROM e
   WHERE contains(lower(regexp_replace(label, '<[^>]*>', '', 'g')), 'last')""")
 def _(spark, sf):
     return links.pagination_links(t.listing_pages(spark, sf))
@@ -127,6 +128,52 @@ def _(spark, sf):
     return links.last_page(links.pagination_links(pages), pages)
 
 
+def _marked_up(spark, sf):
+    """The listing pages with their own anchors disarmed and a bar of one of five kinds."""
+    page = F.col("page_num") * 12 + F.col("dataset") - 1
+    n = page.cast("string")
+    bars = [
+        # no "Last": the highest number of the bar counts, not those of comments, scripts or other attributes
+        F.concat(F.lit("<NAV class=x aria-label='Pagination'><ul><li><a data-href=\"?page=9999\" href='?page="), n, F.lit(
+            "'>next</a></li><!-- <a href=\"?page=8888\">Last</a> --></ul></NAV><script>'<a href=\"?page=7777\">Last</a>'</script>")),
+        # "Last" in a nested element, attributes in any order, no quotes
+        F.concat(F.lit('<a title="a > b" class=\'p\' href=/l?x=1&amp;page='), n, F.lit('><span>LAST</span> »</a><a href="?page=9999">Last</a>')),
+        # a "Last" without a number: the bar tells, nested bars included
+        F.concat(F.lit('<a>Last</a><nav aria-label="Pagination"><nav></nav><a href="?page='), n, F.lit('">2</a></nav><a href="?page=9999">3</a>')),
+        F.lit("<nav aria-label='Other'><a href='?page=9999'>4</a></nav>"),
+        F.concat(F.lit('<a href="x.pdf?page='), n, F.lit("\" >doc</a><a href = 'y.PDF'>doc</a><!-- <a href='z.pdf'> --><a hrefs='w.pdf'>no</a>")),
+    ]
+    bar = F.coalesce(*[F.when(page % 5 == i, b) for i, b in enumerate(bars)])
+    return t.listing_pages(spark, sf).withColumn("html", F.concat(F.regexp_replace("html", "(?i)<a", "<i"), bar))
+
+
+_BARS = "SELECT CAST(page_id % 12 + 1 AS INTEGER) AS dataset, CAST(page_id // 12 AS INTEGER) AS page_num, page_id, page_id % 5 AS kind FROM pages"
+
+
+@query("pagination_markup", f"""WITH b AS ({_BARS}),
+  k(kind, pos, href, is_last, in_bar) AS (VALUES (0, 0, '?page=#', false, true), (1, 0, '/l?x=1&page=#', true, false),
+    (1, 1, '?page=9999', true, false), (2, 0, NULL, true, false), (2, 1, '?page=#', false, true))
+  SELECT dataset, page_num, pos, replace(href, '#', CAST(page_id AS VARCHAR)) AS href, is_last, in_bar FROM b JOIN k USING (kind)""")
+def _(spark, sf):
+    return links.pagination_links(_marked_up(spark, sf))
+
+
+@query("last_page_of_bar", f"""WITH b AS ({_BARS}) SELECT dataset, CAST(coalesce(
+    CASE arg_min(kind, page_num) FILTER (WHERE kind IN (1, 2)) WHEN 1 THEN min(page_id) FILTER (WHERE kind = 1) END,
+    max(page_id) FILTER (WHERE kind IN (0, 2)), 0) AS INTEGER) AS last_page FROM b GROUP BY dataset""")
+def _(spark, sf):
+    pages = _marked_up(spark, sf)
+    return links.last_page(links.pagination_links(pages), pages)
+
+
+@query("extract_links_markup", f"""WITH {t.LISTING}, b AS ({_BARS}),
+  k(tail, ignored) AS (VALUES ('x.pdf?page=#', false), ('y.PDF', true))
+  SELECT dataset, page_num, replace(tail, '#', CAST(page_id AS VARCHAR)) AS href,
+    split_part(tail, '?', 1) AS filename FROM b, k WHERE kind = 4""")
+def _(spark, sf):
+    return links.extract_links(_marked_up(spark, sf), ignore_case=True).drop("url")
+
+
 @query("listing_urls", f"""WITH {_LAST} SELECT dataset, 'https://h/data-set-' || dataset || '-files' AS base_url,
     CAST(unnest(range(0, last_page + 1)) AS INTEGER) AS page_num,
     'https://h/data-set-' || dataset || '-files' || CASE WHEN unnest(range(0, last_page + 1)) > 0
