@@ -7,6 +7,7 @@ from foliolens.functions.html import anchors, bounds, regions, tokens
 from foliolens.functions.urls import (
     decode_filename, hrefs, links_by_patterns, listing_url, page_number, resolve_url, url_filename,
 )
+from foliolens.plans.name_filter import may_be_in
 from foliolens.plans.skew import drop_by_key
 from foliolens.session import shared_table
 
@@ -75,9 +76,24 @@ def plan_fetch_totals(planned: DataFrame) -> DataFrame:
 
 
 def pending_links(links: DataFrame, have: DataFrame) -> DataFrame:
-    """Distinct links whose file is not there with valid content."""
-    todo = shared_table(links.select("dataset", "url", "filename").distinct())
-    return drop_by_key(todo, have, ["dataset", "filename"], ["dataset", "url"])
+    """Distinct links whose file is not there with valid content.
+
+    A filter of fixed size over the names that are there lets most links pass without a look at the
+    names; only those it cannot tell go through the anti join.
+    """
+    key = ["dataset", "filename"]
+    todo = shared_table(may_be_in(links.select("dataset", "url", "filename").distinct(), have, key, "_maybe"))
+    unsure = todo.filter("_maybe").drop("_maybe")
+    return todo.filter("NOT _maybe").drop("_maybe").unionByName(drop_by_key(unsure, have, key, ["dataset", "url"]))
+
+
+def newer_links(links: DataFrame, planned: DataFrame) -> DataFrame:
+    """Distinct links that an earlier plan (dataset, url) does not hold: what a next run has to look at."""
+    key = ["dataset", "url"]
+    todo = shared_table(may_be_in(links.select("dataset", "url", "filename").distinct(), planned, key, "_maybe"))
+    unsure = todo.filter("_maybe").drop("_maybe")
+    known = planned.select(*key).distinct()
+    return todo.filter("NOT _maybe").drop("_maybe").unionByName(drop_by_key(unsure, known, key, key))
 
 
 def name_clashes(links: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Filters, orders, pages and totals over hits."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from foliolens.session import shared_table
 
@@ -69,6 +69,31 @@ def page_hits(hits: DataFrame, page: int = 1, per_page: int = 20, sort: str = "r
     return sort_hits(hits, sort).offset((page - 1) * per_page).limit(per_page)
 
 
+def page_after(hits: DataFrame, last: Row | None, per_page: int = 20, sort: str = "relevance") -> DataFrame:
+    """The page that follows the hit ``last`` (None: the first page), at any depth for the price of the first.
+
+    Only hits behind ``last`` in the order are looked at, as a top-k of one page; none before it is ranked.
+    """
+    check_page(1, per_page)
+    if last is not None:
+        hits = hits.filter(_behind(last, ORDERS[sort] if sort in ORDERS else order_columns(sort)))
+    return sort_hits(hits, sort).limit(per_page)
+
+
+def _behind(last: Row, names: list[str]) -> Column:
+    """Rows that the order puts after ``last``: null comes first where it ascends and last where it descends."""
+    after, equal = F.lit(False), F.lit(True)
+    for name in names:
+        column, value = F.col(name.lstrip("-")), last[name.lstrip("-")]
+        if name[0] == "-":
+            beyond = F.lit(False) if value is None else (column < value) | column.isNull()
+        else:
+            beyond = column.isNotNull() if value is None else column > value
+        after = after | (equal & F.coalesce(beyond, F.lit(False)))
+        equal = equal & column.eqNullSafe(F.lit(value))
+    return after
+
+
 def rank_hits(hits: DataFrame, sort: str = "relevance", partitions: int | None = None) -> DataFrame:
     """All hits with their ``rank`` from 1, without a window over all of them.
 

@@ -7,7 +7,9 @@ from foliolens.functions.urls import dataset_name, dataset_url
 from foliolens.operators.inventory import corpus_totals, extraction_summary
 from foliolens.schema import ARCHIVE, CORPUS, FILES
 from foliolens.sources.files import NUM_DATASETS, build_index, ok_files
+from foliolens.sources.json_array import read_json_array
 
+# The columns of the exports.
 EXPORT_CSV = ["filename", "dataset", "pages", "match_count"]
 EXPORT_JSON = EXPORT_CSV + ["filepath"]
 PART_BYTES = 64 * 1024 * 1024
@@ -15,10 +17,10 @@ PART_BYTES = 64 * 1024 * 1024
 
 def read_index(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The flat index: Parquet, JSON lines ('json') or one JSON array ('json_array')."""
+    if fmt == "json_array":
+        return read_json_array(spark, path, CORPUS)
     reader = spark.read.schema(CORPUS)
-    if fmt == "parquet":
-        return reader.parquet(path)
-    return reader.option("multiLine", fmt == "json_array").json(path)
+    return reader.parquet(path) if fmt == "parquet" else reader.json(path)
 
 
 def ordered(index: DataFrame, partitions: int | None = None) -> DataFrame:
