@@ -13,12 +13,28 @@ def has_magic(content: Column, magic: bytes = PDF_MAGIC) -> Column:
     return F.coalesce(head == F.lit(bytearray(magic)), F.lit(False))
 
 
-def content_kind(content: Column, magic: bytes = PDF_MAGIC) -> Column:
-    """'pdf', 'html', 'empty' or 'other', told from the leading bytes; white space before HTML is passed over."""
-    head = F.lower(F.regexp_replace(F.decode(content, "ISO-8859-1"), r"^\s+", "").substr(1, 32))
-    html = F.lit(False)
+#: Lengths of the head that is looked at for HTML; the whole only where all of these are blank.
+_HEADS = (256, 65_536)
+
+
+def _starts_html(head: Column) -> Column:
+    shown = F.lower(F.regexp_replace(F.decode(head, "ISO-8859-1"), r"^\s+", "").substr(1, 32))
+    found = F.lit(False)
     for start in HTML_STARTS:
-        html = html | head.startswith(start)
+        found = found | shown.startswith(start)
+    return found
+
+
+def content_kind(content: Column, magic: bytes = PDF_MAGIC) -> Column:
+    """'pdf', 'html', 'empty' or 'other', told from the leading bytes; white space before HTML is passed over.
+
+    A short head decides unless it is blank; the start that follows may run on past it by a few bytes.
+    """
+    room = max(map(len, HTML_STARTS))
+    html = _starts_html(content)
+    for length in reversed(_HEADS):
+        blank = F.decode(F.substring(content, 1, length), "ISO-8859-1").rlike(r"^\s*\z")
+        html = F.when(~blank, _starts_html(F.substring(content, 1, length + room))).otherwise(html)
     return (
         F.when(content.isNull() | (F.octet_length(content) == 0), "empty")
         .when(has_magic(content, magic), "pdf")

@@ -1,6 +1,7 @@
 """Reading and writing the search index, the archive and the exports."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from foliolens.functions.text import PREVIEW_CHARS, text_preview
 from foliolens.functions.urls import dataset_name, dataset_url
@@ -15,6 +16,14 @@ EXPORT_JSON = EXPORT_CSV + ["filepath"]
 PART_BYTES = 64 * 1024 * 1024
 
 
+def _with_preview(datasets: T.StructType) -> T.StructType:
+    record = T.StructType([*datasets["files"].dataType.elementType.fields, T.StructField("text_preview", T.StringType())])
+    return T.StructType([T.StructField(f.name, T.ArrayType(record) if f.name == "files" else f.dataType) for f in datasets.fields])
+
+
+NESTED = _with_preview(ARCHIVE["datasets"].dataType.elementType)
+
+
 def read_index(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """The flat index: Parquet, JSON lines ('json') or one JSON array ('json_array')."""
     if fmt == "json_array":
@@ -47,8 +56,25 @@ def summary_rows(files: DataFrame, n: int = PREVIEW_CHARS, always_dots: bool = F
                         text_preview(F.col("full_text"), n, always_dots).alias("text_preview"))
 
 
-def write_summary(files: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    summary_rows(files).write.mode(mode).partitionBy("dataset").json(path)
+def write_summary(files: DataFrame, path: str, source: str = "", tool: str = "", description: str = "",
+                  n: int = NUM_DATASETS, mode: str = "errorifexists") -> None:
+    """The archive with previews in place of texts: ``metadata``, and ``datasets`` with their roll-ups."""
+    _write_nested(files, nest_archive(summary_rows(files), source, n, text="text_preview"), path, source, tool, description, n, mode)
+
+
+def write_json_array(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One JSON array for each partition of ``rows``, an element to a line; ``read_json_array`` reads it split."""
+    def lines(batches):
+        last = None
+        for batch in batches:
+            out = ["["] if last is None and batch.num_rows else []
+            for row in batch.column(0).to_pylist():
+                out += [last + ","] if last is not None else []
+                last = row
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([] if last is None else [last, "]"], pa.string())], ["value"])
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(lines, "value string").write.mode(mode).text(path)
 
 
 def file_list(files: DataFrame) -> DataFrame:
@@ -93,7 +119,8 @@ def nest_archive(files: DataFrame, source: str = "", n: int = NUM_DATASETS,
     numbered parts as its bytes ask for, by a hash of the path. Small data sets are one row.
     Files are in name order inside a part; ``parts`` and the roll-up are repeated on each.
     """
-    record = [f.name for f in FILES.fields if f.name != "dataset" and f.name in files.columns]
+    names = dict.fromkeys([f.name for f in FILES.fields if f.name != "dataset"] + [text])
+    record = [name for name in names if name in files.columns]
     # text_length, where there is one, spares reading the texts twice
     size = F.col("text_length") * 2 if "text_length" in files.columns else F.octet_length(text)
     bytes_in = F.coalesce(size, F.lit(0)).cast("bigint") + 1024
@@ -121,18 +148,26 @@ def _checked(per_dataset: DataFrame, n: int) -> DataFrame:
 def write_archive(files: DataFrame, path: str, source: str = "", tool: str = "", description: str = "",
                   n: int = NUM_DATASETS, mode: str = "errorifexists") -> None:
     """The archive as JSON lines: ``metadata`` (one row) and ``datasets`` (nested rows)."""
+    _write_nested(files, nest_archive(files, source, n), path, source, tool, description, n, mode)
+
+
+def _write_nested(files: DataFrame, nested: DataFrame, path: str, source: str, tool: str, description: str, n: int, mode: str) -> None:
     meta = corpus_totals(files).select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("extraction_date"),
         F.lit(n).alias("total_datasets"), F.lit(source).alias("source"),
         F.lit(tool).alias("extraction_tool"), F.lit(description).alias("description"),
         "total_files", "total_pages", "total_size_mb")
     meta.coalesce(1).write.mode(mode).json(f"{path}/metadata")
-    nest_archive(files, source, n).write.mode(mode).json(f"{path}/datasets")
+    nested.write.mode(mode).json(f"{path}/datasets")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Nested data-set rows of ``write_archive``."""
-    return spark.read.schema(ARCHIVE["datasets"].dataType.elementType).json(f"{path}/datasets")
+    """Nested data-set rows of ``write_archive`` or, with previews for texts, of ``write_summary``."""
+    return spark.read.schema(NESTED).json(f"{path}/datasets")
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ARCHIVE["metadata"].dataType).json(f"{path}/metadata")
 
 
 def read_archive_document(spark: SparkSession, path: str) -> DataFrame:
@@ -147,5 +182,5 @@ def flatten_archive(datasets: DataFrame, sep: str = "\f") -> DataFrame:
 
 
 def archive_files(datasets: DataFrame) -> DataFrame:
-    """Flat file records of nested data-set rows."""
+    """Flat file records of nested data-set rows, with ``text_preview`` where a summary was read."""
     return datasets.select(F.col("dataset_number").alias("dataset"), F.inline("files"))

@@ -174,6 +174,25 @@ def _(spark, sf):
     return links.extract_links(_marked_up(spark, sf), ignore_case=True).drop("url")
 
 
+@query("extract_links_patterns", f"""WITH {t.LISTING}, b AS ({_BARS}), k(kind, href) AS (VALUES (0, '/f/a#.pdf?x=1'),
+    (1, 'https://o.org/d/b#.pdf'), (2, '/sites/c#.pdf'))
+  SELECT dataset, page_num, replace(href, '#', CAST(page_id AS VARCHAR)) AS href,
+    split_part(split_part(replace(href, '#', CAST(page_id AS VARCHAR)), '?', 1), '/', -1) AS filename FROM b JOIN k USING (kind)""")
+def _(spark, sf):
+    page = F.col("page_num") * 12 + F.col("dataset") - 1
+    texts = ['<i href="/f/a#.pdf?x=1">a</i> https://o.org/z.pdf', "see https://o.org/d/b#.pdf or /sites/z.pdf", "at /sites/c#.pdf.", "none", "no.pdf here"]
+    html = F.coalesce(*[F.when(page % 5 == i, F.replace(F.lit(text), F.lit("#"), page.cast("string"))) for i, text in enumerate(texts)])
+    listing = t.listing_pages(spark, sf).withColumn("html", F.concat(F.regexp_replace("html", "href=", "h="), html))
+    return links.extract_links_fallback(listing).drop("url")
+
+
+@query("newer_links", f"""WITH {_LINKS}, d AS (SELECT DISTINCT dataset, url, filename FROM links)
+  SELECT * FROM d WHERE (dataset, url) NOT IN (SELECT (dataset, url) FROM links WHERE page_num < 10)""")
+def _(spark, sf):
+    found = _links(spark, sf)
+    return links.newer_links(found, found.filter("page_num < 10").select("dataset", "url"))
+
+
 @query("listing_urls", f"""WITH {_LAST} SELECT dataset, 'https://h/data-set-' || dataset || '-files' AS base_url,
     CAST(unnest(range(0, last_page + 1)) AS INTEGER) AS page_num,
     'https://h/data-set-' || dataset || '-files' || CASE WHEN unnest(range(0, last_page + 1)) > 0

@@ -93,6 +93,24 @@ def _(spark, sf):
     return search.count_matches(t.corpus(spark, sf), "the")
 
 
+@query("search_symbols", f"""WITH {t.CORPUS}
+  SELECT {DOC}, CAST(len(regexp_extract_all(text, '2\\.0\\.')) AS INTEGER) AS match_count
+  FROM corpus WHERE contains(text, '2.0.')""")
+def _(spark, sf):
+    return search.count_matches(t.corpus(spark, sf), "2.0.")
+
+
+@query("page_after", f"""WITH {t.CORPUS}, hits AS (SELECT {DOC}, CAST(len(regexp_extract_all(text, '(?i)the')) AS INTEGER) AS match_count
+    FROM corpus WHERE regexp_matches(text, '(?i)the'))
+  SELECT * FROM hits ORDER BY match_count DESC, dataset, filename LIMIT 20 OFFSET 40""")
+def _(spark, sf):
+    hits = search.count_matches(t.corpus(spark, sf), "the")
+    last = None
+    for _ in range(2):
+        last = ranking.page_after(hits, last).collect()[-1]
+    return ranking.page_after(hits, last)
+
+
 @query("match_spans", f"""WITH {t.CORPUS}, {t.spans('tion', 'm')}
   SELECT {DOC}, s AS "start", e AS "end", m AS match FROM m""")
 def _(spark, sf):

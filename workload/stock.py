@@ -98,6 +98,47 @@ def _(spark, sf):
         F.sum(F.char_length("text").cast("bigint")).alias("chars"))
 
 
+_INDEX = f"""WITH {t.FILES} SELECT dataset, filename, filepath, pages, full_text AS text,
+    {t.OFFSETS.replace('text', 'full_text')} AS page_offsets FROM files WHERE error IS NULL"""
+
+
+@query("read_index_array", _INDEX.replace("AS page_offsets", "AS o").replace("WITH ", "WITH b AS (WITH ", 1)
+       + ") SELECT dataset, filename, filepath, pages, text, CAST(list_sum(o) AS BIGINT) AS offsets FROM b")
+def _(spark, sf):
+    path = _folder(spark)
+    index.write_json_array(sources.build_index(t.files(spark, sf), t.SEP), path)
+    return _with_offset_sum(index.read_index(spark, path, "json_array"))
+
+
+@query("read_index_json", _INDEX.replace("AS page_offsets", "AS o").replace("WITH ", "WITH b AS (WITH ", 1)
+       + ") SELECT dataset, filename, filepath, pages, text, CAST(list_sum(o) AS BIGINT) AS offsets FROM b")
+def _(spark, sf):
+    path = _folder(spark)
+    index.write_index(sources.build_index(t.files(spark, sf), t.SEP), path, "json")
+    return _with_offset_sum(index.read_index(spark, path, "json"))
+
+
+def _with_offset_sum(found):
+    total = F.aggregate("page_offsets", F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return found.withColumn("offsets", total).select("dataset", "filename", "filepath", "pages", "text", "offsets")
+
+
+@query("summary_nested", f"""WITH {t.FILES}, r AS (SELECT dataset, count(*) AS file_count,
+    CAST(sum(coalesce(pages, 0)) AS BIGINT) AS total_pages,
+    round_even(sum(coalesce(size_mb, 0)), 2) AS total_size_mb FROM files GROUP BY dataset),
+  m AS (SELECT count(*) FILTER (WHERE error IS NULL) AS total_files, CAST(sum(coalesce(pages, 0)) AS BIGINT) AS all_pages FROM files)
+  SELECT dataset AS dataset_number, file_count, total_pages, total_size_mb, filename, pages, text_length, error,
+    CASE WHEN length(full_text) > 500 THEN substr(full_text, 1, 500) || '...' ELSE full_text END AS text_preview,
+    total_files, all_pages, 'tool' AS extraction_tool FROM files JOIN r USING (dataset), m""")
+def _(spark, sf):
+    path = _folder(spark)
+    index.write_summary(t.files(spark, sf), path, "http://h", "tool", "previews")
+    rows = index.read_archive(spark, path).select("dataset_number", "file_count", "total_pages", "total_size_mb", F.inline("files"))
+    meta = index.read_metadata(spark, path).select("total_files", F.col("total_pages").alias("all_pages"), "extraction_tool")
+    rows = rows.select("dataset_number", "file_count", "total_pages", "total_size_mb", "filename", "pages", "text_length", "error", "text_preview")
+    return rows.join(F.broadcast(meta))  # one row of metadata
+
+
 @query("archive_nested", f"""WITH {t.FILES}, r AS (SELECT dataset, count(*) AS file_count,
     CAST(sum(coalesce(pages, 0)) AS BIGINT) AS total_pages,
     round_even(sum(coalesce(size_mb, 0)), 2) AS total_size_mb FROM files GROUP BY dataset)
@@ -132,6 +173,21 @@ def _(spark, sf):
         F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"))
 
 
+@query("file_stats", f"""WITH {t.CORPUS}, s AS (SELECT dataset, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS size_bytes
+    FROM corpus GROUP BY dataset)
+  SELECT dataset, size_bytes, round_even(size_bytes / 1048576.0, 2) AS size_mb, true AS named, true AS placed, true AS dated FROM s""")
+def _(spark, sf):
+    path = _folder(spark)
+    folder = F.concat(F.lit("data-set-"), F.col("dataset").cast("string"))
+    # one file for each data set; what it is called is up to the writer
+    t.corpus(spark, sf).select("text", folder.alias("set")).repartition("set").write.partitionBy("set").text(path)
+    stats = sources.file_stats(sources.scan_files(spark, path, "*.txt"), path)
+    return stats.select(
+        "dataset", "size_bytes", "size_mb", F.col("filename").rlike(r"^part-[^/]*\.txt$").alias("named"),
+        (F.col("filepath") == F.concat(F.lit("/set=data-set-"), F.col("dataset").cast("string"), F.lit("/"), "filename")).alias("placed"),
+        F.col("modified_date").between(F.current_timestamp() - F.expr("INTERVAL 1 DAY"), F.current_timestamp() + F.expr("INTERVAL 1 DAY")).alias("dated"))
+
+
 @query("file_records", f"""WITH {t.CORPUS} SELECT dataset, filename, filepath,
     CASE WHEN ok THEN size_bytes END AS size_bytes, CASE WHEN ok THEN CASE WHEN lang = 'en' THEN pages ELSE 0 END END AS pages,
     CASE WHEN ok THEN 'T ' || lang END AS title, CASE WHEN ok THEN '' END AS author,
@@ -256,6 +312,16 @@ def _(spark, sf):
         "dataset", "filename", "page_number", "table_count", "has_tables")
 
 
+@query("document_tables", f"""WITH {t.CORPUS}, p AS (SELECT dataset, filename, filepath,
+    unnest(list_transform(string_split(text, chr(10)), lambda x: length(x) - length(replace(x, ',', '')))) AS n FROM corpus)
+  SELECT dataset, filename, filepath, CAST(sum(n) AS BIGINT) AS table_count, count(*) FILTER (WHERE n > 0) AS pages_with_tables
+  FROM p GROUP BY ALL""")
+def _(spark, sf):
+    pages = sources.page_rows(t.corpus(spark, sf), t.SEP)
+    commas = F.regexp_extract_all("text", F.lit(","), F.lit(0))
+    return inventory.document_tables(pages.withColumn("tables", F.transform(commas, lambda c: F.array(F.array(c)))))
+
+
 _VALID = "starts_with(body, '<!DOC')"
 
 
@@ -284,3 +350,19 @@ def _(spark, sf):
       THEN 'html' ELSE 'other' END AS kind FROM stored""")
 def _(spark, sf):
     return inventory.sniff_content(t.stored(spark, sf)).select("dataset", "filename", "kind")
+
+
+@query("sniff_preview", f"""WITH {t.STORED}, h AS (SELECT dataset, filename, hex(encode(body)) AS h FROM stored)
+  SELECT dataset, filename, array_to_string(list_transform(range(0, least(200, length(h) // 2)), lambda i: chr(CAST(
+    16 * (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1 AS INTEGER))), '')
+    AS preview FROM h""")
+def _(spark, sf):
+    return inventory.sniff_content(t.stored(spark, sf)).select("dataset", "filename", "preview")
+
+
+@query("export_hits_quoted", f"""WITH {t.CORPUS} SELECT '"' || filename || '","' || dataset || '","' ||
+    len(regexp_extract_all(text, '(?i)the')) || '"' AS line FROM corpus WHERE regexp_matches(text, '(?i)the')""")
+def _(spark, sf):
+    path = _folder(spark)
+    index.export_csv(count_matches(t.corpus(spark, sf), "the"), path, header=False, quote_all=True)
+    return spark.read.text(path).select(F.col("value").alias("line"))
