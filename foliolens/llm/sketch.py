@@ -7,7 +7,9 @@ containment, and one alone the number of distinct shingles.
 Words are runs of anything but white space, case folded; fewer words than a shingle make one
 shingle; no words make an empty sketch. Null texts count as empty. Two empty sketches
 resemble each other by 1, an empty and a full one by 0. Repeated rows are documents of their
-own; an empty table gives no rows; other columns are ignored.
+own; an empty table gives no rows; other columns are ignored. Ties cannot change a sketch, which is a set
+of hashes; documents that repeat an id follow each other in order of their texts. A very long text is one
+array of eight bytes a word in its row.
 """
 
 from __future__ import annotations
@@ -20,9 +22,15 @@ from foliolens.llm.common import text_or_empty
 K, SHINGLE = 128, 5
 
 
+def folded(text: str) -> str:
+    """SQL: lower case letter by letter. A capital sigma, the one letter whose lower form depends on its
+    neighbours, always becomes the common form, so a part of a text folds as it does in the whole."""
+    return f"lower(replace({text}, 'Σ', 'σ'))"
+
+
 def word_hashes(text: str) -> str:
     """SQL: the hash of each word of the SQL expression ``text``."""
-    return f"transform(filter(split(lower({text}), '[\\\\s]+'), w -> w <> ''), w -> xxhash64(w))"
+    return f"transform(filter(split({folded(text)}, '[\\\\s]+'), w -> w <> ''), w -> xxhash64(w))"
 
 
 def shingle_hashes(words: str, shingle: int = SHINGLE) -> str:
@@ -125,11 +133,11 @@ def edited_pairs(docs: DataFrame, k: int = K, shingle: int = SHINGLE, ranges: in
            .withColumn("n", F.char_length("text").cast("long"))
            .withColumn("prefix", F.expr("substring(text, 1, CAST(n - floor(n / 4) AS INT))"))
            .withColumn("head", F.expr("substring(next, 1, CAST(floor(n / 4) AS INT))"))
-           .withColumn("before", F.expr("split(lower(prefix), '[\\\\s]+')"))
+           .withColumn("before", F.expr(f"split({folded('prefix')}, '[\\\\s]+')"))
            .withColumn("words", F.expr(word_hashes("text"))))
     # The last piece before the cut may go on in the new end, so it belongs to that.
     ends = (cut.withColumn("whole", F.expr("size(before) - 1 - CAST(before[0] = '' AND size(before) > 1 AS INT)"))
-            .withColumn("end", F.expr(word_hashes("concat(element_at(before, -1), lower(head))")))
+            .withColumn("end", F.expr(word_hashes("concat(element_at(before, -1), head)")))
             .withColumn("end", F.expr(f"concat(slice(words, greatest(1, whole - {shingle - 2}), least(whole, {shingle - 1})), end)"))
             .withColumn("sha", F.sha2(F.concat("prefix", "head").cast("binary"), 256))
             .select("range", "guest", "doc_id", "text", "n", "whole", "words", "end", "sha"))
