@@ -151,13 +151,14 @@ def learn(docs: DataFrame, ratings: DataFrame, rating: str = "quality", bound: i
 
 
 def rate(docs: DataFrame, model: Model, least: int | None = None, tail: float = 0.5, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", names: tuple[str, str, str] = ("expected_grade", "tail_probability", "keep")) -> DataFrame:
     """(row columns of ``docs``, expected_grade, tail_probability, keep): the tail is P(grade >= ``least``),
-    by default the highest grade; a document is kept at ``tail`` or more."""
+    by default the highest grade; a document is kept at ``tail`` or more. ``names`` are those of the last
+    three; columns of ``docs`` that have them give way."""
     grades = model.grades
     least = grades[-1] if least is None and grades else least
     above = np.searchsorted(grades, least) if grades else 0
-    columns = [c for c in docs.columns if c not in ("expected_grade", "tail_probability", "keep")]
+    columns = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
 
     def make(batches):
         features = Featurer()
@@ -172,16 +173,18 @@ def rate(docs: DataFrame, model: Model, least: int | None = None, tail: float =
             expected = share @ np.array(grades, float) if grades else np.zeros(len(latent))
             over = 1 - upto[:, above - 1] if above else np.ones(len(latent))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(expected), pa.array(over), pa.array(over >= tail)],
-                                             [*columns, "expected_grade", "tail_probability", "keep"])
+                                             [*columns, *names])
     from pyspark.sql import types as T
 
     schema = T.StructType([docs.schema[c] for c in columns] + [
-        T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()),
-        T.StructField("keep", T.BooleanType())])
+        T.StructField(n, kind) for n, kind in zip(names, (T.DoubleType(), T.DoubleType(), T.BooleanType()))])
     return map_texts(docs, columns, make, schema)
 
 
 def select_documents(docs: DataFrame, model: Model, least: int | None = None, tail: float = 0.5, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """The rows and columns of ``docs`` that ``rate`` keeps."""
-    return rate(docs, model, least, tail, id_col, text_col).where("keep").select(*docs.columns)
+    """The rows of ``docs`` that ``rate`` keeps, with all their columns, whatever their names."""
+    taken = {c.lower() for c in docs.columns}
+    names = tuple(next(n for n in (f"{name}{'_' * i}" for i in range(len(taken) + 1)) if n not in taken)
+                  for name in ("expected_grade", "tail_probability", "keep"))
+    return rate(docs, model, least, tail, id_col, text_col, names).where(F.col(names[2])).select(*docs.columns)
