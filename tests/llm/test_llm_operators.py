@@ -206,7 +206,11 @@ def test_packing(spark, odd, empty):
     where = queries.tokenizer()
     texts = ODD + ["<|endoftext|> 'tis\r\n  ok\t\t x's", "日本語 text", "a" * 3000, " " * 700 + "x", prose(2, 4000)] + [prose(i, i) for i in range(1, 60)]
     rows = packing.pack_documents(frame(spark, texts), **where).collect()
-    encode = packing.Encoder(where["json_path"], None, None)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(where["json_path"])  # not by way of the operator
+    encode = lambda t: plain.encode(t, add_special_tokens=False).ids
+    assert encode("<|endoftext|>") == [50256]
     by_doc, by_sequence = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -268,6 +272,54 @@ def test_pii(spark, odd, empty):
     assert pii.pseudonymise(odd, "k").count() == len(ODD) and pii.pseudonymise(empty, "k").count() == 0
 
 
+FORMS = ["+15551234567", "+33612345678", "+49 30 1234567", "+49 30123456", "+4915112345678", "555 123 4567", "3782 822463 10005",
+         "2001:db8::8a2e:370:7334", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "jürgen.größe@münchen.example.de", "GB82 WEST 1234 5698 7654 32",
+         "+1 (212) 555-0100", "10.11.12.13", "078-05-1120", "DE89370400440532013000"]
+
+
+def account_remainder(account):
+    turned = re.sub(r"\W", "", account)
+    return int("".join(str(int(c, 36)) for c in turned[4:] + turned[:4])) % 97
+
+
+@pytest.mark.parametrize("key", ["k1", "k2"])
+def test_pii_forms(spark, key):
+    """No form stays in clear, a surrogate keeps its form, the same value has the same one, others have others."""
+    docs = frame(spark, [f"see {f} and, again, {f}." for f in FORMS])
+    out = {r["doc_id"]: r for r in pii.pseudonymise(docs, key).collect()}
+    shown = []
+    for i, form in enumerate(FORMS):
+        one, other = re.fullmatch(r"see (.*) and, again, (.*)\.", out[i]["text"]).groups()
+        assert one == other != form and out[i]["n_entities"] == 2, form
+        shape = r"[0-9]+" if form.count(".") == 3 else r"[0-9A-Za-z]"  # octets have no fixed length
+        assert "@" in form or re.sub(shape, "x", one) == re.sub(shape, "x", form), form
+        shown.append(one)
+    assert len(set(shown)) == len(FORMS) and not set(shown) & set(FORMS)
+    assert account_remainder(shown[10]) == account_remainder(shown[14]) == 1 and shown[14].startswith("DE")
+    clean = ["at 12:30:45, 1:2:3 and a::b", "1 + 2 = 3; +5 C", "pages 100 200 300", "C++ 11", "v1.2.3.4.5", "ratio 16:9, std::vector<int>"]
+    assert [r["text"] for r in pii.pseudonymise(frame(spark, clean), key).orderBy("doc_id").collect()] == clean
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(i, prose(i, 30), "kept", 0.5, "f") for i in range(40)], "doc_id long, text string, keep string, expected_grade double, __found string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    got = quality.select_documents(docs, quality.learn(docs, labels))
+    assert got.schema == docs.schema and {(r["keep"], r["expected_grade"]) for r in got.collect()} == {("kept", 0.5)}
+    assert {r["__found"] for r in pii.pseudonymise(docs, "k").collect()} == {"f"}
+
+
+def test_equal_texts_have_equal_fingerprints(spark):
+    """Edited texts put together from parts are fingerprinted as if they had always been whole."""
+    pick = random.Random(8)
+    texts = ["bcd ΔΣzz", "Αq …", "bcd ΔΣΑq"] + ["".join(pick.choice("ΣσςΑa İi.ßẞ\n ") for _ in range(pick.randrange(40))) for _ in range(60)]
+    rows = sketch.edited_pairs(frame(spark, texts)).orderBy("doc_id").collect()
+    cut = [len(t) - len(t) // 4 for t in texts]
+    edited = [t[:c] + texts[(i + 1) % len(texts)][:len(t) - c] for i, (t, c) in enumerate(zip(texts, cut))]
+    assert [r["edited_sha256"] for r in rows] == [hashlib.sha256(t.encode()).hexdigest() for t in edited]
+    alone = sketch.edited_pairs(frame(spark, edited)).orderBy("doc_id").collect()
+    assert [r["edited_fingerprint"] for r in rows] == [r["fingerprint"] for r in alone]
+
+
 def test_pii_permutes(spark):
     """The permutation of digit strings is one to one."""
     df = spark.range(1000).selectExpr("lpad(CAST(id AS STRING), 3, '0') AS d").selectExpr(f"{pii.permuted('k', 'digits', 'd')} AS p")
