@@ -442,13 +442,67 @@ def test_passages(spark, odd, empty):
 
 def test_compact_windows():
     """Every subsequence of at least the least width lies in one window that has its minimum."""
-    values = np.array([5, 3, 9, 3, 7, 1, 8, 2, 2, 6], np.uint64)
-    for least in (1, 2, 3):
-        got = passages.windows(values, least)
-        for x in range(len(values)):
-            for y in range(x + least - 1, len(values)):
-                v = values[x:y + 1].min()
-                assert sum(lo <= x and y <= hi and values[node] == v for lo, node, hi in got) == 1
+    pick = random.Random(4)
+    for case in range(60):
+        texts = [[pick.randrange(1, 12 if case % 2 else 10**6) for _ in range(pick.randrange(1, 40))] for _ in range(3)]
+        values = np.array([0] + [v for t in texts for v in [*t, 0]], np.uint64)
+        for least in (1, 2, 3, 5, 8):
+            got = list(zip(*(c.tolist() for c in passages.windows(values, least))))
+            for x in range(1, len(values)):
+                for y in range(x + least - 1, len(values)):
+                    if (values[x:y + 1] > 0).all():
+                        v = values[x:y + 1].min()
+                        assert sum(lo <= x and y <= hi and lo <= node <= hi and values[node] == v for lo, node, hi in got) == 1
+            assert all((values[lo:hi + 1] > 0).all() and values[lo:hi + 1].min() == values[node] for lo, node, hi in got)
+
+
+def spans_of(spark, texts):
+    spans = {}
+    for r in passages.repeated_passages(frame(spark, texts)).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"], (r["class_doc_id"], r["class_start"])))
+    return spans
+
+
+def test_passages_around_a_frequent_line(spark):
+    """Passages of 60 words of which 40 are a line that hundreds of other documents carry."""
+    line = prose(40, 40)
+    texts, n = [], 60
+    for i in range(n):
+        passage = prose(2000 + i, 10) + " " + line + " " + prose(3000 + i, 10)
+        texts += [prose(4000 + 2 * i + k, 50) + " " + passage + " " + prose(6000 + 2 * i + k, 50) for k in range(2)]
+    texts += [prose(8000 + i, 60) + " " + line + " " + prose(9000 + i, 60) for i in range(600)]
+    spans = spans_of(spark, texts)
+    found = sum(any(a <= 50 and b >= 110 for a, b, _ in spans.get(2 * i + k, [])) for i in range(n) for k in range(2))
+    assert found >= 0.97 * 2 * n and not any(d >= 2 * n for d in spans)
+
+
+def test_passages_with_words_put_in_and_left_out(spark):
+    """Near-duplicates of resemblance 0.8 and more, whatever the edit."""
+    texts, n = [], 40
+    for i in range(n):
+        words = prose(100 + i, 90).split()
+        other = list(words)
+        for place in ([45], [30, 62])[i // 2 % 2]:
+            if i % 2:
+                other.insert(place, f"new{place}")
+            else:
+                del other[place]
+        texts += [prose(4000 + i, 40) + " " + " ".join(words) + " " + prose(5000 + i, 30), prose(6000 + i, 70) + " " + " ".join(other) + " " + prose(7000 + i, 30)]
+    spans = spans_of(spark, texts)
+    found = 0
+    for i in range(n):
+        assert resemblance(*(" ".join(texts[2 * i + k].split()[at:-30]) for k, at in ((0, 40), (1, 70)))) >= 0.8
+        both = spans.get(2 * i, []), spans.get(2 * i + 1, [])
+        found += any(abs(a[0] - 40) <= 12 and abs(a[1] - 130) <= 12 and a[2] == b[2] for a in both[0] for b in both[1])
+    assert found >= 0.9 * n
+
+
+def test_passages_of_repeated_ids(spark):
+    a, b = prose(5, 80), prose(6, 80)
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, prose(7, 80)), (4, prose(7, 80)), (None, a)]
+    kinds = "doc_id long, text string"
+    one, other = (sorted(map(str, passages.repeated_passages(spark.createDataFrame(r, kinds)).collect())) for r in (rows, rows[::-1]))
+    assert one == other and len(one) == 2
 
 
 def test_pipeline(spark, tmp_path):
