@@ -476,6 +476,16 @@ def test_passages_around_a_frequent_line(spark):
     assert found >= 0.97 * 2 * n and not any(d >= 2 * n for d in spans)
 
 
+@pytest.mark.parametrize("words", [55, 90])
+def test_a_passage_of_very_many_documents(spark, words):
+    """All of them are found, in one class."""
+    passage = prose(77, words)
+    texts = [prose(4000 + i, 30 + i % 40) + " " + passage + " " + prose(6000 + i, 50) for i in range(200)]
+    spans = spans_of(spark, texts)
+    found = [c for i in range(200) for a, b, c in spans.get(i, []) if a <= 30 + i % 40 + 1 and b >= 30 + i % 40 + words - 1]
+    assert len(found) >= 195 and max(found.count(c) for c in set(found)) >= 195
+
+
 def test_passages_with_words_put_in_and_left_out(spark):
     """Near-duplicates of resemblance 0.8 and more, whatever the edit."""
     texts, n = [], 40
