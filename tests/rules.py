@@ -92,3 +92,18 @@ def whole(docs, all=(), any=(), none=(), near=(), key=lambda d: d[1], chars=300)
         extra = [h for clause in near for h in near_hits(docs, *clause, chars=chars)]
         hits = merged(list(last.values()) + extra, key)
     return hits
+
+
+def scanned(df):
+    """Rows that the scans of a finished plan gave out."""
+    df.collect()
+    plan, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            plan.append(node.executedPlan())
+        if "Scan parquet" in node.nodeName():
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        plan += [children.apply(i) for i in range(children.size())]
+    return total

@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolens import session
-from foliolens.operators import boolean, near, search
+from foliolens.operators import boolean, near, ranking, search
 from foliolens.plans.merge import first_contexts
 from foliolens.plans.query import query, query_many
 from foliolens.plans.skew import drop_by_key, keep_by_key
 from foliolens.sources import index
-from tests.rules import CORPUS, document
+from tests.rules import CORPUS, document, scanned
 
 
 def plan(df):
@@ -54,9 +54,22 @@ def test_filters_reach_the_scan(corpus):
 
 
 def test_page_is_top_k_and_keeps_texts_in_place(corpus):
-    text = plan(query(corpus, all=["the"], unique_key=True).page)
-    assert "TakeOrderedAndProject" in text and "BroadcastHashJoin" in text
-    assert "SortMergeJoin" not in text
+    found = query(corpus, all=["the"], unique_key=True)
+    assert "TakeOrderedAndProject" in plan(ranking.page_hits(found.hits, 1, 20))
+    text = plan(found.page)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "Exchange hash" not in text
+
+
+def test_page_reads_the_row_groups_of_its_documents(spark, tmp_path):
+    rows = [document(1, f"{n:05d}.pdf", f"the cat and {n} " * (9 if n == 777 else 5)) for n in range(2000)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 50)
+    try:
+        index.write_index(spark.createDataFrame(rows, CORPUS), str(tmp_path / "index"))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    found = query(index.read_index(spark, str(tmp_path / "index")), all=["cat"], unique_key=True, per_page=1)
+    assert [r.filename for r in found.page.collect()] == ["00777.pdf"]
+    assert scanned(found.page) <= 51  # one file of fifty rows, and the row of the page
 
 
 def test_contexts_are_limited_before_the_shuffle(corpus):

@@ -10,7 +10,7 @@ from foliolens.functions.trigrams import folded, required_literals
 from foliolens.operators import boolean, near, search
 from foliolens.plans.skipping import intervals
 from foliolens.sources import signatures
-from tests.rules import CORPUS, document
+from tests.rules import CORPUS, document, scanned
 
 WORDS = ["alpha", "Straße", "STRASSE", "İstanbul", "istanbul", "ΟΔΟΣ", "οδος", "οδοσε", "naïve", "ſure", "sure", "K2", "x", "𝒳𝒴𝒵", "tail"]
 
@@ -57,21 +57,6 @@ def test_clauses_over_narrowed(spark, path, corpus):
     assert rows(search.search_regex(signatures.narrowed_by_pattern(spark, path, pattern), pattern)) == rows(search.search_regex(corpus, pattern))
 
 
-def scanned(df):
-    """Rows that the scans of a finished plan gave out."""
-    df.collect()
-    plan, total = [df._jdf.queryExecution().executedPlan()], 0
-    while plan:
-        node = plan.pop()
-        if node.nodeName().startswith("AdaptiveSparkPlan"):
-            plan.append(node.executedPlan())
-        if "Scan parquet" in node.nodeName():
-            total += node.metrics().apply("numOutputRows").value()
-        children = node.children()
-        plan += [children.apply(i) for i in range(children.size())]
-    return total
-
-
 def test_a_rare_term_reads_little(spark, path, corpus):
     assert scanned(search.count_matches(corpus, "needle-in-hay")) == 1202
     assert scanned(search.count_matches(signatures.narrowed(spark, path, all=["needle-in-hay"]), "needle-in-hay")) <= 200
