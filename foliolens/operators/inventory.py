@@ -1,5 +1,7 @@
 """Roll-ups, statistics and validity of the stored files."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from foliolens.functions.arrays import count_while, search_steps
@@ -9,6 +11,7 @@ from foliolens.session import shared_table
 NUM_DATASETS = 12
 _BUCKETS = 1024
 _ACCURACY = 100_000
+_QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
 def _sum_mb() -> Column:
@@ -63,59 +66,63 @@ def corpus_stats(corpus: DataFrame) -> DataFrame:
 def describe_corpus(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, std, min, quartiles (interpolated) and max of numeric columns, exactly.
 
-    The values are counted first, so repeated ones travel once, and the counts are kept. Quartiles
-    are found in two steps: running counts over 1,024 value ranges per column say which range holds
-    a wanted rank, and only the values of those ranges are ranked one by one. The ranges are bounded
-    by approximate quantiles of the distinct values, so each holds about a thousandth of them
-    wherever they lie.
+    The values are counted first, so repeated ones travel once, and the counts are kept. Approximate quantiles
+    of the distinct values cut each column into at most 1,024 ranges; one pass gives every range its count and
+    moments about its own lower end, which add up to those of the column without loss of digits. The counts
+    say which ranges hold the wanted ranks, and only the values of those are ranked one by one. The driver sees the
+    ranges' sums, never values.
     """
+    spark = df.sparkSession
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns
     ])).alias("x")).select("x.*").filter("v IS NOT NULL")
     counted = shared_table(long.groupBy("column", "v").agg(F.count("*").alias("n")))
-
     basic = counted.groupBy("column").agg(
-        F.sum("n").alias("count"),
-        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("v").alias("min"), F.max("v").alias("max"),
-        F.percentile_approx("v", [i / _BUCKETS for i in range(1, _BUCKETS)], _ACCURACY).alias("bounds"))
-    basic = basic.withColumn("steps", F.expr(search_steps("bounds")))
-    basic = F.broadcast(basic)  # one row per named column
-    with_basic = counted.join(basic, "column")
-    std = with_basic.groupBy("column").agg(F.sqrt(
-        F.sum(F.col("n") * F.pow(F.col("v") - F.col("mean"), 2))
-        / F.nullif(F.max("count") - 1, F.lit(0))).alias("std"))
-
+        F.min("v").alias("low"), F.max("v").alias("high"),
+        F.percentile_approx("v", [i / _BUCKETS for i in range(1, _BUCKETS)], _ACCURACY).alias("bounds")).collect()
+    edges = spark.createDataFrame([(r["column"], r["low"], sorted(set(r["bounds"]))) for r in basic], "column string, low double, bounds array<double>")
     bucket = F.expr(count_while("steps", lambda i: f"get(bounds, {i}) <= v"))
-    bucketed = with_basic.select("column", "v", "n", bucket.alias("bucket"))
-    totals = bucketed.groupBy("column", "bucket").agg(F.sum("n").alias("in_bucket"))
-    before = F.coalesce(F.sum("in_bucket").over(
-        Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.withColumn("before", before)
-
-    # rank q * (count - 1) lies between the two whole ranks around it
-    quartiles = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"))
-                          for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))])
-    wanted = basic.select("column", "count", F.inline(quartiles)).withColumn(
-        "rank", F.col("q") * (F.col("count") - 1)).select(
-        "column", "name", "rank", F.explode(F.array_distinct(F.array(
-            F.floor("rank"), F.ceil("rank")))).alias("whole"))
-    reach = wanted.join(totals, "column").filter(
-        (F.col("whole") >= F.col("before")) & (F.col("whole") < F.col("before") + F.col("in_bucket")))
-    # at most six ranks per column
-    reach = F.broadcast(reach.select("column", "bucket", "before", "name", "rank", "whole"))
-    needed = F.broadcast(reach.select("column", "bucket", "before").distinct())
-    w = Window.partitionBy("column", "bucket").orderBy("v")
-    ranked = bucketed.join(needed, ["column", "bucket"]).withColumn(
-        "upto", F.col("before") + F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    at_rank = ranked.drop("before").join(reach, ["column", "bucket"]).filter(
-        (F.col("whole") < F.col("upto")) & (F.col("whole") >= F.col("upto") - F.col("n")))
-    share = F.when(F.floor("rank") == F.ceil("rank"), 1.0).when(
-        F.col("whole") == F.floor("rank"), F.ceil("rank") - F.col("rank")).otherwise(
-        F.col("rank") - F.floor("rank"))
-    quantile = at_rank.groupBy("column").pivot("name", ["p25", "p50", "p75"]).agg(F.sum(F.col("v") * share))
-    return (basic.join(std, "column").join(quantile, "column")
-            .select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"))
+    placed = counted.join(F.broadcast(edges.withColumn("steps", F.expr(search_steps("bounds")))), "column").select(
+        "column", "v", "n", bucket.alias("bucket"), "low", "bounds")
+    placed = placed.withColumn("d", F.col("v") - F.coalesce(F.get("bounds", F.col("bucket") - 1), "low"))
+    ranges: dict[str, list] = {r["column"]: [] for r in basic}
+    sums = placed.groupBy("column", "bucket").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("d")).alias("first"), F.sum(F.col("n") * F.col("d") * F.col("d")).alias("second"))
+    for r in sums.collect():
+        ranges[r["column"]].append(r)
+    summaries, wanted = [], []
+    for r in basic:
+        bounds = [r["low"], *sorted(set(r["bounds"]))]
+        last = sum(part["n"] for part in ranges[r["column"]]) - 1
+        ranks = {math.floor(q * last) + k for q in _QUARTILES.values() for k in (0, 1)}
+        count, mean, spread = 0, 0.0, 0.0
+        for part in sorted(ranges[r["column"]], key=lambda p: p["bucket"]):
+            n, centre = part["n"], bounds[part["bucket"]]
+            own, around = centre + part["first"] / n, part["second"] - part["first"] ** 2 / n
+            wanted += [(r["column"], part["bucket"], count, rank) for rank in ranks if count <= rank < count + n]
+            gap, before = own - mean, count
+            count += n
+            mean += gap * n / count
+            spread += around + gap * gap * before * n / count
+        std = math.sqrt(max(spread, 0.0) / (count - 1)) if count > 1 else None
+        summaries.append((r["column"], count, mean, std, r["low"], r["high"]))
+    # at most six ranks for each column
+    at_rank = spark.createDataFrame(wanted, "column string, bucket int, before long, rank long")
+    w = Window.partitionBy("column", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    needed = F.broadcast(at_rank.select("column", "bucket", "before").distinct())
+    ranked = placed.select("column", "bucket", "v", "n").join(needed, ["column", "bucket"]).withColumn("upto", F.col("before") + F.sum("n").over(w))
+    found = ranked.drop("before").join(F.broadcast(at_rank.drop("before")), ["column", "bucket"]).filter("rank < upto AND rank >= upto - n")
+    values = {(r["column"], r["rank"]): r["v"] for r in found.select("column", "rank", "v").collect()}
+    rows = []
+    for column, count, mean, std, low, high in summaries:
+        quartiles = []
+        for q in _QUARTILES.values():
+            at = q * (count - 1)
+            one, share = math.floor(at), at - math.floor(at)
+            quartiles.append(values[column, one] * (1 - share) + (values[column, one + 1] * share if share else 0.0))
+        rows.append((column, count, mean, std, low, *quartiles, high))
+    return spark.createDataFrame(rows, "column string, count long, mean double, std double, min double, "
+                                 + ", ".join(f"{name} double" for name in _QUARTILES) + ", max double")
 
 
 def page_tables(doc_pages: DataFrame) -> DataFrame:
