@@ -114,17 +114,33 @@ def test_near_copies(spark, empty, chunk):
     for i in range(12):  # one long common part, own beginnings: in groups together without being copies
         own = lead + " " + prose(800 + i, 300)
         texts += [own, edited(own, [450, 600])]
-    root = list(range(len(texts)))
+    root, alike = list(range(len(texts))), [(i, k) for i, a in enumerate(texts) for k in range(i) if resemblance(a, texts[k]) >= 0.8]
     for _ in texts:
-        for i, a in enumerate(texts):
-            for k in range(i):
-                if root[i] != root[k] and resemblance(a, texts[k]) >= 0.8:
-                    root[i] = root[k] = min(root[i], root[k])
+        for i, k in alike:
+            root[i] = root[k] = min(root[i], root[k])
     kept = nearcopies.keep_first(frame(spark, texts), chunk=chunk)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and len(set(root)) < len(texts) - 18
     assert kept.columns == empty.columns and nearcopies.keep_first(empty).count() == 0
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_near_copies_of_one_text_that_are_no_copies_of_each_other(spark, with_base):
+    """They belong together by way of the text that they were made from, wherever it stands, and not without it."""
+    pick = random.Random(12)
+    base = prose(5, 220)
+    copies = [edited(base, pick.sample(range(5, 215), 4)) for _ in range(40)]
+    copies = [" ".join(w + str(i) if w.startswith("changed") else w for w in c.split()) for i, c in enumerate(copies)]
+    assert all(resemblance(base, c) >= 0.8 for c in copies)
+    texts = copies[:33] + [base] * with_base + copies[33:]
+    pairs = [(i, k) for i in range(len(texts)) for k in range(i) if resemblance(texts[i], texts[k]) >= 0.8]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, k in pairs:
+            root[i] = root[k] = min(root[i], root[k])
+    kept = sorted(r["doc_id"] for r in nearcopies.keep_first(frame(spark, texts)).collect())
+    assert kept == sorted(set(root)) and (kept == [0]) == with_base
+
+
 def test_near_copies_go_by_row(spark):
     a, b, c = prose(5, 100), prose(6, 100), prose(7, 100)
     rows = [(1, a, 0), (1, a, 1), (2, edited(a, [50]), 2), (2, b, 3), (None, b, 4), (None, c, 5), (None, c, 6), (3, None, 7), (4, "", 8)]
