@@ -14,7 +14,8 @@ whole text are in the document. Long items are indexed in segments as long as ha
 
 Null texts of documents and items match nothing, nor do items without words; repeated item
 rows count once; repeated documents match alike; empty tables give no matches; other columns
-are ignored by ``matches`` and kept by ``clean``.
+are ignored by ``matches`` and kept by ``clean``. Items of equal score are all
+reported; a very long text is cut into passages that overlap, so an item in it is met wherever it stands.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ the highest cosine, after what all prototypes share is taken off.
 
 Null or letterless texts give ``und`` and score 0, ties the first language by name, repeated
 rows the same answer each, an empty table no rows; without any learned language all is
-``und``. Other columns are ignored.
+``und``. Other columns are ignored. A very long
+text is one bundle of its n-grams, whole.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ only a part of it gets the new length. Patterns go back to the pieces by rank: t
 of a length takes the r-th slot that patterns have for it.
 
 Null texts count as empty (the closing id alone), repeated rows are packed once each, an empty
-table gives no rows. Other columns are ignored.
+table gives no rows. Other columns are ignored. Documents that tie in length are ranked by id and place; a very
+long one is as many pieces as it needs, from one pass over its ids.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Learning takes at most ``SAMPLE_ROWS`` rated documents; scoring reads every whol
 texts count as empty; several ratings of one id count as their maximum; null ratings and ids
 do not teach; with fewer than two grades every document is kept with the one grade known; an
 empty table gives no rows; repeated rows score alike; other columns are ignored by ``rate``
-and kept by ``select_documents``.
+and kept by ``select_documents``. A very long text is one vector of hashed
+features; a tail of exactly the limit keeps the document.
 """
 
 from __future__ import annotations

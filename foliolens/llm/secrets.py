@@ -7,7 +7,9 @@ before the shuffle. A candidate of several owners is a widely copied example; on
 single owner has and that looks random is a live-looking credential.
 
 Null texts count as empty; a null repository or owner counts as one more value; repeated
-rows give a row each; an empty table gives no rows; other columns are ignored.
+rows give a row each; an empty table gives no rows; other columns are ignored. Spans that begin together stand in the
+order of their kinds; equal secrets of one document count once in its verdict. Texts of any length are searched whole, one
+at a time in a task.
 """
 
 from __future__ import annotations

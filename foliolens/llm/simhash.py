@@ -11,7 +11,8 @@ Null texts count as empty, and texts without words have fingerprint zero, which
 any other. Repeated rows link to each other; rows that share an id but not their text are
 rows of their own. Empty tables give no rows. A null id takes no part in choosing the
 smallest id of a component unless all its ids are null. Other columns are ignored by
-``near_duplicates`` and kept by ``keep_first``.
+``near_duplicates`` and kept by ``keep_first``. A very long text is one
+fingerprint like any other, from its words in one task; ties of ids cannot change a component.
 """
 
 from __future__ import annotations

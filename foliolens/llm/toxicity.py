@@ -7,7 +7,8 @@ what remains goes to the tasks as one small array.
 Learning takes at most ``SAMPLE_ROWS`` labelled documents; scoring reads every whole text.
 Null texts count as empty and get the bias's score; a label of several rows of one id is
 their maximum; null labels and ids do not teach; without labels every score is 0.5; an empty
-table gives no rows; repeated rows score alike; other columns are ignored.
+table gives no rows; repeated rows score alike; other columns are ignored. Labelled ids of equal keyed hash are taken in
+their own order. A text of any length is scored whole: its features are a few numbers a word, one text at a time.
 """
 
 from __future__ import annotations
