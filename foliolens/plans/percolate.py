@@ -75,11 +75,15 @@ def scores(corpus: DataFrame, rows: list[tuple]) -> DataFrame:
     pairs = docs.select("*", F.explode("_grams").alias("_gram")).join(F.broadcast(probes), "_gram")
     # a query with several trigrams in the text is evaluated under the first of them
     pairs = pairs.filter("_gram = get(filter(probes, g -> array_contains(_grams, g)), 0)")
-    return pairs.selectExpr(
+    pairs = pairs.selectExpr(
         "query_name", *DOC_COLUMNS, "either", "wanted", "min_pages", "max_pages", "shiftleft(1L, size(required)) - 1 AS every",
-        "transform(counted, p -> cast(regexp_count(text, p) AS bigint)) AS counts",
-        "aggregate(transform(required, (p, i) -> if(regexp_like(text, p), shiftleft(1L, i), 0L)), 0L, (a, b) -> a + b) AS has",
-        "exists(none, p -> regexp_like(text, p)) AS excluded").filter("aggregate(counts, 0L, (a, b) -> a + b) > 0 OR has > 0 OR excluded")
+        "text", "counted", "required", "none")
+    # pinned: filters that reach into these values would test the texts again, one by one, for each use of them
+    scored = pin(pairs, {
+        "counts": "transform(counted, p -> cast(regexp_count(text, p) AS bigint))",
+        "has": "aggregate(transform(required, (p, i) -> if(regexp_like(text, p), shiftleft(1L, i), 0L)), 0L, (a, b) -> a + b)",
+        "excluded": "exists(none, p -> regexp_like(text, p))"}, drop=("text", "counted", "required", "none"))
+    return scored.filter(f"{_TOTAL} > 0 OR has > 0 OR excluded")
 
 
 _TOTAL = "aggregate(counts, 0L, (a, b) -> a + b)"

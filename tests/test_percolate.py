@@ -50,3 +50,17 @@ def test_too_many_queries_are_refused(spark):
 
     with pytest.raises(ValueError, match="at most"):
         probed(spark, [Saved(str(i), ["a"], [], [], False, ["abc"]) for i in range(MAX_QUERIES + 1)])
+
+
+def test_each_text_is_tested_once_for_a_query(spark, tmp_path):
+    """Filters on the counts stay above the join, where the text is known, and do not repeat its tests."""
+    from workload import searches, tables
+
+    pick = random.Random(9)
+    rows = [(n, " ".join(pick.choice(["bab", "tes", "license", "the", "nim", "sorted", "tan"]) for _ in range(40)), "en", f"src{n % 24}")
+            for n in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = plans.query_many(tables.corpus(spark, str(tmp_path)), searches.saved_queries(300), unique_key=True)
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    tests = [line for line in plan if "text" in line and ("RLIKE" in line or "regexp_like" in line)]
+    assert len(tests) == 1 and "Generate" in tests[0]
