@@ -6,7 +6,7 @@ evaluated, in the row of the text. The table grows with the queries, not with th
 beyond ``MAX_QUERIES``; hits are combined per key for all queries together.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,13 +18,19 @@ from foliolens.schema import DOC_COLUMNS
 from foliolens.session import shared_table
 
 MAX_QUERIES = 100_000
-_QUERY = ("query_name string, counted array<string>, required array<string>, none array<string>, either boolean, wanted int, "
+_TESTS = "array<struct<pattern:string,gram:string>>"
+_QUERY = (f"query_name string, counted {_TESTS}, required {_TESTS}, none {_TESTS}, either boolean, wanted int, "
           "min_pages int, max_pages int, probes array<string>")
+# a text without a term's trigram needs no test for it
+_MAY = "(p.gram IS NULL OR array_contains(_grams, p.gram))"
 
 
 @dataclass(frozen=True)
 class Saved:
-    """One query: patterns of its clauses, its filters, and terms of which each text that matters has one."""
+    """One query: patterns of its clauses, its filters, and terms of which each text that matters has one.
+
+    ``literals`` has the terms that patterns stand for; a pattern without one is tested on every text.
+    """
 
     name: str
     counted: list[str]
@@ -35,6 +41,7 @@ class Saved:
     dataset: int | None = None
     min_pages: int = 0
     max_pages: int | None = None
+    literals: dict[str, str] = field(default_factory=dict)
 
 
 def probed(spark: SparkSession, queries: list[Saved]) -> list[tuple]:
@@ -44,7 +51,7 @@ def probed(spark: SparkSession, queries: list[Saved]) -> list[tuple]:
     """
     if len(queries) > MAX_QUERIES:
         raise ValueError(f"at most {MAX_QUERIES} saved queries in one pass, not {len(queries)}")
-    terms = list(dict.fromkeys(t for q in queries for t in q.terms))
+    terms = list(dict.fromkeys(t for q in queries for t in [*q.terms, *q.literals.values()]))
     grams = {}
     for at in range(0, len(terms), 1000):
         grams |= zip(terms[at:at + 1000], term_trigrams(spark, terms[at:at + 1000]))
@@ -52,21 +59,24 @@ def probed(spark: SparkSession, queries: list[Saved]) -> list[tuple]:
     for found in grams.values():
         for g in found:
             shared[g] = shared.get(g, 0) + 1
+    probe = {t: min(found, key=lambda g: (shared[g], g), default=None) for t, found in grams.items()}
     rows = []
     for q in queries:
-        probes = [min(grams[t], key=lambda g: (shared[g], g), default=None) for t in q.terms]
+        probes = [probe[t] for t in q.terms]
         if None not in probes and len(q.required) <= 62:
-            rows.append((q.name, q.counted, q.required, q.none, q.either, q.dataset, q.min_pages, q.max_pages, sorted(set(probes))))
+            counted, required, none = ([(p, probe.get(q.literals.get(p))) for p in clause] for clause in (q.counted, q.required, q.none))
+            rows.append((q.name, counted, required, none, q.either, q.dataset, q.min_pages, q.max_pages, sorted(set(probes))))
     return rows
 
 
-def scores(corpus: DataFrame, rows: list[tuple]) -> DataFrame:
+def scores(corpus: DataFrame, rows: list[tuple], alone: bool = False) -> DataFrame:
     """One narrow row per query and document that has one of its trigrams: counts, flags, the query's filters.
 
-    ``has`` has a bit for each required term, so that flags of a key combine before a shuffle.
+    ``has`` has a bit for each required term, so that flags of a key combine before a shuffle. Where a document decides
+    ``alone``, only those inside the query's filters that have a count are tested further.
     """
     spark = corpus.sparkSession
-    every = F.array(*[F.lit(g) for g in sorted({g for r in rows for g in r[-1]})])
+    every = F.array(*[F.lit(g) for g in sorted({g for r in rows for g in [*r[-1], *(g for clause in r[1:4] for _, g in clause if g)]})])
     queries = spark.createDataFrame(rows, _QUERY)
     probes = queries.select("*", F.explode("probes").alias("_gram"))
     # piece by piece, so that a very long text is never a list of all its trigrams
@@ -75,14 +85,18 @@ def scores(corpus: DataFrame, rows: list[tuple]) -> DataFrame:
     pairs = docs.select("*", F.explode("_grams").alias("_gram")).join(F.broadcast(probes), "_gram")
     # a query with several trigrams in the text is evaluated under the first of them
     pairs = pairs.filter("_gram = get(filter(probes, g -> array_contains(_grams, g)), 0)")
+    if alone:
+        pairs = pairs.filter(_WITHIN)
     pairs = pairs.selectExpr(
         "query_name", *DOC_COLUMNS, "either", "wanted", "min_pages", "max_pages", "shiftleft(1L, size(required)) - 1 AS every",
-        "text", "counted", "required", "none")
+        "text", "_grams", "counted", "required", "none")
     # pinned: filters that reach into these values would test the texts again, one by one, for each use of them
-    scored = pin(pairs, {
-        "counts": "transform(counted, p -> cast(regexp_count(text, p) AS bigint))",
-        "has": "aggregate(transform(required, (p, i) -> if(regexp_like(text, p), shiftleft(1L, i), 0L)), 0L, (a, b) -> a + b)",
-        "excluded": "exists(none, p -> regexp_like(text, p))"}, drop=("text", "counted", "required", "none"))
+    counted = pin(pairs, {"counts": f"transform(counted, p -> if({_MAY}, cast(regexp_count(text, p.pattern) AS bigint), 0L))"}, drop=("counted",))
+    if alone:
+        counted = counted.filter(f"{_TOTAL} > 0")
+    scored = pin(counted, {
+        "has": f"aggregate(transform(required, (p, i) -> if({_MAY} AND regexp_like(text, p.pattern), shiftleft(1L, i), 0L)), 0L, (a, b) -> a + b)",
+        "excluded": f"exists(none, p -> {_MAY} AND regexp_like(text, p.pattern))"}, drop=("text", "_grams", "required", "none"))
     return scored.filter(f"{_TOTAL} > 0 OR has > 0 OR excluded")
 
 

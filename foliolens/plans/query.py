@@ -313,7 +313,7 @@ def query_many(corpus: DataFrame, queries: dict[str, dict], key: str | list[str]
         done = {r[0] for r in rows}
         specs = {name: spec for name, spec in specs.items() if name not in done}
         if rows:
-            found = percolate.scores(corpus, rows)
+            found = percolate.scores(corpus, rows, alone=unique_key)
             parts.append(percolate.hits_unique(found) if unique_key else percolate.hits_by_key(found, key))
     if specs:
         parts.append(_hits_of_each(corpus, specs, queries, key, unique_key))
@@ -324,7 +324,8 @@ def _saved(name: str, spec: _Spec, given: dict, by_key: bool) -> Saved:
     patterns = lambda terms: [spec.pattern(t) for t in terms]
     # a text that decides alone has a counted term; by key others matter too
     terms = spec.counted + (spec.required + spec.none if by_key else [])
-    return Saved(name, patterns(spec.counted), patterns(spec.required), patterns(spec.none), spec.either, terms,
+    literals = {spec.pattern(t): t for t in spec.counted + spec.required + spec.none}
+    return Saved(name, patterns(spec.counted), patterns(spec.required), patterns(spec.none), spec.either, terms, literals=literals,
                  **{k: given[k] for k in ("dataset", "min_pages", "max_pages") if k in given})
 
 

@@ -64,3 +64,15 @@ def test_each_text_is_tested_once_for_a_query(spark, tmp_path):
     plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
     tests = [line for line in plan if "text" in line and ("RLIKE" in line or "regexp_like" in line)]
     assert len(tests) == 1 and "Generate" in tests[0]
+
+
+def test_a_text_without_a_trigram_is_not_tested_for_its_term(spark, corpus):
+    from foliolens.plans import percolate
+
+    rows = percolate.probed(spark, [plans._saved(n, plans._spec(q.get("all"), q.get("any"), q.get("none"), None), q, True)
+                                    for n, q in {"a": dict(any=["alpha", "delta"], none=["beta"]), "b": dict(all=["gamma", "x"])}.items()])
+    assert [r[0] for r in rows] == ["a"] and all(gram for clause in rows[0][1:4] for _, gram in clause)
+    plan = percolate.scores(corpus, rows, alone=True)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    counts = [i for i, line in enumerate(plan) if "regexp_extract_all(text" in line]
+    flags = [i for i, line in enumerate(plan) if "RLIKE" in line]
+    assert len(counts) == len(flags) == 1 and flags[0] < counts[0] and all("array_contains" in plan[i] for i in counts + flags)
