@@ -7,9 +7,14 @@ the lists of a few trigrams of each term and reads only the row groups of docume
 the terms; the search that follows decides. Its result is that of the same search over everything.
 """
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from foliolens.functions.trigrams import chunks, folded, required_literals, term_trigrams, trigrams
+from foliolens.functions.trigrams import SIZE, chunks, folded, required_literals, term_trigrams
 from foliolens.plans.skipping import intervals, within
 from foliolens.schema import CORPUS
 from foliolens.sources.index import ordered
@@ -19,6 +24,10 @@ SEGMENT = 1 << SEGMENT_BITS
 # Candidates are looked up in blocks of neighbours. Up to so many blocks (2 MB of numbers) are broadcast
 # and their places pushed to the scan; beyond, a term is no rare one and everything is read.
 BLOCK_BITS, MAX_BLOCKS = 6, 4096
+# Workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+#: Characters whose trigrams a task lists in one go.
+AT_ONCE = 1 << 22
 
 INDEXED = T.StructType([*CORPUS.fields, T.StructField("doc_no", T.LongType())])
 POSTINGS = T.StructType([
@@ -38,16 +47,54 @@ def write_indexed(index: DataFrame, path: str, mode: str = "errorifexists", part
 
 
 def write_postings(docs: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The postings of numbered documents. A trigram of very many documents is many short lists."""
+    """The postings of numbered documents. A trigram of very many documents is many short lists.
+
+    Neighbouring documents go through a task together and give one list for each trigram, so that what is
+    grouped are lists, not single numbers.
+    """
     pieces = docs.select("doc_no", F.explode(chunks(folded(F.col("text")))).alias("piece"))
-    grams = pieces.select("doc_no", F.explode(trigrams(F.col("piece"))).alias("gram"))
-    lists = grams.groupBy("gram", F.shiftright("doc_no", SEGMENT_BITS).alias("segment")).agg(
-        F.array_sort(F.collect_set(F.col("doc_no").bitwiseAND(SEGMENT - 1).cast("int"))).alias("docs"))
+    lists = pieces.mapInArrow(_partial_lists, "gram string, segment long, docs array<int>").groupBy("gram", "segment").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"))
     order = ["range", "gram", "segment"]
     (lists.withColumn("range", _range("gram")).repartitionByRange(*order).sortWithinPartitions(*order)
      .write.mode(mode).partitionBy("range").parquet(path))
 
 
+def _partial_lists(batches):
+    """(gram, segment, docs) of pieces of text, as many at a time as have ``AT_ONCE`` characters."""
+    numbers, held, size = [], [], 0
+    for batch in batches:
+        for number, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            numbers.append(number)
+            held.append(piece)
+            size += len(piece)
+            if size >= AT_ONCE:
+                yield _lists_of(numbers, held)
+                numbers, held, size = [], [], 0
+    if held:
+        yield _lists_of(numbers, held)
+
+
+def _lists_of(numbers: list[int], pieces: list[str]) -> pa.RecordBatch:
+    sizes = np.array([len(p) for p in pieces])
+    letters = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    docs, doc_of = np.unique(np.array(numbers, np.int64), return_inverse=True)
+    owner = np.repeat(doc_of, sizes)
+    # a trigram starts at every place of a piece but its last ones
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(letters))
+    at = np.flatnonzero(left >= SIZE)
+    codes = (letters[at] << 42) | (letters[at + 1] << 21) | letters[at + 2]
+    grams, gram_of = np.unique(codes, return_inverse=True)
+    pairs = np.unique(gram_of * len(docs) + owner[at])
+    gram, doc = pairs // len(docs), docs[pairs % len(docs)]
+    segment = doc >> SEGMENT_BITS
+    first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (segment[1:] != segment[:-1])][:len(pairs)])
+    text = np.stack([grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(pairs)], pa.int32()), pa.array(doc & (SEGMENT - 1), pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array([text[SIZE * g:SIZE * g + SIZE] for g in gram[first].tolist()], pa.string()),
+                                       pa.array(segment[first], pa.int64()), lists], ["gram", "segment", "docs"])
+
+
 def read_indexed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INDEXED).parquet(f"{path}/docs")
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,19 @@ def test_required_literals_are_in_every_match():
 def test_intervals():
     assert intervals([5, 1, 2, 9], 2) == [(1, 5), (9, 9)] and intervals([3, 3]) == [(3, 3)] and intervals([]) == []
     assert intervals(list("abcdef"), 2) == [("a", "c"), ("d", "f")]
+
+
+def test_neighbours_go_to_the_postings_as_lists(spark, tmp_path, monkeypatch):
+    """Each trigram of each document is in one list, once, whatever goes through a task together; lists are grouped, not numbers."""
+    texts = ["Abcabc", "", None, "ab", "xab𝒳𝒴𝒵c", "a" * 70_000 + "Rare" + "b" * 65_535 + "a" * 9, "cabca"] * 3
+    numbers = [(1 << 33) * (i % 2) + (1 << 16) * (i % 3) + i for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(numbers, texts)), "doc_no long, text string").coalesce(1)
+    want = {(text.upper()[i:i + 3], number) for number, text in zip(numbers, texts) if text for i in range(len(text) - 2)}
+    for most in (1, 8, signatures.AT_ONCE):
+        monkeypatch.setattr(signatures, "AT_ONCE", most)
+        signatures.write_postings(docs, str(tmp_path / f"grams{most}"))
+        lists = spark.read.schema(signatures.POSTINGS).parquet(str(tmp_path / f"grams{most}")).collect()
+        got = [(r.gram, (r.segment << signatures.SEGMENT_BITS) + doc) for r in lists for doc in r.docs]
+        assert sorted(got) == sorted(want) and all(r.docs == sorted(r.docs) for r in lists)
+    batches = list(signatures._partial_lists([pa.RecordBatch.from_pydict({"doc_no": list(range(500)), "piece": ["abcdef"] * 500})]))
+    assert sum(b.num_rows for b in batches) == 4
