@@ -51,7 +51,11 @@ MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 BATCH, AT_ONCE = 200_000, 100_000
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
-words_of = re.compile(r"\w+").findall
+#: Characters whose words are hashed at once, about.
+PIECE = 1 << 17
+#: Which code points of the first plane belong to words, as ``\w`` has it.
+LETTERS = np.array([chr(c).isalnum() or c == 95 for c in range(1 << 16)])
+parting = re.compile(r"\W").search
 # Windows and links travel in the same columns: `span` holds low and high, `node` the node
 # (or the shift of a link), the hash function and whether the row is a link to `other`.
 ROW = "key long, runs long, doc_id long, span long, node long, other long"
@@ -64,21 +68,89 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words:
-    """64-bit hashes of words; kept while the table has room."""
-
-    def __init__(self):
-        import xxhash
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """XXH64 of each word of each text. Words are the runs of letters, digits and underscores of the lower-cased text."""
+    out = [[] for _ in texts]
+    for (owners, begin), joined in pieces(texts, str.lower):
+        starts, ends, codes = word_places(joined)
+        sizes = np.ones(len(codes), np.int64)
+        for bound in (0x80, 0x800, 0x10000):
+            sizes += codes >= bound
+        at = np.r_[0, np.cumsum(sizes)]
+        hashes = xxh64(joined.encode(), at[starts], at[ends])
+        cut = np.r_[np.searchsorted(starts, begin), len(starts)]
+        for owner, i, j in zip(owners, cut[:-1].tolist(), cut[1:].tolist()):
+            out[owner].append(hashes[i:j])
+    return [np.concatenate(parts) if parts else np.zeros(0, np.uint64) for parts in out]
+
+
+def xxh64(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 (seed 0) of the slices [start, end) of ``data``, all at once; slices of 32 bytes and more one by one."""
+    import xxhash
+
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+
+    def turned(x, by):
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    size = ends - starts
+    padded = data + bytes(8)
+    eight, four, one = (np.ndarray(len(data) + 1, kind, padded, 0, (1,)) for kind in ("<u8", "<u4", "u1"))
+    out = p5 + size.astype(np.uint64)
+    for lane in range(3):
+        (of,) = np.nonzero(size >= 8 * lane + 8)
+        if len(of):
+            out[of] = turned(out[of] ^ (turned(eight[starts[of] + 8 * lane] * p2, 31) * p1), 27) * p1 + p4
+    (of,) = np.nonzero(size & 4)
+    out[of] = turned(out[of] ^ (four[starts[of] + (size[of] & -8)].astype(np.uint64) * p1), 23) * p2 + p3
+    for last in range(3):
+        (of,) = np.nonzero((size & 3) > last)
+        out[of] = turned(out[of] ^ (one[starts[of] + (size[of] & -4) + last].astype(np.uint64) * p5), 11) * p1
+    out = (out ^ (out >> np.uint64(33))) * p2
+    out = (out ^ (out >> np.uint64(29))) * p3
+    out ^= out >> np.uint64(32)
+    for i in np.flatnonzero(size >= 32).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i]:ends[i]])
+    return out
 
-        self.h64, self.known = xxhash.xxh64_intdigest, {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = words_of((text or "").lower())
-        if len(self.known) > 200_000:
-            self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = self.h64(w)
-        return np.array(list(map(self.known.__getitem__, words)), np.uint64)
+def pieces(texts: list[str | None], changed=str):
+    """((numbers of texts, where each begins), text): texts put together, and long ones cut, between words,
+    at about ``PIECE`` characters."""
+    owners, starts, parts, size = [], [], [], 0
+    for owner, text in enumerate(texts):
+        text, at = changed(text or ""), 0
+        while at < len(text):
+            stop = parting(text, at + PIECE - size) if len(text) - at > PIECE - size else None
+            part = text[at:stop.start()] if stop else text[at:]
+            at += len(part)
+            owners.append(owner)
+            starts.append(size)
+            parts.append(part)
+            size += len(part) + 1
+            if size >= PIECE:
+                yield (owners, starts), "\n".join(parts)
+                owners, starts, parts, size = [], [], [], 0
+    if parts:
+        yield (owners, starts), "\n".join(parts)
+
+
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, code points): where the words of a text are."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = LETTERS[np.minimum(codes, len(LETTERS) - 1)]
+    for at in np.flatnonzero(codes >= len(LETTERS)).tolist():
+        inside[at + 1] = text[at].isalnum()
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2], codes
+
+
+def word_counts(texts: list[str | None]) -> np.ndarray:
+    counts = np.zeros(len(texts), np.int64)
+    for (owners, begin), joined in pieces(texts):
+        np.add.at(counts, np.array(owners)[np.searchsorted(begin, word_places(joined)[0], "right") - 1], 1)
+    return counts
 
 
 def chained(values: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
@@ -206,8 +278,6 @@ def unpacked(columns) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
 def scan(batches):
     """Windows of texts as ROW. A batch's own links are taken out: then only the first window of
     each group and runs goes on, beside the links."""
-    words = Words()
-
     def out(held):
         columns = [np.concatenate(c) for c in zip(*held)]
         order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
@@ -218,8 +288,8 @@ def scan(batches):
 
     held, n, docs, texts, size = [], 0, [], [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            values = chained(words(text), SHINGLE) if doc is not None else ()
+        for doc, hashes in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist())):
+            values = chained(hashes, SHINGLE) if doc is not None else ()
             if len(values) >= LEAST:
                 docs.append(doc)
                 texts.append(values)
@@ -345,7 +415,7 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([hashlib.md5((t or "").encode("utf-8", "replace")).digest() for t in texts], pa.binary()),
-                 pa.array([len(words_of(t or "")) for t in texts], pa.int64())], ["doc_id", "digest", "words"])
+                 pa.array(word_counts(texts), pa.int64())], ["doc_id", "digest", "words"])
     digests = stored(map_texts(docs, ["doc_id", "text"], make, "doc_id long, digest binary, words long"))
     chosen = stored(digests.groupBy("doc_id").agg(F.min(F.struct("digest", "words")).alias("d"), F.count_distinct("digest").alias("n"))
                     .select("doc_id", "d.digest", "d.words", "n"))
@@ -393,11 +463,10 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
              .agg(F.collect_list(F.struct("pair", "side", "at", "upto")).alias("cuts")))
 
     def cut(batches):
-        words = Words()
         for batch in batches:
             rows = []
-            for text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                shingles = chained(words(text), SHINGLE).astype(np.uint32).view(np.int32)
+            for hashes, cuts in zip(word_hashes(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
+                shingles = chained(hashes, SHINGLE).astype(np.uint32).view(np.int32)
                 rows += [(c["pair"], c["side"], shingles[c["at"]:c["upto"]]) for c in cuts]
             pair, side, parts = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(side, pa.int32()), pa.array(parts, pa.list_(pa.int32()))],

@@ -472,6 +472,18 @@ def test_compact_windows():
             assert all((values[lo:hi + 1] > 0).all() and values[lo:hi + 1].min() == values[node] for lo, node, hi in got)
 
 
+def test_word_hashes(monkeypatch):
+    """Those of the words one by one, wherever long texts are cut."""
+    pick, signs = random.Random(9), list("abc ABC_09.,\n\tİΣσς\u0301é漢字𝔘😀\u200d٣²\x00\uffff\x85")
+    texts = [None, "", ".", "x" * 500, " ".join("y" * k + "é" * (k % 3) for k in range(70))] + [
+        "".join(pick.choice(signs) for _ in range(pick.randrange(150))) for _ in range(300)]
+    for piece in (7, 64, 1 << 17):
+        monkeypatch.setattr(passages, "PIECE", piece)
+        plain = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+        assert [h.tolist() for h in passages.word_hashes(texts)] == [[xxhash.xxh64_intdigest(w) for w in words] for words in plain]
+        assert passages.word_counts(texts).tolist() == [len(re.findall(r"\w+", t or "")) for t in texts]
+
+
 def spans_of(spark, texts):
     spans = {}
     for r in passages.repeated_passages(frame(spark, texts)).collect():
