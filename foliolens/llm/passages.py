@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from foliolens.llm.common import map_texts, stored
 from foliolens.llm.components import components
+from foliolens.llm.open_groups import by_part, in_open_groups
 
 SHINGLE, WORDS, SIMILAR = 5, 50, 0.8
 HASHES, AGREE, CONTEXT = 4, 2, 8
@@ -48,7 +49,7 @@ CUTS = 1000
 STRONG, SURE = 2, 64
 LEAST = WORDS - SHINGLE + 1
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-BATCH, AT_ONCE = 200_000, 100_000
+AT_ONCE = 100_000
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 #: Characters whose words are hashed at once, about.
@@ -56,10 +57,14 @@ PIECE = 1 << 17
 #: Which code points of the first plane belong to words, as ``\w`` has it.
 LETTERS = np.array([chr(c).isalnum() or c == 95 for c in range(1 << 16)])
 parting = re.compile(r"\W").search
-# Windows and links travel in the same columns: `span` holds low and high, `node` the node
-# (or the shift of a link), the hash function and whether the row is a link to `other`.
-ROW = "key long, runs long, doc_id long, span long, node long, other long"
-LINK = "a long, b long, shift long, low long, high long, hash long"
+#: Groups of so many windows are looked at again, as all pairs of a smaller one are links.
+LOOK = 4
+#: Shingles of a stretch of ``LEAST`` around a node that a window of a group may share at least with another one.
+NEEDED = int(np.ceil(SIMILAR * LEAST - 1e-9))
+# `span` holds low and high, `node` the node and the hash function.
+WINDOW = "key long, runs long, doc_id long, span long, node long"
+# A link, or, without `b`, a window of a group to be looked at again: `a` is its text and `shift` its node.
+LINK = "a long, b long, shift long, low long, high long, hash long, key long"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -238,8 +243,8 @@ def text_windows(docs: list[int], texts: list[np.ndarray]):
     return [np.concatenate(c) for c in zip(*rows)]
 
 
-def linked(columns: list[np.ndarray]):
-    """(links, first row of each group and runs) of windows sorted by (key, runs, doc_id, low)."""
+def linked(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Links of windows sorted by (key, runs, doc_id, low)."""
     key, runs = columns[:2]
     new_key = np.r_[True, key[1:] != key[:-1]]
     new = new_key | np.r_[True, runs[1:] != runs[:-1]]
@@ -247,7 +252,7 @@ def linked(columns: list[np.ndarray]):
     first, same = np.maximum.accumulate(np.where(new_key, place, 0)), np.maximum.accumulate(np.where(new, place, 0))
     me = np.flatnonzero(~new_key)
     pairs = np.unique(np.concatenate([np.stack([p[me], me], 1) for p in (first, same, place - 1)]), axis=0)
-    return links_of(columns[1:], pairs[pairs[:, 0] != pairs[:, 1]]), [c[new] for c in columns]
+    return links_of(columns[1:], pairs[pairs[:, 0] != pairs[:, 1]])
 
 
 def links_of(columns, pairs) -> list[np.ndarray]:
@@ -264,29 +269,18 @@ def links_of(columns, pairs) -> list[np.ndarray]:
     return [c[ok] for c in (a[1], b[1], shift, low, high, a[5] + SURE * strong)]
 
 
-def packed(key, runs, doc, low, node, high, hash_, other, link: int) -> pa.RecordBatch:
-    columns = [key, runs, doc, (low << 32) | high, ((node + (1 << 31)) << 8) | (hash_ << 1) | link, other]
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], [f.split()[0] for f in ROW.split(", ")])
-
-
-def unpacked(columns) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """((key, runs, doc, low, node or shift, high, hash), other, whether a row is a link)."""
-    key, runs, doc, span, node, other = columns
-    return ([key, runs, doc, span >> 32, (node >> 8) - (1 << 31), span & 0xFFFFFFFF, (node >> 1) & 127], other, (node & 1).astype(bool))
+def record(columns, schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64()) if c is None else pa.array(np.asarray(c, np.int64)) for c in columns],
+                                      [f.split()[0] for f in schema.split(", ")])
 
 
 def scan(batches):
-    """Windows of texts as ROW. A batch's own links are taken out: then only the first window of
-    each group and runs goes on, beside the links."""
-    def out(held):
-        columns = [np.concatenate(c) for c in zip(*held)]
-        order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
-        (a, b, shift, low, high, hash_), firsts = linked([c[order] for c in columns])
-        yield packed(*firsts, np.zeros(len(firsts[0]), np.int64), 0)
-        if len(a):
-            yield packed(mixed(a.astype(np.uint64)).view(np.int64), np.zeros(len(a), np.int64), a, low, shift, high, hash_, b, 1)
-
-    held, n, docs, texts, size = [], 0, [], [], 0
+    """Windows of texts as WINDOW."""
+    def out():
+        key, runs, doc, low, node, high, hash_ = text_windows(docs, texts)
+        return record([key, runs, doc, (low << 32) | high, (node << 8) | hash_], WINDOW)
+
+    docs, texts, size = [], [], 0
     for batch in batches:
         for doc, hashes in zip(batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist())):
             values = chained(hashes, SHINGLE) if doc is not None else ()
@@ -295,42 +289,42 @@ def scan(batches):
                 texts.append(values)
                 size += len(values)
             if size >= AT_ONCE:
-                held.append(text_windows(docs, texts))
-                n += len(held[-1][0])
+                yield out()
                 docs, texts, size = [], [], 0
-        if n >= BATCH:
-            yield from out(held)
-            held, n = [], 0
     if texts:
-        held.append(text_windows(docs, texts))
-    if held:
-        yield from out(held)
+        yield out()
 
 
 def group_links(batches):
-    """LINK rows of ROW rows whose windows are sorted by (key, runs, doc_id, span). Of the group that a
-    batch ends in, its first row, the first of the last runs and the last row are carried on."""
-    def record(columns):
-        return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], [f.split()[0] for f in LINK.split(", ")])
-
-    carry = None
+    """LINK rows of windows sorted by (key, runs, doc_id, span): links, and the windows of groups of at least ``LOOK``. Of the
+    group that a batch ends in, its first row, the first of the last runs and the last row are carried on, and the
+    rows of a smaller one that may still grow."""
+    carry, held, sent = None, None, 0
     for batch in batches:
-        columns, other, link = unpacked([batch.column(i).to_numpy() for i in range(6)])
-        if link.any():
-            _, _, a, low, shift, high, hash_ = (c[link] for c in columns)
-            yield record([a, other[link], shift, low, high, hash_])
-            columns = [c[~link] for c in columns]
-        if not len(columns[0]):
+        key, runs, doc, span, node = (batch.column(i).to_numpy() for i in range(5))
+        if not len(key):
             continue
-        if carry is not None and carry[0][0] == columns[0][0]:
-            columns = [np.concatenate([x, y]) for x, y in zip(carry, columns)]
-        links, _ = linked(columns)
+        new = [key, runs, doc, span >> 32, node >> 8, span & 0xFFFFFFFF, node & 255]
+        columns = new if carry is None or carry[0][0] != key[0] else [np.concatenate([x, y]) for x, y in zip(carry, new)]
+        links = linked(columns)
         if len(links[0]):
-            yield record(links)
+            yield record([*links, None], LINK)
+        if held is None or held[0] != key[0]:
+            held, sent = (key[0], [c[:0] for c in new]), 0
+        rows = [np.concatenate([x, y]) for x, y in zip(held[1], new)]
+        begin = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
+        sizes = np.diff(np.r_[begin, len(rows[0])])
+        counts = sizes + np.where(np.arange(len(sizes)) == 0, sent, 0)
+        many = np.repeat(counts >= LOOK, sizes)
+        if many.any():
+            of, _, a, low, at, high, hash_ = (c[many] for c in rows)
+            yield record([a, None, at, low, high, hash_, of], LINK)
+        last = begin[-1] if counts[-1] < LOOK else len(rows[0])
+        held, sent = (key[-1], [c[last:] for c in rows]), int(counts[-1]) if counts[-1] >= LOOK else 0
         key, runs = columns[:2]
-        begin = int(np.searchsorted(key, key[-1]))
-        same = begin + int(np.flatnonzero(runs[begin:] == runs[-1])[0])
-        carry = [c[sorted({begin, same, len(key) - 1})] for c in columns]
+        first = int(np.searchsorted(key, key[-1]))
+        same = first + int(np.flatnonzero(runs[first:] == runs[-1])[0])
+        carry = [c[sorted({first, same, len(key) - 1})] for c in columns]
 
 
 def similar_runs(one: np.ndarray, two: np.ndarray, hits: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int, int]]:
@@ -423,40 +417,108 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chosen.where("n > 1").select("doc_id", "digest"), stored(chosen.join(groups, "digest").select("doc_id", "first_id", "words"))
 
 
-def candidates(docs: DataFrame, same: DataFrame) -> DataFrame:
-    """(a, b, low, high, least, most): pairs of different texts that enough hash functions link on neighbouring
-    diagonals ``least`` to ``most`` (a place in ``a`` minus its place in ``b``), each text under its smallest id."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """The links of neighbours in groups and the windows of larger groups, as LINK."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = (map_texts(docs, ["doc_id", "text"], scan, ROW).repartition(n, "key").sortWithinPartitions("key", "runs", "doc_id", "span")
-             .mapInArrow(group_links, LINK)
-             .groupBy("a", "b", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"),
-                                             F.bit_or(F.expr(f"shiftleft(1L, CAST(IF(hash >= {SURE}, hash - {SURE}, hash) AS INT)) | IF(hash >= {SURE}, {1 << 32}L, 0L)"))
-                     .alias("hashes")))
+    return stored(map_texts(docs, ["doc_id", "text"], scan, WINDOW).repartition(n, "key").sortWithinPartitions("key", "runs", "doc_id", "span")
+                  .mapInArrow(group_links, LINK))
+
+
+def named(rows: DataFrame, same: DataFrame, *columns: str) -> DataFrame:
+    """The rows with each text under its smallest id."""
     names = same.where("doc_id <> first_id").select("doc_id", "first_id")
-    for side in ("a", "b"):
-        links = (links.join(names.withColumnRenamed("doc_id", side), side, "left")
-                 .withColumn(side, F.coalesce("first_id", side)).drop("first_id"))
+    for name in columns:
+        rows = (rows.join(names.withColumnRenamed("doc_id", name), name, "left")
+                .withColumn(name, F.coalesce("first_id", name)).drop("first_id"))
+    return rows
+
+
+def lanes(links: DataFrame) -> DataFrame:
+    """(a, b, low, high, hashes, least, most) of links (a, b, shift, low, high, hashes) of different texts, on neighbouring diagonals."""
     # Names may have changed places; then the interval is told in the other text.
     turned = (links.where("a <> b").withColumn("turn", F.expr("a > b"))
               .selectExpr("IF(turn, b, a) AS a", "IF(turn, a, b) AS b", "IF(turn, -shift, shift) AS shift",
                           "IF(turn, low - shift, low) AS low", "IF(turn, high - shift, high) AS high", "hashes"))
     # Diagonals of a pair that lie within SLIP of each other are one: a word more or less moves the rest.
     order = Window.partitionBy("a", "b").orderBy("shift")
-    joined = (turned.withColumn("opens", F.coalesce(F.col("shift") - F.lag("shift").over(order) > SLIP, F.lit(False)).cast("int"))
-              .withColumn("lane", F.sum("opens").over(order))
-              .groupBy("a", "b", "lane").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("hashes").alias("hashes"),
-                                             F.min("shift").alias("least"), F.max("shift").alias("most")))
-    return joined.where((F.bit_count("hashes") >= AGREE) | (F.col("hashes") >= 1 << 32)).drop("hashes", "lane")
+    return (turned.withColumn("opens", F.coalesce(F.col("shift") - F.lag("shift").over(order) > SLIP, F.lit(False)).cast("int"))
+            .withColumn("lane", F.sum("opens").over(order))
+            .groupBy("a", "b", "lane").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("hashes").alias("hashes"),
+                                           F.min("shift").alias("least"), F.max("shift").alias("most")).drop("lane"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, start, end, other, upto): the passages of candidate pairs that hold when their shingles are compared, as
-    word ranges of both."""
-    numbered = stored(pairs.withColumn("pair", F.monotonically_increasing_id()))
-    wanted = numbered.select("pair", F.explode(F.array(
-        F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side"), F.col("low").alias("at"), (F.col("high") + 1).alias("upto")),
-        F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side"), F.greatest(F.col("low") - F.col("most"), F.lit(0)).alias("at"),
-                 (F.col("high") - F.col("least") + 1).alias("upto")))).alias("w")).select("pair", "w.*")
+def candidates(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """(a, b, low, high, least, most): pairs of different texts that enough hash functions link on neighbouring
+    diagonals ``least`` to ``most`` (a place in ``a`` minus its place in ``b``), each text under its smallest id."""
+    links = (rows.where("b is not null").groupBy("a", "b", "shift")
+             .agg(F.min("low").alias("low"), F.max("high").alias("high"),
+                  F.bit_or(F.expr(f"shiftleft(1L, CAST(IF(hash >= {SURE}, hash - {SURE}, hash) AS INT)) | IF(hash >= {SURE}, {1 << 32}L, 0L)"))
+                  .alias("hashes")))
+    return lanes(named(links, same, "a", "b")).where((F.bit_count("hashes") >= AGREE) | (F.col("hashes") >= 1 << 32)).drop("hashes")
+
+
+def around(node: np.ndarray, component: np.ndarray, shingles: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of a group's windows, of different components, that may be one passage around the node: of some stretch
+    of ``LEAST`` shingles around the one's ``NEEDED`` are among the other's, and all of these reach as far as a passage."""
+    sizes = np.array([len(s) for s in shingles])
+    owner, ends = np.repeat(np.arange(len(node)), sizes), np.cumsum(sizes)
+    _, column, times = np.unique(np.concatenate([np.array(s, np.int32) for s in shingles]), return_inverse=True, return_counts=True)
+    place = np.where(times > 1, np.cumsum(times > 1), 0)[column]
+    marks = np.zeros((int((times > 1).sum()) + 1, len(node)), bool)
+    marks[place, owner] = True
+    marks[0] = False
+    one, other = [], []
+    for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
+        mine = marks[place[end - size:end]]
+        near = np.flatnonzero((mine.sum(0, dtype=np.int16) >= NEEDED) & (component != component[i]))
+        if not len(near):
+            continue
+        hits = mine[:, near]
+        total = np.concatenate([np.zeros((1, len(near)), np.int16), hits.cumsum(0, dtype=np.int16)])
+        reach = size - hits.argmax(0) - hits[::-1].argmax(0)
+        near = near[((total[LEAST:] - total[:-LEAST]).max(0) >= NEEDED) & (reach >= LEAST * ENOUGH)]
+        one.append(np.full(len(near), i))
+        other.append(near)
+    pairs = np.concatenate([np.zeros((2, 0), np.int64), *(np.stack([np.minimum(x, y), np.maximum(x, y)]) for x, y in zip(one, other))], 1)
+    return tuple(np.unique(pairs, axis=1))
+
+
+def open_pairs(docs: DataFrame, rows: DataFrame, same: DataFrame, spans: DataFrame, chunk: int) -> DataFrame:
+    """Candidate pairs of the groups whose windows lie in several classes: all pairs of windows in different ones that may be a
+    passage around the node. One window of each class and surroundings stands for the rest. In a group of more than
+    ``chunk`` windows those are left out first of whose surroundings too little occurs anywhere else in the group; what stays is cut
+    into shares, and each pair of shares is compared by itself."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows_ = named(rows.where("b is null").selectExpr("key", "a AS doc", "shift AS node", "low", "high"), same, "doc").distinct()
+    inside = spans.selectExpr("doc", "start_word", "end_word", "component AS of")
+    windows_ = (windows_.join(inside, (windows_.doc == inside.doc) & F.col("node").between(F.col("start_word"), F.col("end_word") - SHINGLE), "left")
+                .select("key", windows_.doc, "node", "low", "high", F.xxhash64(F.coalesce("of", node("node", windows_.doc))).alias("component")))
+    several = windows_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+    windows_ = stored(windows_.join(several.select("key"), "key", "left_semi").withColumn("row", F.monotonically_increasing_id()))
+    begin = F.greatest(F.col("low"), F.col("node") - (LEAST - 1))
+    wanted = windows_.select(F.col("row").alias("pair"), F.lit(0).alias("side"), F.col("doc").alias("doc_id"), begin.alias("at"),
+                             (F.least(F.col("high"), F.col("node") + (LEAST - 1)) + 1).alias("upto"))
+    texts = (stretches(docs, wanted).selectExpr("pair AS row", "shingles")
+             .join(windows_.select("row", "key", "component", (F.col("node") - begin).alias("n")), "row"))
+    ours = stored(texts.groupBy("key", "component", "n", "shingles").agg(F.min("row").alias("row")))
+    large = ours.groupBy("key").count().where(F.col("count") > chunk).select("key")
+    each = ours.join(large, "key", "left_semi").select("key", "row", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("key", "shingle").agg((F.min("row") < F.max("row")).alias("shared")).where("shared")
+    enough = each.join(shared, ["key", "shingle"]).groupBy("row").count().where(F.col("count") >= NEEDED).select("row")
+    ours = stored(ours.join(large, "key", "left_anti").unionByName(ours.join(large, "key", "left_semi").join(enough, "row", "left_semi").select(ours.columns)))
+    dealt = (in_open_groups(ours.select("key", "row", "component"), chunk).join(ours.select("row", "n", "shingles"), "row")
+             .repartition(parts, "key", "part").sortWithinPartitions("key", "part", "row"))
+    pairs = stored(dealt.mapInArrow(lambda batches: by_part(batches, "shingles", around, ["x", "y"]), "x long, y long").distinct())
+    x, y = (windows_.select(F.col("row").alias(side), F.struct("doc", "node", "low", "high").alias(side + "_")) for side in "xy")
+    shift = "x_.node - y_.node"
+    links = (pairs.join(x, "x").join(y, "y")
+             .selectExpr("x_.doc AS a", "y_.doc AS b", f"{shift} AS shift", f"greatest(x_.low, y_.low + {shift}) AS low",
+                         f"least(x_.high, y_.high + {shift}) AS high", "0L AS hashes").where(f"high - low + 1 >= {LEAST}"))
+    return lanes(links).select("a", "b", "low", "high", (F.col("least") - SLIP).alias("least"), (F.col("most") + SLIP).alias("most"))
+
+
+def stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(pair, side, shingles) of stretches (pair, side, doc_id, at, upto) of texts."""
     # A text goes to its stretches once, or once for about CUTS of them.
     shares = wanted.groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(CUTS)).alias("shares"))
     lists = (wanted.join(shares, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("pair"), "shares").alias("share"))
@@ -472,6 +534,18 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(side, pa.int32()), pa.array(parts, pa.list_(pa.int32()))],
                                              ["pair", "side", "shingles"])
 
+    return map_texts(docs.join(lists, "doc_id"), ["text", "cuts"], cut, "pair long, side int, shingles array<int>")
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, start, end, other, upto): the passages of candidate pairs that hold when their shingles are compared, as
+    word ranges of both."""
+    numbered = stored(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    wanted = numbered.select("pair", F.explode(F.array(
+        F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side"), F.col("low").alias("at"), (F.col("high") + 1).alias("upto")),
+        F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side"), F.greatest(F.col("low") - F.col("most"), F.lit(0)).alias("at"),
+                 (F.col("high") - F.col("least") + 1).alias("upto")))).alias("w")).select("pair", "w.*")
+
     def compare(batches):
         for batch in batches:
             sides = [batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)]
@@ -487,9 +561,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             at = pa.array([r[0] for r in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at)] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 5)],
                                              ["pair", "start", "end", "other", "upto"])
-    one = docs.where("doc_id is not null")
-    slices_ = map_texts(one.join(lists, "doc_id"), ["text", "cuts"], cut, "pair long, side int, shingles array<int>")
-    both = slices_.groupBy("pair").agg(*(F.first(F.when(F.col("side") == i, F.col("shingles")), ignorenulls=True).alias(n) for i, n in enumerate("xy")))
+
+    both = stretches(docs, wanted).groupBy("pair").agg(*(F.first(F.when(F.col("side") == i, F.col("shingles")), ignorenulls=True).alias(n) for i, n in enumerate("xy")))
     runs = map_texts(both, ["pair", "x", "y"], compare, "pair long, start long, end long, other long, upto long")
     moved = lambda name, by: (F.col(name) + by).alias(name)
     at = F.greatest(F.col("low") - F.col("most"), F.lit(0))
@@ -500,42 +573,46 @@ def node(doc, start):
     return F.concat_ws(":", doc, start)
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(found: DataFrame, same: DataFrame) -> DataFrame:
+    """(doc, start_word, end_word, component): the spans that passages make, with the class that links connect."""
+    ends = (found.select(F.col("a").alias("doc"), "start", "end")
+            .unionByName(found.select(F.col("b").alias("doc"), F.col("other").alias("start"), F.col("upto").alias("end"))))
+    whole = (same.where((F.col("doc_id") == F.col("first_id")) & (F.col("words") >= WORDS))
+             .select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("start"), F.col("words").alias("end")))
+    pieces_ = stored(ends.unionByName(whole).distinct()
+                     .withColumn("before", F.max("end").over(Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)))
+                     .withColumn("opens", F.when(F.col("before").isNull() | (F.col("start") >= F.col("before")), F.col("start")))
+                     .withColumn("span", F.max("opens").over(Window.partitionBy("doc").orderBy("start", "end")))
+                     .select("doc", "start", "end", "span"))
+    place = pieces_.select("doc", "start", "end", node("doc", "span").alias("node"))
+    edges = (found.join(place.selectExpr("doc AS a", "start", "end", "node AS u"), ["a", "start", "end"])
+             .join(place.selectExpr("doc AS b", "start AS other", "end AS upto", "node AS v"), ["b", "other", "upto"])
+             .select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
+    return stored(pieces_.groupBy("doc", F.col("span").alias("start_word")).agg(F.max("end").alias("end_word"))
+                  .withColumn("node", node("doc", "start_word")).join(components(stored(edges)), "node", "left")
+                  .select("doc", "start_word", "end_word", F.coalesce("component", "node").alias("component")))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1_000) -> DataFrame:
     """(doc_id, start_word, end_word, class_doc_id, class_start, n_linked): every passage that
     another document has too, as a span of words (end not included); the class of spans that
-    links connect, named by one span of it; and the number of other texts it is linked to.
-    Documents of equal text have the same rows."""
+    links connect, named by one span of it; and the number of other texts that links connect it to, directly
+    or through others. Documents of equal text have the same rows."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     several, same = copies(docs)
     if several.take(1):
         stands = F.col("digest").isNull() | (F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))) == F.col("digest"))
         docs = docs.join(several, "doc_id", "left").where(stands).select("doc_id", "text")
-    found = stored(verified(docs, candidates(docs, same)))
-    ends = (found.select(F.col("a").alias("doc"), "start", "end", F.col("b").alias("with"))
-            .unionByName(found.select(F.col("b").alias("doc"), F.col("other").alias("start"), F.col("upto").alias("end"), F.col("a").alias("with"))))
-    whole = (same.where((F.col("doc_id") == F.col("first_id")) & (F.col("words") >= WORDS))
-             .select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("start"), F.col("words").alias("end"),
-                     F.lit(None).cast("long").alias("with")))
-    pieces = stored(ends.unionByName(whole).groupBy("doc", "start", "end").agg(F.count_distinct("with").alias("n"))
-                    .withColumn("before", F.max("end").over(Window.partitionBy("doc").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)))
-                    .withColumn("opens", F.when(F.col("before").isNull() | (F.col("start") >= F.col("before")), F.col("start")))
-                    .withColumn("span", F.max("opens").over(Window.partitionBy("doc").orderBy("start", "end")))
-                    .select("doc", "start", "end", "span"))
-    place = pieces.select("doc", "start", "end", node("doc", "span").alias("node"))
-    edges = (found.join(place.selectExpr("doc AS a", "start", "end", "node AS u"), ["a", "start", "end"])
-             .join(place.selectExpr("doc AS b", "start AS other", "end AS upto", "node AS v"), ["b", "other", "upto"])
-             .select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
-    edges = stored(edges)
-    linked_to = (edges.unionByName(edges.selectExpr("b AS a", "a AS b")).select("a", F.split("b", ":")[0].alias("other"))
-                 .groupBy("a").agg(F.count_distinct("other").alias("n_linked")).withColumnRenamed("a", "node"))
-    spans = (pieces.groupBy("doc", "span").agg(F.max("end").alias("end_word"))
-             .withColumn("node", node("doc", "span"))
-             .join(components(edges), "node", "left").join(linked_to, "node", "left")
-             .withColumn("component", F.coalesce("component", "node"))
-             .select("doc", F.col("span").alias("start_word"), "end_word",
-                     F.split("component", ":")[0].cast("long").alias("class_doc_id"),
-                     F.split("component", ":")[1].cast("long").alias("class_start"),
-                     F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked")))
+    rows = grouped(docs)
+    found = stored(verified(docs, candidates(rows, same)))
+    spans = classes(found, same)
+    more = stored(verified(docs, open_pairs(docs, rows, same, spans, chunk)))
+    if more.take(1):
+        spans = classes(found.unionByName(more), same)
+    texts = spans.groupBy("component").agg((F.count_distinct("doc") - 1).alias("n_linked"))
+    spans = (spans.join(texts, "component")
+             .select("doc", "start_word", "end_word", F.split("component", ":")[0].cast("long").alias("class_doc_id"),
+                     F.split("component", ":")[1].cast("long").alias("class_start"), "n_linked"))
     others = same.where("doc_id <> first_id").select(F.col("first_id").alias("doc"), "doc_id").distinct()
     own = spans.withColumnRenamed("doc", "doc_id")
     return own.unionByName(spans.join(others, "doc").select(own.columns))

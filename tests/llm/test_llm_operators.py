@@ -514,6 +514,41 @@ def test_a_passage_of_very_many_documents(spark, words):
     assert len(found) >= 195 and max(found.count(c) for c in set(found)) >= 195
 
 
+def test_links_within_a_group(spark):
+    """Whatever lies between the windows of a group: a passage is linked to all texts that have it, and edited ones around a
+    frequent line are one class, also where the group is compared in shares."""
+    line, passage, n = prose(40, 42), prose(5, 70), 15
+    texts = [prose(20000 + i, 40) + " " + passage + " " + prose(21000 + i, 30) for i in range(20)]
+    for i in range(n):
+        around = prose(2000 + i, 3) + " " + line + " " + prose(3000 + i, 3)
+        texts += [prose(4000 + 2 * i + k, 40) + " " + around + " " + prose(6000 + 2 * i + k, 40) for k in range(2)]
+    texts += [prose(8000 + i, 50) + " " + line + " " + prose(9000 + i, 50) for i in range(150)]
+    rows = passages.repeated_passages(frame(spark, texts), chunk=60).collect()
+    assert [r["n_linked"] for r in rows if r["doc_id"] < 20] == [19] * 20
+    spans = {r["doc_id"]: (r["class_doc_id"], r["class_start"]) for r in rows}
+    assert sum(20 + 2 * i in spans and spans[20 + 2 * i] == spans.get(21 + 2 * i) for i in range(n)) == n
+    assert not any(d >= 20 + 2 * n for d in spans)
+
+
+def test_windows_around_a_node():
+    """Pairs of windows of different classes are those that a comparison place by place finds."""
+    pick = random.Random(2)
+    for case in range(20):
+        base = [pick.randrange(10**6) for _ in range(91)]
+        rows = [[v if pick.random() < 0.9 - 0.3 * (case % 2) else pick.randrange(10**6) for v in base[pick.randrange(30):91 - pick.randrange(15)]] for _ in range(12)]
+        rows += [[7] * 60, [7] * 50 + base[:41]]
+        component = np.array([pick.randrange(6) for _ in rows])
+        want = set()
+        for i, x in enumerate(rows):
+            for k, y in enumerate(rows):
+                hit = [v in y for v in x]
+                dense = max(sum(hit[a:a + passages.LEAST]) for a in range(len(x) - passages.LEAST + 1))
+                if component[i] != component[k] and dense >= passages.NEEDED and len(x) - hit.index(True) - hit[::-1].index(True) >= 41:
+                    want.add((min(i, k), max(i, k)))
+        one, other = passages.around(np.zeros(len(rows), np.int64), component, rows)
+        assert set(zip(one.tolist(), other.tolist())) == want
+
+
 def test_passages_with_words_put_in_and_left_out(spark):
     """Near-duplicates of resemblance 0.8 and more, whatever the edit."""
     texts, n = [], 40
