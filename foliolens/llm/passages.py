@@ -459,7 +459,8 @@ def candidates(rows: DataFrame, same: DataFrame) -> DataFrame:
 
 def around(node: np.ndarray, component: np.ndarray, shingles: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Places of pairs of a group's windows, of different components, that may be one passage around the node: of some stretch
-    of ``LEAST`` shingles around the one's ``NEEDED`` are among the other's, and all of these reach as far as a passage."""
+    of ``LEAST`` shingles around the one's ``NEEDED`` are among the other's, and all of these reach as far as a passage. Of a class that shares such
+    a stretch as a whole with a window, one window is enough."""
     sizes = np.array([len(s) for s in shingles])
     owner, ends = np.repeat(np.arange(len(node)), sizes), np.cumsum(sizes)
     _, column, times = np.unique(np.concatenate([np.array(s, np.int32) for s in shingles]), return_inverse=True, return_counts=True)
@@ -476,7 +477,12 @@ def around(node: np.ndarray, component: np.ndarray, shingles: list[list[int]]) -
         hits = mine[:, near]
         total = np.concatenate([np.zeros((1, len(near)), np.int16), hits.cumsum(0, dtype=np.int16)])
         reach = size - hits.argmax(0) - hits[::-1].argmax(0)
-        near = near[((total[LEAST:] - total[:-LEAST]).max(0) >= NEEDED) & (reach >= LEAST * ENOUGH)]
+        most = (total[LEAST:] - total[:-LEAST]).max(0)
+        kept = (most >= NEEDED) & (reach >= LEAST * ENOUGH)
+        near, whole = near[kept], near[kept & (most == LEAST)]
+        if len(whole):
+            # a stretch that is shared as a whole is a passage, so one such window connects the class
+            near = np.r_[near[~np.isin(component[near], component[whole])], whole[np.unique(component[whole], return_index=True)[1]]]
         one.append(np.full(len(near), i))
         other.append(near)
     pairs = np.concatenate([np.zeros((2, 0), np.int64), *(np.stack([np.minimum(x, y), np.maximum(x, y)]) for x, y in zip(one, other))], 1)
