@@ -179,6 +179,23 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    from foliolens.llm import components as module
+    from foliolens.llm import nearcopies
+
+    written = []
+    kept = module.stored
+    monkeypatch.setattr(module, "stored", lambda df: written.append(1) or kept(df))
+    star = spark.createDataFrame([(1, 5), (7, 1), (9, 2), (1, 5), (3, 3)], "a long, b long")
+    found = module.components(star)
+    assert sorted(map(tuple, found.collect())) == [(1, 1), (2, 2), (5, 1), (7, 1), (9, 2)] and len(written) == 1
+    assert nearcopies.joined(found, spark.createDataFrame([], "a long, b long")) is found
+    more = nearcopies.joined(found, spark.createDataFrame([(9, 7), (12, 11)], "a long, b long"))
+    assert sorted(map(tuple, more.collect())) == [(1, 1), (2, 1), (5, 1), (7, 1), (9, 1), (11, 11), (12, 11)]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(40, 41)], "a long, b long")
+    assert {tuple(r) for r in module.components(chain).collect()} == {(i, 0) for i in range(21)} | {(40, 40), (41, 40)}
+
+
 def test_sketch(spark, empty):
     texts = ODD + [prose(7, 2000), prose(8, 30), " lead " + prose(9, 50) + " ", prose(9, 60), "one two three"]
     docs = frame(spark, texts)
