@@ -337,11 +337,17 @@ def similar_runs(one: np.ndarray, two: np.ndarray, hits: tuple[np.ndarray, np.nd
     trimmed to shared shingles.
     """
     out: list[tuple[int, int, int, int]] = []
+    totals, order, before = [np.r_[0, np.cumsum(hit)] for hit in hits], None, None
     for share in (LOOSE, ENOUGH, 1):
-        sides = [dense_runs(hit, share) for hit in hits]
-        for run in paired_runs(one, two, *sides):
-            if not any(s <= run[0] and run[1] <= e for s, e, _, _ in out):
-                out.append(run)
+        sides = [dense_runs(hit, share, total) for hit, total in zip(hits, totals)]
+        if not sides[0] or not sides[1]:
+            break  # nor has a larger share runs
+        if sides != before:
+            order = np.argsort(two, kind="stable") if order is None else order
+            for start, end in sides[0]:
+                if not any(s <= start and end <= e for s, e, _, _ in out):
+                    out += paired_runs(one, two, order, [(start, end)], sides[1])
+        before = sides
     return [(a, b + SHINGLE - 1, c, d + SHINGLE - 1) for a, b, c, d in out]
 
 
@@ -364,11 +370,9 @@ def shared_shingles(ones: list[np.ndarray], twos: list[np.ndarray]) -> tuple[np.
     return hit[:len(x)], x_at, hit[len(x):], y_at
 
 
-def paired_runs(one: np.ndarray, two: np.ndarray, runs: list[tuple[int, int]], others: list[tuple[int, int]]):
-    """Runs of the one side with the run of the other that holds most of what they share, if they resemble each other enough."""
-    if not runs or not others:
-        return
-    order = np.argsort(two, kind="stable")
+def paired_runs(one: np.ndarray, two: np.ndarray, order: np.ndarray, runs: list[tuple[int, int]], others: list[tuple[int, int]]):
+    """Runs of the one side with the run of the other that holds most of what they share, if they resemble each other enough;
+    ``order`` sorts the other."""
     ranked, (starts, ends) = two[order], np.array(others).T
     for start, end in runs:
         # all places of the shared shingles in the other text, by the run that they lie in
@@ -383,11 +387,11 @@ def paired_runs(one: np.ndarray, two: np.ndarray, runs: list[tuple[int, int]], o
             yield start, end, *others[k]
 
 
-def dense_runs(hit: np.ndarray, share: float) -> list[tuple[int, int]]:
-    """[start, end) ranges of shingles over which at least ``share`` of every stretch are hits."""
+def dense_runs(hit: np.ndarray, share: float, total: np.ndarray) -> list[tuple[int, int]]:
+    """[start, end) ranges of shingles over which at least ``share`` of every stretch are hits, with their running
+    ``total``."""
     if len(hit) < LEAST:
         return []
-    total = np.r_[0, np.cumsum(hit)]
     good = np.flatnonzero(total[LEAST:] - total[:-LEAST] >= np.ceil(LEAST * share - 1e-9))
     out = []
     for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1) if len(good) else []:
@@ -489,6 +493,56 @@ def around(node: np.ndarray, component: np.ndarray, shingles: list[list[int]]) -
     return tuple(np.unique(pairs, axis=1))
 
 
+def few_shared(rows: DataFrame, sizes: DataFrame, chunk: int) -> DataFrame:
+    """(row): those (key, row, shingles) of which fewer than ``NEEDED`` shingles are also in another row of the key. The shingles
+    of a group are dealt by their value to as many shares as ``chunk`` goes into its rows (``sizes``: key, count), so a share has
+    about as many shingles as ``chunk`` rows have, and a row is in few of them."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def deal(batches):
+        for batch in batches:
+            out = []
+            for key, row, shares, shingles in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).to_numpy(zero_copy_only=False)):
+                values = np.asarray(shingles, np.int32)
+                share = mixed(values.view(np.uint32).astype(np.uint64)) % np.uint64(shares)
+                order = np.argsort(share, kind="stable")
+                cut = np.flatnonzero(np.r_[True, share[order][1:] != share[order][:-1]])
+                out += [(key, int(share[at[0]]), row, values[at]) for at in np.split(order, cut[1:])]
+            columns = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))],
+                                             ["key", "part", "row", "shingles"])
+
+    def count(batches):
+        def done(held):
+            tables = pa.Table.from_batches(held)
+            row, lists = tables.column("row").to_numpy(), tables.column("shingles").combine_chunks()
+            owner = np.repeat(np.arange(len(row)), np.diff(lists.offsets.to_numpy()))
+            values, column = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            least, most = np.full(len(values), len(row)), np.full(len(values), -1)
+            np.minimum.at(least, column, owner)
+            np.maximum.at(most, column, owner)
+            shared = np.bincount(owner, weights=(least < most)[column], minlength=len(row)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(row), pa.array(shared)], ["row", "n"])
+
+        now, held = None, []
+        for batch in batches:
+            key, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.r_[0, np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1, len(key)] if len(key) else ()
+            for i, j in zip(cut[:-1], cut[1:]):
+                if held and now != (key[i], part[i]):
+                    yield done(held)
+                    held = []
+                now = key[i], part[i]
+                held.append(batch.slice(i, j - i))
+        if held:
+            yield done(held)
+
+    dealt = map_texts(rows.join(sizes, "key").withColumn("shares", F.ceil(F.col("count") / F.lit(chunk))), ["key", "row", "shares", "shingles"], deal,
+                      "key long, part long, row long, shingles array<int>")
+    counts = dealt.repartition(parts, "key", "part").sortWithinPartitions("key", "part").mapInArrow(count, "row long, n long")
+    return counts.groupBy("row").agg(F.sum("n").alias("n")).where(F.col("n") < NEEDED).select("row")
+
+
 def open_pairs(docs: DataFrame, rows: DataFrame, same: DataFrame, spans: DataFrame, chunk: int) -> DataFrame:
     """Candidate pairs of the groups whose windows lie in several classes: all pairs of windows in different ones that may be a
     passage around the node. One window of each class and surroundings stands for the rest. In a group of more than
@@ -507,11 +561,9 @@ def open_pairs(docs: DataFrame, rows: DataFrame, same: DataFrame, spans: DataFra
     texts = (stretches(docs, wanted).selectExpr("pair AS row", "shingles")
              .join(windows_.select("row", "key", "component", (F.col("node") - begin).alias("n")), "row"))
     ours = stored(texts.groupBy("key", "component", "n", "shingles").agg(F.min("row").alias("row")))
-    large = ours.groupBy("key").count().where(F.col("count") > chunk).select("key")
-    each = ours.join(large, "key", "left_semi").select("key", "row", F.explode("shingles").alias("shingle"))
-    shared = each.groupBy("key", "shingle").agg((F.min("row") < F.max("row")).alias("shared")).where("shared")
-    enough = each.join(shared, ["key", "shingle"]).groupBy("row").count().where(F.col("count") >= NEEDED).select("row")
-    ours = stored(ours.join(large, "key", "left_anti").unionByName(ours.join(large, "key", "left_semi").join(enough, "row", "left_semi").select(ours.columns)))
+    large = ours.groupBy("key").count().where(F.col("count") > chunk)
+    few = few_shared(ours.select("key", "row", "shingles"), large, chunk)
+    ours = stored(ours.join(few, "row", "left_anti").select(ours.columns))
     dealt = (in_open_groups(ours.select("key", "row", "component"), chunk).join(ours.select("row", "n", "shingles"), "row")
              .repartition(parts, "key", "part").sortWithinPartitions("key", "part", "row"))
     pairs = stored(dealt.mapInArrow(lambda batches: by_part(batches, "shingles", around, ["x", "y"]), "x long, y long").distinct())

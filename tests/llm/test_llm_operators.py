@@ -570,6 +570,27 @@ def test_windows_around_a_node():
         assert set(zip(one.tolist(), other.tolist())) == want
 
 
+def test_windows_that_share_too_little(spark):
+    """Windows with fewer shared shingles than a passage needs are found without a row for each shingle."""
+    pick = random.Random(6)
+    common = [pick.randrange(-2**31, 2**31) for _ in range(60)]
+    rows = [(key, 100 * key + i, [pick.randrange(-2**31, 2**31) for _ in range(20)] + common[:pick.randrange(25, 45)] + [key] * pick.randrange(3))
+            for key in range(3) for i in range(30 if key < 2 else 1)]
+    rows.append((1, 500, [5] * 60))
+    want = set()
+    for key, row, shingles in rows:
+        others = {v for k, r, vs in rows if (k, r) != (key, row) and k == key for v in vs}
+        if sum(v in others for v in shingles) < passages.NEEDED:
+            want.add(row)
+    frame_ = spark.createDataFrame(rows, "key long, row long, shingles array<int>")
+    sizes = frame_.groupBy("key").count()
+    for chunk in (4, 1000):
+        few = passages.few_shared(frame_, sizes, chunk)
+        assert "explode" not in few._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(r["row"] for r in few.collect()) == sorted(want) and 10 < len(want) < 60
+    assert passages.few_shared(frame_, sizes.where("count > 100"), 4).count() == 0
+
+
 def test_passages_with_words_put_in_and_left_out(spark):
     """Near-duplicates of resemblance 0.8 and more, whatever the edit."""
     texts, n = [], 40
