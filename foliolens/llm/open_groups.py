@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 
 def by_part(batches, column: str, of_group, names: list[str]):
-    """Pairs (a, b) that ``of_group`` finds in each (key, part) of rows sorted by them. It gets row, n, component and
-    the bytes of ``column``, and returns places in the group."""
+    """Pairs (a, b) that ``of_group`` finds in each (key, part) of rows sorted by them. It gets n, component and
+    the values of ``column`` (lists as arrays), and returns places in the group."""
     def done(table, cut):
+        row, n, component = (table.column(c).to_numpy() for c in ("row", "n", "component"))
+        values = table.column(column)
+        values = values.to_numpy() if pa.types.is_list(values.type) else values.to_pylist()
         for i, j in zip(cut[:-1], cut[1:]):
             if j - i > 1:
-                group = table.slice(i, j - i)
-                row, n, component = (group.column(c).to_numpy() for c in ("row", "n", "component"))
-                a, b = of_group(n, component, group.column(column).to_pylist())
+                a, b = of_group(n[i:j], component[i:j], values[i:j])
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(row[a], row[b])), pa.array(np.maximum(row[a], row[b]))], names)
+                    a, b = row[i:j][a], row[i:j][b]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names)
 
     held = None
     for batch in batches:

@@ -61,6 +61,8 @@ parting = re.compile(r"\W").search
 LOOK = 4
 #: Shingles of a stretch of ``LEAST`` around a node that a window of a group may share at least with another one.
 NEEDED = int(np.ceil(SIMILAR * LEAST - 1e-9))
+#: Pairs of windows whose hits are held at once.
+AT_A_TIME = 4096
 # `span` holds low and high, `node` the node and the hash function.
 WINDOW = "key long, runs long, doc_id long, span long, node long"
 # A link, or, without `b`, a window of a group to be looked at again: `a` is its text and `shift` its node.
@@ -428,18 +430,9 @@ def grouped(docs: DataFrame) -> DataFrame:
                   .mapInArrow(group_links, LINK))
 
 
-def named(rows: DataFrame, same: DataFrame, *columns: str) -> DataFrame:
-    """The rows with each text under its smallest id."""
-    names = same.where("doc_id <> first_id").select("doc_id", "first_id")
-    for name in columns:
-        rows = (rows.join(names.withColumnRenamed("doc_id", name), name, "left")
-                .withColumn(name, F.coalesce("first_id", name)).drop("first_id"))
-    return rows
-
-
 def lanes(links: DataFrame) -> DataFrame:
     """(a, b, low, high, hashes, least, most) of links (a, b, shift, low, high, hashes) of different texts, on neighbouring diagonals."""
-    # Names may have changed places; then the interval is told in the other text.
+    # Where the larger id comes first, the interval is told in the other text.
     turned = (links.where("a <> b").withColumn("turn", F.expr("a > b"))
               .selectExpr("IF(turn, b, a) AS a", "IF(turn, a, b) AS b", "IF(turn, -shift, shift) AS shift",
                           "IF(turn, low - shift, low) AS low", "IF(turn, high - shift, high) AS high", "hashes"))
@@ -451,30 +444,38 @@ def lanes(links: DataFrame) -> DataFrame:
                                            F.min("shift").alias("least"), F.max("shift").alias("most")).drop("lane"))
 
 
-def candidates(rows: DataFrame, same: DataFrame) -> DataFrame:
-    """(a, b, low, high, least, most): pairs of different texts that enough hash functions link on neighbouring
-    diagonals ``least`` to ``most`` (a place in ``a`` minus its place in ``b``), each text under its smallest id."""
+def candidates(rows: DataFrame) -> DataFrame:
+    """(a, b, low, high, least, most): pairs of texts that enough hash functions link on neighbouring
+    diagonals ``least`` to ``most`` (a place in ``a`` minus its place in ``b``)."""
     links = (rows.where("b is not null").groupBy("a", "b", "shift")
              .agg(F.min("low").alias("low"), F.max("high").alias("high"),
                   F.bit_or(F.expr(f"shiftleft(1L, CAST(IF(hash >= {SURE}, hash - {SURE}, hash) AS INT)) | IF(hash >= {SURE}, {1 << 32}L, 0L)"))
                   .alias("hashes")))
-    return lanes(named(links, same, "a", "b")).where((F.bit_count("hashes") >= AGREE) | (F.col("hashes") >= 1 << 32)).drop("hashes")
+    return lanes(links).where((F.bit_count("hashes") >= AGREE) | (F.col("hashes") >= 1 << 32)).drop("hashes")
 
 
-def around(node: np.ndarray, component: np.ndarray, shingles: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs of a group's windows, of different components, that may be one passage around the node: of some stretch
-    of ``LEAST`` shingles around the one's ``NEEDED`` are among the other's, and all of these reach as far as a passage. Of a class that shares such
-    a stretch as a whole with a window, one window is enough."""
+def marked(shingles: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, start, marks): for the shingles of a group's windows, put together from ``start`` on, their row in ``marks``, which
+    tells the windows that hold each; row 0, of no window, is that of shingles that occur once."""
     sizes = np.array([len(s) for s in shingles])
-    owner, ends = np.repeat(np.arange(len(node)), sizes), np.cumsum(sizes)
-    _, column, times = np.unique(np.concatenate([np.array(s, np.int32) for s in shingles]), return_inverse=True, return_counts=True)
+    owner, start = np.repeat(np.arange(len(sizes)), sizes), np.r_[0, np.cumsum(sizes)]
+    _, column, times = np.unique(np.concatenate([np.asarray(s, np.int32) for s in shingles]), return_inverse=True, return_counts=True)
     place = np.where(times > 1, np.cumsum(times > 1), 0)[column]
-    marks = np.zeros((int((times > 1).sum()) + 1, len(node)), bool)
+    marks = np.zeros((int((times > 1).sum()) + 1, len(sizes)), bool)
     marks[place, owner] = True
     marks[0] = False
-    one, other = [], []
-    for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
-        mine = marks[place[end - size:end]]
+    return place, start, marks
+
+
+def around(node: np.ndarray, component: np.ndarray, shingles: list[list[int]], marking=None, repeats=False) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of a group's windows, of different components, that may be one passage around the node: of some stretch
+    of ``LEAST`` shingles around the one's ``NEEDED`` are among the other's, and all of these reach as far as a passage. Of a class that shares such
+    a stretch as a whole with a window, one window is enough; windows marked by ``repeats`` are not taken for it."""
+    place, start, marks = marking or marked(shingles)
+    one, other, plain = [], [], ~(np.zeros(len(node), bool) | repeats)
+    shared = np.r_[0, np.cumsum(place > 0)][start]
+    for i in np.flatnonzero(np.diff(shared) >= NEEDED).tolist():
+        mine, size = marks[place[start[i]:start[i + 1]]], int(start[i + 1] - start[i])
         near = np.flatnonzero((mine.sum(0, dtype=np.int16) >= NEEDED) & (component != component[i]))
         if not len(near):
             continue
@@ -483,7 +484,7 @@ def around(node: np.ndarray, component: np.ndarray, shingles: list[list[int]]) -
         reach = size - hits.argmax(0) - hits[::-1].argmax(0)
         most = (total[LEAST:] - total[:-LEAST]).max(0)
         kept = (most >= NEEDED) & (reach >= LEAST * ENOUGH)
-        near, whole = near[kept], near[kept & (most == LEAST)]
+        near, whole = near[kept], near[kept & (most == LEAST) & plain[near] & plain[i]]
         if len(whole):
             # a stretch that is shared as a whole is a passage, so one such window connects the class
             near = np.r_[near[~np.isin(component[near], component[whole])], whole[np.unique(component[whole], return_index=True)[1]]]
@@ -493,6 +494,71 @@ def around(node: np.ndarray, component: np.ndarray, shingles: list[list[int]]) -
     return tuple(np.unique(pairs, axis=1))
 
 
+def run_at(hits: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(width, shared, parted) for rows of hits around a node: how wide the one run of ``dense_runs`` is and how many hits it
+    has, zero where there is none; and whether there may be several."""
+    total = np.concatenate([np.zeros((len(hits), 1), np.int16), hits.cumsum(1, dtype=np.int16)], 1)
+    good = total[:, LEAST:] - total[:, :-LEAST] >= np.ceil(LEAST * share - 1e-9)
+    first, last = good.argmax(1), good.shape[1] - 1 - good[:, ::-1].argmax(1)
+    at = np.arange(hits.shape[1])
+    inside = hits & (at >= first[:, None]) & (at < (last + LEAST)[:, None]) & good.any(1)[:, None]
+    shared = inside.sum(1)
+    width = np.where(shared > 0, hits.shape[1] - inside[:, ::-1].argmax(1) - inside.argmax(1), 0)
+    return width, shared, good.sum(1) < last - first + 1
+
+
+def may_hold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs ``similar_runs`` may find a passage in, given rows of hits of windows without repeated shingles: the shared ones
+    of both runs are at most the fewer hits of the two."""
+    out = np.zeros(len(x), bool)
+    for share in (LOOSE, ENOUGH, 1):
+        (x_width, x_shared, x_parted), (y_width, y_shared, y_parted) = run_at(x, share), run_at(y, share)
+        both = np.minimum(x_shared, y_shared)
+        out |= (both > 0) & (x_parted | y_parted | (np.minimum(x_width, y_width) >= LEAST * ENOUGH)
+                             & (both >= SIMILAR * (x_width + y_width - both) - 1e-9))
+    return out
+
+
+def joining(node: np.ndarray, component: np.ndarray, shingles: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of a group's windows that join its classes: of the pairs that may be one passage (``around``) those whose
+    surroundings hold one, from the most shared shingles down, each if its windows are not joined yet. So all windows that share a passage
+    around the node end in one class, and the pairs are fewer than the windows. Of windows of one class and surroundings the first counts."""
+    marking = place, start, marks = marked(shingles)
+    if (np.diff(np.r_[0, np.cumsum(place > 0)][start]) >= NEEDED).sum() < 2:
+        return (np.zeros(0, np.int64),) * 2
+    parts, first = [np.asarray(s, np.int32) for s in shingles], {}
+    for i, alike in enumerate(zip(component.tolist(), node.tolist(), (p.tobytes() for p in parts))):
+        first.setdefault(alike, i)
+    if len(first) < len(parts):
+        of = np.fromiter(first.values(), np.int64)
+        one, other = joining(node[of], component[of], [parts[i] for i in of])
+        return of[one], of[other]
+    repeats = np.array([len(np.unique(p)) < len(p) for p in parts])
+    one, other = around(node, component, parts, marking, repeats)
+    if not len(one):
+        return one, other
+    sizes, width = np.diff(start), int(np.diff(start).max())
+    places = np.zeros((len(parts), max(width, LEAST)), place.dtype)
+    places[np.repeat(np.arange(len(parts)), sizes), np.arange(len(place)) - np.repeat(start[:-1], sizes)] = place
+    shared, kept = np.zeros(len(one), np.int64), np.zeros(len(one), bool)
+    for at in range(0, len(one), AT_A_TIME):
+        i, k = one[at:at + AT_A_TIME], other[at:at + AT_A_TIME]
+        x, y = marks[places[i], k[:, None]], marks[places[k], i[:, None]]
+        shared[at:at + AT_A_TIME] = np.minimum(x.sum(1), y.sum(1))
+        kept[at:at + AT_A_TIME] = repeats[i] | repeats[k] | may_hold(x, y)
+    out, ranked = [], np.flatnonzero(kept & (shared >= NEEDED))
+    ranked = ranked[np.argsort(-shared[ranked], kind="stable")]
+    label = np.unique(component, return_inverse=True)[1]
+    for at in range(0, len(ranked), AT_A_TIME):
+        some = ranked[at:at + AT_A_TIME]
+        for p in some[label[one[some]] != label[other[some]]].tolist():
+            i, k = int(one[p]), int(other[p])
+            if label[i] != label[k] and similar_runs(parts[i], parts[k], (marks[places[i, :sizes[i]], k], marks[places[k, :sizes[k]], i])):
+                label[label == label[i]] = label[k]
+                out.append(p)
+    return one[out], other[out]
+
+
 def few_shared(rows: DataFrame, sizes: DataFrame, chunk: int) -> DataFrame:
     """(row): those (key, row, shingles) of which fewer than ``NEEDED`` shingles are also in another row of the key. The shingles
     of a group are dealt by their value to as many shares as ``chunk`` goes into its rows (``sizes``: key, count), so a share has
@@ -543,30 +609,32 @@ def few_shared(rows: DataFrame, sizes: DataFrame, chunk: int) -> DataFrame:
     return counts.groupBy("row").agg(F.sum("n").alias("n")).where(F.col("n") < NEEDED).select("row")
 
 
-def open_pairs(docs: DataFrame, rows: DataFrame, same: DataFrame, spans: DataFrame, chunk: int) -> DataFrame:
+def open_pairs(docs: DataFrame, rows: DataFrame, spans: DataFrame, chunk: int) -> DataFrame:
     """Candidate pairs of the groups whose windows lie in several classes: all pairs of windows in different ones that may be a
-    passage around the node. One window of each class and surroundings stands for the rest. In a group of more than
+    passage around the node, as far as they join classes. One window of each class and surroundings stands for the rest. In a group of more than
     ``chunk`` windows those are left out first of whose surroundings too little occurs anywhere else in the group; what stays is cut
     into shares, and each pair of shares is compared by itself."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    windows_ = named(rows.where("b is null").selectExpr("key", "a AS doc", "shift AS node", "low", "high"), same, "doc").distinct()
+    windows_ = rows.where("b is null").selectExpr("key", "a AS doc", "shift AS node", "low", "high").distinct()
     inside = spans.selectExpr("doc", "start_word", "end_word", "component AS of")
     windows_ = (windows_.join(inside, (windows_.doc == inside.doc) & F.col("node").between(F.col("start_word"), F.col("end_word") - SHINGLE), "left")
                 .select("key", windows_.doc, "node", "low", "high", F.xxhash64(F.coalesce("of", node("node", windows_.doc))).alias("component")))
-    several = windows_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-    windows_ = stored(windows_.join(several.select("key"), "key", "left_semi").withColumn("row", F.monotonically_increasing_id()))
+    several = (windows_.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("windows"))
+               .where("least < most").select("key", (F.col("windows") > chunk).alias("large")))
+    windows_ = stored(windows_.join(several, "key").withColumn("row", F.monotonically_increasing_id()))
     begin = F.greatest(F.col("low"), F.col("node") - (LEAST - 1))
-    wanted = windows_.select(F.col("row").alias("pair"), F.lit(0).alias("side"), F.col("doc").alias("doc_id"), begin.alias("at"),
+    wanted = windows_.select("key", "row", "component", "large", (F.col("node") - begin).alias("n"), F.col("doc").alias("doc_id"), begin.alias("at"),
                              (F.least(F.col("high"), F.col("node") + (LEAST - 1)) + 1).alias("upto"))
-    texts = (stretches(docs, wanted).selectExpr("pair AS row", "shingles")
-             .join(windows_.select("row", "key", "component", (F.col("node") - begin).alias("n")), "row"))
-    ours = stored(texts.groupBy("key", "component", "n", "shingles").agg(F.min("row").alias("row")))
-    large = ours.groupBy("key").count().where(F.col("count") > chunk)
-    few = few_shared(ours.select("key", "row", "shingles"), large, chunk)
+    # One window of each class and surroundings stands for the rest: in a small group its task finds it.
+    each = stored(stretches(docs, wanted, "key long, row long, component long, large boolean, n long"))
+    ours = stored(each.where("large").groupBy("key", "component", "n", "shingles").agg(F.min("row").alias("row")))
+    few = few_shared(ours.select("key", "row", "shingles"), ours.groupBy("key").count().where(F.col("count") > chunk), chunk)
     ours = stored(ours.join(few, "row", "left_anti").select(ours.columns))
-    dealt = (in_open_groups(ours.select("key", "row", "component"), chunk).join(ours.select("row", "n", "shingles"), "row")
+    columns = ["key", "part", "row", "component", "n", "shingles"]
+    dealt = (in_open_groups(ours.select("key", "row", "component"), chunk).join(ours.select("row", "n", "shingles"), "row").select(columns)
+             .unionByName(each.where("not large").withColumn("part", F.lit(0)).select(columns))
              .repartition(parts, "key", "part").sortWithinPartitions("key", "part", "row"))
-    pairs = stored(dealt.mapInArrow(lambda batches: by_part(batches, "shingles", around, ["x", "y"]), "x long, y long").distinct())
+    pairs = stored(dealt.mapInArrow(lambda batches: by_part(batches, "shingles", joining, ["x", "y"]), "x long, y long").distinct())
     x, y = (windows_.select(F.col("row").alias(side), F.struct("doc", "node", "low", "high").alias(side + "_")) for side in "xy")
     shift = "x_.node - y_.node"
     links = (pairs.join(x, "x").join(y, "y")
@@ -575,27 +643,35 @@ def open_pairs(docs: DataFrame, rows: DataFrame, same: DataFrame, spans: DataFra
     return lanes(links).select("a", "b", "low", "high", (F.col("least") - SLIP).alias("least"), (F.col("most") + SLIP).alias("most"))
 
 
-def stretches(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(pair, side, shingles) of stretches (pair, side, doc_id, at, upto) of texts."""
+def stretches(docs: DataFrame, wanted: DataFrame, names: str, often: bool = True) -> DataFrame:
+    """(names, shingles) of stretches (names, doc_id, at, upto) of texts; ``names`` has columns and types. Where most texts have some (``often``),
+    their places grow with the texts and are not broadcast."""
+    fields = [tuple(name.split()) for name in names.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     # A text goes to its stretches once, or once for about CUTS of them.
     shares = wanted.groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(CUTS)).alias("shares"))
-    lists = (wanted.join(shares, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64("pair"), "shares").alias("share"))
-             .agg(F.collect_list(F.struct("pair", "side", "at", "upto")).alias("cuts")))
+    lists = (wanted.join(shares, "doc_id").groupBy("doc_id", F.pmod(F.xxhash64(fields[0][0], "at"), "shares").alias("share"))
+             .agg(F.collect_list(F.struct(*(name for name, _ in fields), "at", "upto")).alias("cuts")))
 
     def cut(batches):
         for batch in batches:
-            rows = []
-            for hashes, cuts in zip(word_hashes(batch.column(0).to_pylist()), batch.column(1).to_pylist()):
+            lists = batch.column(1)
+            cuts, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            columns = dict(zip((f.name for f in cuts.type), cuts.flatten()))
+            at, upto = (columns[c].to_numpy() for c in ("at", "upto"))
+            parts, size = [], []
+            for hashes, i, j in zip(word_hashes(batch.column(0).to_pylist()), [0, *ends.tolist()], ends.tolist()):
                 shingles = chained(hashes, SHINGLE).astype(np.uint32).view(np.int32)
-                rows += [(c["pair"], c["side"], shingles[c["at"]:c["upto"]]) for c in cuts]
-            pair, side, parts = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(side, pa.int32()), pa.array(parts, pa.list_(pa.int32()))],
-                                             ["pair", "side", "shingles"])
+                parts += [shingles[x:y] for x, y in zip(at[i:j].tolist(), upto[i:j].tolist())]
+            offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+            flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*(columns[name].cast(kinds[kind]) for name, kind in fields), pa.ListArray.from_arrays(offsets, flat)],
+                                             [*(name for name, _ in fields), "shingles"])
 
-    return map_texts(docs.join(lists, "doc_id"), ["text", "cuts"], cut, "pair long, side int, shingles array<int>")
+    return map_texts(docs.join(lists.hint("merge") if often else lists, "doc_id"), ["text", "cuts"], cut, f"{names}, shingles array<int>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, often: bool = True) -> DataFrame:
     """(a, b, start, end, other, upto): the passages of candidate pairs that hold when their shingles are compared, as
     word ranges of both."""
     numbered = stored(pairs.withColumn("pair", F.monotonically_increasing_id()))
@@ -620,7 +696,7 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at)] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 5)],
                                              ["pair", "start", "end", "other", "upto"])
 
-    both = stretches(docs, wanted).groupBy("pair").agg(*(F.first(F.when(F.col("side") == i, F.col("shingles")), ignorenulls=True).alias(n) for i, n in enumerate("xy")))
+    both = stretches(docs, wanted, "pair long, side int", often).groupBy("pair").agg(*(F.first(F.when(F.col("side") == i, F.col("shingles")), ignorenulls=True).alias(n) for i, n in enumerate("xy")))
     runs = map_texts(both, ["pair", "x", "y"], compare, "pair long, start long, end long, other long, upto long")
     moved = lambda name, by: (F.col(name) + by).alias(name)
     at = F.greatest(F.col("low") - F.col("most"), F.lit(0))
@@ -661,10 +737,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if several.take(1):
         stands = F.col("digest").isNull() | (F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))) == F.col("digest"))
         docs = docs.join(several, "doc_id", "left").where(stands).select("doc_id", "text")
+    # Of equal texts the one with the smallest id is compared.
+    docs = docs.join(same.where("doc_id <> first_id").select("doc_id"), "doc_id", "left_anti")
     rows = grouped(docs)
-    found = stored(verified(docs, candidates(rows, same)))
+    found = stored(verified(docs, candidates(rows)))
     spans = classes(found, same)
-    more = stored(verified(docs, open_pairs(docs, rows, same, spans, chunk)))
+    more = stored(verified(docs, open_pairs(docs, rows, spans, chunk), often=False))
     if more.take(1):
         spans = classes(found.unionByName(more), same)
     texts = spans.groupBy("component").agg((F.count_distinct("doc") - 1).alias("n_linked"))

@@ -570,6 +570,65 @@ def test_windows_around_a_node():
         assert set(zip(one.tolist(), other.tolist())) == want
 
 
+def changed_shingles(pick, base):
+    """Shingles of which some stretches are others."""
+    out = list(base[pick.randrange(30):])
+    for _ in range(pick.randrange(4)):
+        at = pick.randrange(len(out))
+        out[at:at + 5] = [pick.randrange(10**6) for _ in out[at:at + 5]]
+    return out
+
+
+def test_pairs_that_join_classes():
+    """Windows that share a passage end in one class, with fewer pairs than windows, however many are alike."""
+    pick = random.Random(8)
+    for case in range(12):
+        bases = [[pick.randrange(10**6) for _ in range(91)] for _ in range(3)]
+        rows = [changed_shingles(pick, pick.choice(bases)) for _ in range(60)] + [[7] * 60, [7] * 50 + bases[0][:41]]
+        rows += rows[:5]
+        at, component = np.zeros(len(rows), np.int64), np.array([pick.randrange(20, 30) if pick.random() < 0.3 else 1000 + i for i in range(len(rows))])
+
+        def classes(pairs):
+            root = {c: c for c in component.tolist()}
+            for i, k in pairs:
+                a, b = root[component[i]], root[component[k]]
+                root = {c: b if r == a else r for c, r in root.items()}
+            return {frozenset(c for c in root if root[c] == r) for r in root.values()}
+
+        values = [np.array(r, np.int32) for r in rows]
+        held = [(i, k) for i in range(len(rows)) for k in range(i) if component[i] != component[k]
+                and min(np.isin(values[i], values[k]).sum(), np.isin(values[k], values[i]).sum()) >= passages.NEEDED
+                and passages.similar_runs(values[i], values[k], (np.isin(values[i], values[k]), np.isin(values[k], values[i])))]
+        got = list(zip(*(c.tolist() for c in passages.joining(at, component, rows))))
+        assert classes(got) == classes(held) and len(got) < len(rows) < len(held)
+
+
+def test_pairs_that_hold_no_passage():
+    """None in which a passage is found is passed over."""
+    pick, found, kept = random.Random(5), 0, 0
+    for case in range(60):
+        base = [pick.randrange(10**6) for _ in range(91)]
+        ones, twos = ([np.array(changed_shingles(pick, base), np.int32) for _ in range(20)] for _ in "xy")
+        marks = [np.zeros((20, 91), bool) for _ in "xy"]
+        for i, (x, y) in enumerate(zip(ones, twos)):
+            marks[0][i, :len(x)], marks[1][i, :len(y)] = np.isin(x, y), np.isin(y, x)
+        for i, may in enumerate(passages.may_hold(*marks)):
+            holds = bool(passages.similar_runs(ones[i], twos[i], (marks[0][i, :len(ones[i])], marks[1][i, :len(twos[i])])))
+            assert may or not holds
+            found, kept = found + holds, kept + bool(may)
+    assert 200 < found <= kept < 1000
+
+
+def test_equal_texts_are_compared_once(spark, monkeypatch):
+    """Only the first of equal texts has windows; all have the passages."""
+    seen, grouped = [], passages.grouped
+    monkeypatch.setattr(passages, "grouped", lambda docs: seen.extend(r["doc_id"] for r in docs.select("doc_id").collect()) or grouped(docs))
+    text, shared = prose(5, 90), prose(6, 70)
+    spans = spans_of(spark, [text, shared + " " + prose(7, 30), text, text, prose(8, 40) + " " + shared, text])
+    assert sorted(seen) == [0, 1, 4] and sorted(spans) == [0, 1, 2, 3, 4, 5]
+    assert spans[0] == spans[2] == spans[3] == spans[5] == [(0, 90, (0, 0))]
+
+
 def test_windows_that_share_too_little(spark):
     """Windows with fewer shared shingles than a passage needs are found without a row for each shingle."""
     pick = random.Random(6)
