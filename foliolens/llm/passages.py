@@ -10,7 +10,8 @@ itself is not built. Windows that share the value and the run of
 shingles on one side of it (the side with the smaller next hash, so both texts choose alike)
 form a group, sorted by what follows that run on the same side in ever longer runs. A window is linked to the first
 of its group, to the first with the same runs, and to the one before it, which shares the longest runs; so in a group
-that a frequent line makes, windows that share a whole passage around it still meet. Within a batch
+that a frequent line makes, windows that share a whole passage around it still meet. Groups that stay in several classes are then
+compared as a whole, and pairs that join classes are verified too (``open_pairs``). Within a batch
 of windows before the shuffle, one window of each group and runs goes on. Links of two documents on
 neighbouring diagonals are joined as intervals; those that at least ``AGREE`` hash functions or a long equal run confirm are
 checked by the shingles that both intervals hold: a passage is kept where the resemblance is at least ``SIMILAR`` and most
@@ -18,7 +19,7 @@ shingles of every stretch of ``WORDS`` words are shared. Words put in or left ou
 shingles around them. Passages that overlap in a document become one span, and spans that links connect a class.
 
 Null and short texts have no passages; repeats inside one document do not count; documents
-are told apart by id: repeated rows count once, and of rows that share an id but not a text the one with
+are told apart by id: repeated rows count once, of equal texts only the first is compared, and of rows that share an id but not a text the one with
 the smallest digest stands, whatever their order; null ids are left out; empty tables give no rows; other columns are
 ignored. Equal values inside one text are one node, the first. A very long text is held as eight bytes a word and hash.
 """
@@ -643,9 +644,9 @@ def open_pairs(docs: DataFrame, rows: DataFrame, spans: DataFrame, chunk: int) -
     return lanes(links).select("a", "b", "low", "high", (F.col("least") - SLIP).alias("least"), (F.col("most") + SLIP).alias("most"))
 
 
-def stretches(docs: DataFrame, wanted: DataFrame, names: str, often: bool = True) -> DataFrame:
-    """(names, shingles) of stretches (names, doc_id, at, upto) of texts; ``names`` has columns and types. Where most texts have some (``often``),
-    their places grow with the texts and are not broadcast."""
+def stretches(docs: DataFrame, wanted: DataFrame, names: str) -> DataFrame:
+    """(names, shingles) of stretches (names, doc_id, at, upto) of texts; ``names`` has columns and types. Their places
+    grow with the texts and are never broadcast, so that the plan is the same at every size."""
     fields = [tuple(name.split()) for name in names.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     # A text goes to its stretches once, or once for about CUTS of them.
@@ -668,10 +669,10 @@ def stretches(docs: DataFrame, wanted: DataFrame, names: str, often: bool = True
             yield pa.RecordBatch.from_arrays([*(columns[name].cast(kinds[kind]) for name, kind in fields), pa.ListArray.from_arrays(offsets, flat)],
                                              [*(name for name, _ in fields), "shingles"])
 
-    return map_texts(docs.join(lists.hint("merge") if often else lists, "doc_id"), ["text", "cuts"], cut, f"{names}, shingles array<int>")
+    return map_texts(docs.join(lists.hint("merge"), "doc_id"), ["text", "cuts"], cut, f"{names}, shingles array<int>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, often: bool = True) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, start, end, other, upto): the passages of candidate pairs that hold when their shingles are compared, as
     word ranges of both."""
     numbered = stored(pairs.withColumn("pair", F.monotonically_increasing_id()))
@@ -696,7 +697,7 @@ def verified(docs: DataFrame, pairs: DataFrame, often: bool = True) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at)] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(1, 5)],
                                              ["pair", "start", "end", "other", "upto"])
 
-    both = stretches(docs, wanted, "pair long, side int", often).groupBy("pair").agg(*(F.first(F.when(F.col("side") == i, F.col("shingles")), ignorenulls=True).alias(n) for i, n in enumerate("xy")))
+    both = stretches(docs, wanted, "pair long, side int").groupBy("pair").agg(*(F.first(F.when(F.col("side") == i, F.col("shingles")), ignorenulls=True).alias(n) for i, n in enumerate("xy")))
     runs = map_texts(both, ["pair", "x", "y"], compare, "pair long, start long, end long, other long, upto long")
     moved = lambda name, by: (F.col(name) + by).alias(name)
     at = F.greatest(F.col("low") - F.col("most"), F.lit(0))
@@ -742,7 +743,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = grouped(docs)
     found = stored(verified(docs, candidates(rows)))
     spans = classes(found, same)
-    more = stored(verified(docs, open_pairs(docs, rows, spans, chunk), often=False))
+    more = stored(verified(docs, open_pairs(docs, rows, spans, chunk)))
     if more.take(1):
         spans = classes(found.unionByName(more), same)
     texts = spans.groupBy("component").agg((F.count_distinct("doc") - 1).alias("n_linked"))
